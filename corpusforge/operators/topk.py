@@ -1,0 +1,23 @@
+"""Top-k rows per group without ranking a whole (possibly huge) group in one task.
+
+Stage 1 keeps the top k inside (group, hash slice): many small windows in
+parallel. Stage 2 ranks at most k x slices survivors per group.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def top_k_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int,
+                    name: str = "rank", slices: int = 64) -> DataFrame:
+    """Rows ranked 1..k per ``group`` by ``order`` (which must be a total order)."""
+    cols = [c for c in df.columns if c not in group]
+    sliced = df.withColumn("_slice", F.pmod(F.xxhash64(*cols), F.lit(slices)))
+    w1 = Window.partitionBy(*group, "_slice").orderBy(*order)
+    local = sliced.withColumn("_r", F.row_number().over(w1)).where(F.col("_r") <= k).drop("_r", "_slice")
+    w2 = Window.partitionBy(*group).orderBy(*order)
+    return local.withColumn(name, F.row_number().over(w2).cast("bigint")).where(F.col(name) <= k)

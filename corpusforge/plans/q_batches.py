@@ -1,0 +1 @@
+"""Registry entries (filled in below)."""
