@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from corpusforge.functions.rules import WARMUP_SHARE
 
 
+def _field(name: str):
+    return lambda r: r[name]
+
+
 def batch_assemble(df: DataFrame, pos_col: str, batch_size: int, features: Sequence[str], label: str | None,
                    group_by: Sequence[str] = ()) -> DataFrame:
     """B consecutive examples (by ``pos``) -> one row per batch with one list per
@@ -19,7 +23,7 @@ def batch_assemble(df: DataFrame, pos_col: str, batch_size: int, features: Seque
     rows = F.array_sort(F.collect_list(F.struct(*cols)))
     out = df.withColumn("batch_id", bid).groupBy(*group_by, "batch_id").agg(rows.alias("_rows"))
     sel = [*group_by, "batch_id", F.size("_rows").alias("n_rows")]
-    sel += [F.transform("_rows", lambda r, f=f: r[f]).alias(f) for f in features]
+    sel += [F.transform("_rows", _field(f)).alias(f) for f in features]
     if label:
         sel.append(F.transform("_rows", lambda r: r[label]).alias(label))
     return out.select(*sel)
@@ -64,6 +68,7 @@ def lr_at(step, base_lr: float, warmup, total) -> Column:
     s = F.col(step) if isinstance(step, str) else step
     w = F.lit(warmup) if isinstance(warmup, int) else warmup
     t = F.lit(total) if isinstance(total, int) else total
+    w = F.when(w > 0, w).otherwise(F.raise_error(F.lit("warm-up steps must be positive")))
     return F.lit(base_lr) * F.least(F.lit(1.0), s / w) * F.greatest(F.lit(0.0), 1 - s / t)
 
 

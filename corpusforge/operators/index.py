@@ -52,12 +52,12 @@ def dense_index(
     """
     parts = list(partition_by)
     b = df.withColumn("_bkt", bucket)
-    counts = b.groupBy(*parts, "_bkt").agg(F.count(F.lit(1)).alias("_n"))
+    counts = b.groupBy(*parts, "_bkt").agg(F.count(F.lit(1)).alias("_cnt"))
     before = Window.partitionBy(*parts).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("bigint"))
+    offsets = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).cast("bigint"))
     if total_name:
-        offsets = offsets.withColumn(total_name, F.sum("_n").over(Window.partitionBy(*parts)).cast("bigint"))
-    offsets = offsets.drop("_n")
+        offsets = offsets.withColumn(total_name, F.sum("_cnt").over(Window.partitionBy(*parts)).cast("bigint"))
+    offsets = offsets.drop("_cnt")
     if bounded and not parts:
         # one row per bucket, at most 16**digits rows: a proven bound
         offsets = F.broadcast(offsets)
