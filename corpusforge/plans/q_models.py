@@ -1 +1,146 @@
-"""Registry entries (filled in below)."""
+"""Registry entries: M01-M06 (re-aimed model operators)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from corpusforge.functions.rules import SENTIMENT_LABELS
+from corpusforge.operators import labels as lb
+from corpusforge.operators import models as md
+from corpusforge.operators import pairs as pr
+from corpusforge.operators import sampling as sm
+from corpusforge.plans import views as v
+from corpusforge.plans.registry import register
+from corpusforge.plans.views_sql import TOK, sq, with_views
+
+SPLIT_EX_SQL = [
+    ("spl", """SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY md5(concat_ws('#', doc_id::VARCHAR, '42')), doc_id) - 1
+  < ceil(0.05 * count(*) OVER ()) THEN 'test' ELSE 'train' END AS split FROM documents"""),
+    ("ex", "SELECT e.doc_id, e.input_ids AS ids, s.split FROM examples e JOIN spl s ON s.doc_id = e.doc_id"),
+]
+
+
+def split_examples(spark, sf):
+    t = v.Tables(spark, sf)
+    sp = sm.split_exact_seeded(t["documents"].select("doc_id"), "doc_id", 0.05, 42, out="split")
+    return v.examples(t).join(sp, "doc_id").select("doc_id", F.col("input_ids").alias("ids"), "split")
+
+
+M03_SQL = with_views("""SELECT count(*) AS n_eval, sum(CASE WHEN pred = y THEN 1 ELSE 0 END)::BIGINT AS n_correct,
+  round(avg(CASE WHEN pred = y THEN 1.0 ELSE 0.0 END), 6) AS accuracy,
+  count(p3)::BIGINT AS n_tri, sum(CASE WHEN p3 IS NULL AND p2 IS NOT NULL THEN 1 ELSE 0 END)::BIGINT AS n_bi
+FROM (SELECT ev.y, b3.p3, b2.p2, coalesce(b3.p3, b2.p2, (SELECT m FROM uni)) AS pred
+      FROM ev LEFT JOIN b3 ON b3.l = ev.l AND b3.r = ev.r LEFT JOIN b2 ON b2.l = ev.l)""",
+    "examples", extra=SPLIT_EX_SQL + [
+        ("tri", """SELECT ids[k - 1] AS l, ids[k] AS m, ids[k + 1] AS r
+  FROM (SELECT ids, unnest(range(2, len(ids))) AS k FROM ex WHERE split = 'train') WHERE ids[k] <> 1"""),
+        ("b3", """SELECT l, r, m AS p3 FROM (SELECT l, r, m, row_number() OVER (PARTITION BY l, r ORDER BY count(*) DESC, m) AS rn
+  FROM tri GROUP BY l, r, m) WHERE rn = 1"""),
+        ("b2", """SELECT l, m AS p2 FROM (SELECT l, m, row_number() OVER (PARTITION BY l ORDER BY count(*) DESC, m) AS rn
+  FROM tri GROUP BY l, m) WHERE rn = 1"""),
+        ("uni", "SELECT m FROM tri WHERE m >= 5 GROUP BY m ORDER BY count(*) DESC, m LIMIT 1"),
+        ("ev", """SELECT doc_id, ids[k] AS y, ids[k - 1] AS l, ids[k + 1] AS r
+  FROM (SELECT doc_id, ids, unnest(range(2, len(ids))) AS k FROM ex WHERE split = 'test')
+  WHERE ids[k] >= 5 AND substr(md5(concat_ws('#', doc_id::VARCHAR, '0', '0', (k - 1)::VARCHAR)), 1, 8) < '26666666'"""),
+    ])
+
+
+@register("M03_fit_masked_token", M03_SQL)
+def q_fit_masked_token(spark, sf):
+    ex = split_examples(spark, sf)
+    model = md.fit_masked_token(ex.where(F.col("split") == "train"), "ids")
+    a = F.col("ids")
+    pos = F.transform(F.sequence(F.lit(1), F.size(a) - 2), lambda i: F.struct(
+        i.alias("i"), F.get(a, i - 1).alias("l"), F.get(a, i).alias("y"), F.get(a, i + 1).alias("r")))
+    test = ex.where(F.col("split") == "test").select("doc_id", F.explode(pos).alias("p")).select("doc_id", "p.*")
+    draw = F.md5(F.concat_ws("#", F.col("doc_id").cast("string"), F.lit("0"), F.lit("0"), F.col("i").cast("string")))
+    test = test.where((F.col("y") >= 5) & (F.substring(draw, 1, 8) < lb.PICK_BELOW))
+    p = md.predict_masked_token(model, test)
+    hit = (F.col("pred") == F.col("y")).cast("int")
+    return p.agg(
+        F.count(F.lit(1)).alias("n_eval"), F.sum(hit).cast("bigint").alias("n_correct"),
+        F.round(F.avg(hit.cast("double")), 6).alias("accuracy"),
+        F.count("p3").cast("bigint").alias("n_tri"),
+        F.sum(F.when(F.col("p3").isNull() & F.col("p2").isNotNull(), 1).otherwise(0)).cast("bigint").alias("n_bi"),
+    )
+
+
+BI_SQL = [
+    ("bi", """SELECT split, ids[k] AS a, ids[k + 1] AS b
+  FROM (SELECT split, ids, unnest(range(1, len(ids))) AS k FROM ex) WHERE ids[k] <> 1 AND ids[k + 1] <> 1"""),
+    ("cab", "SELECT a, b, count(*) AS c_ab FROM bi WHERE split = 'train' GROUP BY a, b"),
+    ("ca", "SELECT a, count(*) AS c_a FROM bi WHERE split = 'train' GROUP BY a"),
+]
+
+
+@register("M04_fit_causal_lm", with_views("""SELECT count(*) AS n_tokens, round(avg(loss), 6) AS mean_loss,
+  round(exp(avg(loss)), 6) AS perplexity FROM (
+  SELECT -ln((coalesce(cab.c_ab, 0) + 1) / (coalesce(ca.c_a, 0) + (SELECT count(*) FROM vocab))) AS loss
+  FROM bi t LEFT JOIN cab ON cab.a = t.a AND cab.b = t.b LEFT JOIN ca ON ca.a = t.a WHERE t.split = 'test')""",
+    "examples", "vocab", extra=SPLIT_EX_SQL + BI_SQL))
+def q_fit_causal_lm(spark, sf):
+    ex = split_examples(spark, sf)
+    model = md.fit_bigram_lm(ex.where(F.col("split") == "train"), "ids")
+    vs = v.vocab(v.Tables(spark, sf)).select(F.count(F.lit(1))).scalar()
+    loss = md.bigram_loss(model, ex.where(F.col("split") == "test"), vs, "ids")
+    m = F.avg("loss")
+    return loss.agg(F.count(F.lit(1)).alias("n_tokens"), F.round(m, 6).alias("mean_loss"),
+                    F.round(F.exp(m), 6).alias("perplexity"))
+
+
+@register("M06_phase2_merge", with_views("""SELECT a, b, sum(c)::BIGINT AS count FROM (
+  SELECT a, b, count(*) AS c FROM bi WHERE split = 'train' GROUP BY a, b
+  UNION ALL SELECT a, b, count(*) AS c FROM bi WHERE split = 'test' GROUP BY a, b) GROUP BY a, b""",
+    "examples", extra=SPLIT_EX_SQL + BI_SQL[:1]))
+def q_phase2_merge(spark, sf):
+    ex = split_examples(spark, sf)
+    b = md.bigrams(ex, "ids", keep=["split"])
+    p1 = b.where(F.col("split") == "train").groupBy("a", "b").agg(F.count(F.lit(1)).alias("count"))
+    p2 = b.where(F.col("split") == "test").groupBy("a", "b").agg(F.count(F.lit(1)).alias("count"))
+    return md.merge_counts(p1, p2)
+
+
+@register("M05_lexicon_gloss", with_views(f"""SELECT f.doc_id, f.lang,
+  coalesce(string_agg(coalesce(l.src_word, t.token), ' ' ORDER BY t.pos), '') AS glossed,
+  count(t.pos)::BIGINT AS n_tokens, count(l.src_word)::BIGINT AS n_matched
+  FROM first_line f
+  LEFT JOIN (SELECT doc_id, lang, unnest(tk) AS token, unnest(range(len(tk))) AS pos
+             FROM (SELECT doc_id, lang, regexp_extract_all(text, {sq(TOK)}) AS tk FROM first_line)) t ON t.doc_id = f.doc_id
+  LEFT JOIN lexicon l ON l.lang = t.lang AND l.trg_word = t.token
+  WHERE f.lang <> 'en' GROUP BY f.doc_id, f.lang""", "first_line", "lexicon"))
+def q_lexicon_gloss(spark, sf):
+    t = v.Tables(spark, sf)
+    docs = v.first_line(t).where(F.col("lang") != v.LEXICON_PIVOT)
+    return md.lexicon_gloss(docs, v.lexicon(t))
+
+
+@register("M01_fit_text_classifier")
+def q_fit_text_classifier(spark, sf):
+    s = pr.lookup_label_id(v.sent(v.Tables(spark, sf)), "label_text", SENTIMENT_LABELS)
+    train = s.where(F.col("split") == "train")
+    model = md.text_classifier().fit(train)
+    out = model.transform(s.where(F.col("split") != "train"))
+    return out.select("doc_id", "split", "labels", F.col("prediction").cast("int").alias("prediction"))
+
+
+@register("M02_pair_features", with_views(f"""SELECT doc_id, labels, overlap, jaccard, len_ratio FROM (
+  SELECT doc_id, labels, len(list_intersect(a, b))::DOUBLE AS overlap,
+    round(coalesce(len(list_intersect(a, b))::DOUBLE / nullif(len(list_distinct(a || b)), 0), 0.0), 6) AS jaccard,
+    round(coalesce(nh::DOUBLE / nullif(np, 0), 0.0), 6) AS len_ratio
+  FROM (SELECT doc_id, labels, list_distinct(regexp_extract_all(premise, {sq(TOK)})) AS a,
+          list_distinct(regexp_extract_all(hypothesis, {sq(TOK)})) AS b,
+          len(regexp_extract_all(premise, {sq(TOK)})) AS np, len(regexp_extract_all(hypothesis, {sq(TOK)})) AS nh
+        FROM nli))""", "nli"))
+def q_pair_features(spark, sf):
+    f = md.pair_features(v.nli(v.Tables(spark, sf)))
+    return f.select("doc_id", "labels", "overlap", F.round("jaccard", 6).alias("jaccard"),
+                    F.round("len_ratio", 6).alias("len_ratio"))
+
+
+@register("M02_fit_pair_classifier")
+def q_fit_pair_classifier(spark, sf):
+    n = v.nli(v.Tables(spark, sf))
+    f = md.pair_features(sm.split_exact_seeded(n, "doc_id", 0.05, 42, out="split"))
+    model = md.pair_classifier().fit(f.where(F.col("split") == "train"))
+    out = model.transform(f.where(F.col("split") == "test"))
+    return out.select("doc_id", "labels", F.col("prediction").cast("int").alias("prediction"))
