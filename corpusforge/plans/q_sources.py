@@ -1 +1,189 @@
-"""Registry entries (filled in below)."""
+"""Registry entries: S01-S14, S16. Each query writes data Spark derives from the
+driver tables into a fresh folder under the shared checkpoint folder, reads it
+back with the source under test, and returns what it read."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from corpusforge.functions.rules import ALIGNED_SPLITS, ALIGNED_SUBSETS, LEXICON_PIVOT_COLUMN
+from corpusforge.operators import metrics as mt
+from corpusforge.plans import views as v
+from corpusforge.plans.registry import register
+from corpusforge.plans.views_sql import sq, with_views
+from corpusforge.session import scratch_path
+from corpusforge.sources import files as fl
+
+PAIR6 = "source_lang, target_lang, source_text, target_text, data_split, data_source"
+CSV_W = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
+def _pairs(spark, sf):
+    return v.pairs(v.Tables(spark, sf))
+
+
+@register("S12_sink_table", with_views(f"SELECT pair_id, {PAIR6} FROM pairs", "pairs"))
+def q_sink_table(spark, sf):
+    path = fl.write_table(_pairs(spark, sf).drop("src", "row_id"), scratch_path(spark, "pairs"))
+    return fl.read_split(spark, path)
+
+
+@register("S01_src_table", with_views(f"SELECT pair_id, {PAIR6} FROM pairs WHERE data_split = 'dev'", "pairs"))
+def q_src_table(spark, sf):
+    path = fl.write_table(_pairs(spark, sf).drop("src", "row_id"), scratch_path(spark, "pairs"))
+    return fl.read_split(spark, path, "dev")
+
+
+@register("S02_src_by_extension", with_views(
+    "SELECT source_lang, target_lang, source_text, target_text, 'train' AS data_split FROM pairs", "pairs"))
+def q_src_by_extension(spark, sf):
+    path = scratch_path(spark, "pairs") + ".json"
+    _pairs(spark, sf).select(*fl.PAIR4).write.json(path)
+    df = fl.read_by_extension(spark, path)
+    return df.select(*fl.PAIR4, "data_split")
+
+
+@register("S03_src_text_linebreaks", "SELECT unnest(string_split(text, chr(10))) || chr(10) AS text FROM documents")
+def q_src_text_linebreaks(spark, sf):
+    path = scratch_path(spark, "docs-text")
+    v.Tables(spark, sf)["documents"].select("text").write.text(path)
+    return fl.read_text_lines(spark, path, keep_linebreaks=True)
+
+
+@register("S04_src_headerless_tsv", with_views(
+    "SELECT source_lang, target_lang, data_split FROM pairs WHERE data_split IN ('train', 'dev')", "pairs"))
+def q_src_headerless_tsv(spark, sf):
+    p = _pairs(spark, sf)
+    out = []
+    for split in ("train", "dev"):
+        path = scratch_path(spark, f"{split}.id")
+        cols = ["data_source", "source_lang", "target_lang"] if split == "train" else ["source_lang", "target_lang"]
+        p.where(F.col("data_split") == split).select(F.concat_ws("\t", *cols)).write.text(path)
+        out.append(fl.read_id_file(spark, path, split).withColumn("data_split", F.lit(split)))
+    return out[0].unionByName(out[1])
+
+
+@register("S05_src_line_file", with_views("SELECT text FROM first_line", "first_line"))
+def q_src_line_file(spark, sf):
+    path = scratch_path(spark, "lines")
+    v.first_line(v.Tables(spark, sf)).select("text").write.text(path)
+    return fl.read_line_file(spark, path)
+
+
+def _aligned(spark, sf):
+    root = scratch_path(spark, "aligned")
+    p = _pairs(spark, sf).withColumn("subset", F.col("src")).withColumn("split", F.col("data_split"))
+    fl.write_aligned(p, root, order="pair_id")
+    return fl.read_aligned(spark, root, layout="partitioned")
+
+
+@register("S06_src_aligned_lines", with_views("""SELECT
+  (row_number() OVER (PARTITION BY src, data_split ORDER BY pair_id) - 1)::BIGINT AS line_no,
+  source_lang, target_lang, coalesce(source_text, '') AS source_text, coalesce(target_text, '') AS target_text,
+  data_split, 'tatoeba-' || src AS data_source FROM pairs""", "pairs"))
+def q_src_aligned_lines(spark, sf):
+    pairs, _ = _aligned(spark, sf)
+    return pairs
+
+
+_expected = ", ".join(f"({sq(s)}, {sq(p)})" for s in ALIGNED_SUBSETS for p in ALIGNED_SPLITS)
+
+
+@register("S07_src_manifest_status", with_views(f"""SELECT 'tatoeba-' || s AS data_source, p AS data_split,
+  'rejected' AS status, 'missing files' AS reason, NULL::BIGINT AS n_rows FROM (VALUES {_expected}) AS e(s, p)
+  UNION ALL SELECT 'tatoeba-' || src, data_split, 'loaded', NULL,
+  count(*) FILTER (WHERE coalesce(source_text, '') <> '' AND coalesce(target_text, '') <> ''
+                   AND source_lang <> target_lang)::BIGINT
+  FROM pairs GROUP BY src, data_split""", "pairs"))
+def q_src_manifest_status(spark, sf):
+    pairs, status = _aligned(spark, sf)
+    return fl.manifest_counts(pairs, status)
+
+
+@register("S08_src_wide_csv_dir", with_views(f"""SELECT src, row_id, de, en, es, fr,
+  CASE WHEN substr(md5(concat_ws('#', src, row_id::VARCHAR)), 1, 1) < 'c' THEN 'train'
+       WHEN substr(md5(concat_ws('#', src, row_id::VARCHAR)), 1, 1) < 'e' THEN 'dev' ELSE 'test' END AS data_split,
+  'nusax-mt' AS data_source FROM wide""", "wide"))
+def q_src_wide_csv_dir(spark, sf):
+    root = scratch_path(spark, "wide")
+    w = v.wide(v.Tables(spark, sf))
+    w = w.withColumn("_split", v.split_of(v.hash_digit("src", "row_id")))
+    for split in ("train", "dev", "test"):
+        part = w.where(F.col("_split") == split).select(F.lit(0).alias("Unnamed: 0"), "src", "row_id", *v.LANGS)
+        part.write.options(**CSV_W).csv(f"{root}/{split}.csv")
+    df = fl.read_wide_csv_dir(spark, root)
+    return df.withColumn("row_id", F.col("row_id").cast("bigint"))
+
+
+@register("S09_src_lexicon_dir", with_views(f"""SELECT '{LEXICON_PIVOT_COLUMN}' AS source_lang, lang AS target_lang,
+  src_word AS source_text, trg_word AS target_text, 'nusax-lexicon' AS data_source, 'train' AS data_split
+  FROM lexicon""", "lexicon"))
+def q_src_lexicon_dir(spark, sf):
+    root = scratch_path(spark, "lexicon")
+    lx = v.lexicon(v.Tables(spark, sf))
+    for lang in [x for x in v.LANGS if x != v.LEXICON_PIVOT]:
+        lx.where(F.col("lang") == lang).select(F.col("src_word").alias(LEXICON_PIVOT_COLUMN),
+                                               F.col("trg_word").alias(lang)).write.options(**CSV_W).csv(
+            f"{root}/{lang}.csv")
+    return fl.read_lexicon_dir(spark, root, split="train")
+
+
+@register("S10_src_nested_dir", with_views(
+    "SELECT doc_id, text, label_text, lang AS language, split FROM sent", "sent"))
+def q_src_nested_dir(spark, sf):
+    root = scratch_path(spark, "sentiment")
+    s = v.sent(v.Tables(spark, sf)).select("doc_id", "text", "label_text", "lang", "split")
+    s.write.partitionBy("lang", "split").options(**CSV_W).csv(root + "-staging")
+    # reshape the staging table into <lang>/<split>.csv folders with one rename per folder
+    fs, _ = fl._fs(spark, root)
+    jvm = spark.sparkContext._jvm
+    fs.mkdirs(jvm.org.apache.hadoop.fs.Path(root))
+    for lang_dir in fs.listStatus(jvm.org.apache.hadoop.fs.Path(root + "-staging")):
+        name = lang_dir.getPath().getName()
+        if not name.startswith("lang="):
+            continue
+        lang = name.split("=", 1)[1]
+        fs.mkdirs(jvm.org.apache.hadoop.fs.Path(f"{root}/{lang}"))
+        for split_dir in fs.listStatus(lang_dir.getPath()):
+            split = split_dir.getPath().getName().split("=", 1)[1]
+            fs.rename(split_dir.getPath(), jvm.org.apache.hadoop.fs.Path(f"{root}/{lang}/{split}.csv"))
+    df = fl.read_nested_dir(spark, root)
+    return df.select(F.col("doc_id").cast("bigint"), "text", "label_text", "language", "split")
+
+
+@register("S11_src_gzip_text", with_views("SELECT text FROM first_line", "first_line"))
+def q_src_gzip_text(spark, sf):
+    path = scratch_path(spark, "gz")
+    v.first_line(v.Tables(spark, sf)).select("text").write.option("compression", "gzip").text(path)
+    return fl.read_gzip_lines(spark, path)
+
+
+@register("S13_sink_csv_index", with_views("""SELECT (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT AS row_index,
+  doc_id, text, label_text FROM sent""", "sent"))
+def q_sink_csv_index(spark, sf):
+    path = scratch_path(spark, "sent-csv")
+    s = v.sent(v.Tables(spark, sf)).select("doc_id", "text", "label_text")
+    fl.write_csv_with_index(s, path, ["doc_id"])
+    back = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    return back.select(F.col("`Unnamed: 0`").cast("bigint").alias("row_index"), F.col("doc_id").cast("bigint"),
+                       "text", "label_text")
+
+
+@register("S14_sink_guard", with_views("SELECT doc_id, text, label_text, split FROM sent", "sent"))
+def q_sink_guard(spark, sf):
+    path = scratch_path(spark, "guarded")
+    s = v.sent(v.Tables(spark, sf)).select("doc_id", "text", "label_text", "split")
+    fl.guarded_write(s, path)
+    return fl.guarded_write(s, path, reuse=True)  # second call reuses the complete result
+
+
+@register("S16_sink_metrics", with_views("""SELECT 'sentiment' AS run, 'eval' AS phase,
+  'perplexity_' || label::VARCHAR AS metric, round(exp(avg(loss)), 6) AS value
+  FROM (SELECT label, (list_max(logits) + ln(list_sum(list_transform(logits, lambda x: exp(x - list_max(logits))))))
+        - logits[label + 1] AS loss FROM preds) GROUP BY label""", "preds"))
+def q_sink_metrics(spark, sf):
+    p = v.preds(v.Tables(spark, sf)).withColumn("loss", mt.cross_entropy("logits", "label"))
+    g = p.groupBy("label").agg(F.round(mt.perplexity(F.avg("loss")), 6).alias("value"))
+    rows = g.select(F.lit("sentiment").alias("run"), F.lit("eval").alias("phase"),
+                    F.concat(F.lit("perplexity_"), F.col("label").cast("string")).alias("metric"), "value")
+    return fl.append_metrics(spark, rows, scratch_path(spark, "metrics"))
