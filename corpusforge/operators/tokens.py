@@ -1,9 +1,11 @@
 """Vocabulary, encode/decode, truncation and fixed-length padding.
 
-Encoding is a shuffle join of exploded tokens against the vocabulary table
-(AQE turns it into a broadcast at run time when the vocabulary is measured
-small), then an ordered ``collect_list`` per example; an example's tokens are
-bounded by the truncation length, which is applied before the explode.
+Encoding explodes each example's tokens, looks them up in the vocabulary
+table and regroups them per example in order (``collect_list``); an example's
+tokens are bounded by the truncation length, applied before the explode.
+A vocabulary whose counted size is under ``BROADCAST_VOCAB_MAX`` is broadcast
+and the examples are co-partitioned by key before the explode, so only whole
+examples shuffle; a larger one is a shuffle join on the token.
 """
 
 from __future__ import annotations
@@ -43,6 +45,37 @@ def padded_vocab_size(n: Column | int) -> Column:
     return (F.ceil(n / F.lit(VOCAB_MULTIPLE)) * VOCAB_MULTIPLE).cast("bigint")
 
 
+# Largest vocabulary (rows) shipped to every task as a broadcast; above it the
+# lookup is a shuffle join on the token.
+BROADCAST_VOCAB_MAX = 2_000_000
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage of a reused table (vocabulary, lexicon) with a reliable checkpoint
+    in the shared folder named by ``spark.checkpoint.dir``."""
+    from corpusforge.session import checkpoint_dir
+
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def _lookup(df: DataFrame, key: Sequence[str], items: Column, table: DataFrame, on: str,
+            vocab_rows: int | None, limit: int) -> DataFrame:
+    """Explode ``items`` (pos, value), look each value up in ``table`` and regroup per key.
+
+    Small table (counted): co-partition the input rows by key first, explode, broadcast
+    the table; the regroup then reuses that partitioning (the per-token rows never
+    shuffle, and hot tokens cannot skew a join). Large table: shuffle join on the value.
+    """
+    n = table.count() if vocab_rows is None else vocab_rows
+    if n <= limit:
+        base = df.repartition(*key)
+        exploded = base.select(*key, F.posexplode_outer(items).alias("_pos", on))
+        return exploded.join(F.broadcast(table), on=on, how="left")
+    exploded = df.select(*key, F.posexplode_outer(items).alias("_pos", on))
+    return exploded.join(table, on=on, how="left")
+
+
 def encode(
     df: DataFrame,
     key: Sequence[str],
@@ -52,16 +85,18 @@ def encode(
     add_specials: bool = True,
     out: str = "ids",
     fast: bool = False,
+    vocab_rows: int | None = None,
+    broadcast_limit: int = BROADCAST_VOCAB_MAX,
 ) -> DataFrame:
     """Text -> token ids (unknown -> <unk>), optionally wrapped in <s> ... </s>.
 
     Returns ``key`` columns plus ``out``; rows with no token keep an empty list.
+    ``vocab`` should be materialized (it is counted for the broadcast check).
     """
     toks = tx.tokens(text_col, fast)
     if max_tokens is not None:
         toks = F.slice(toks, 1, max_tokens)
-    exploded = df.select(*key, F.posexplode_outer(toks).alias("_pos", "token"))
-    joined = exploded.join(vocab.select("token", "id"), on="token", how="left")
+    joined = _lookup(df, key, toks, vocab.select("token", "id"), "token", vocab_rows, broadcast_limit)
     item = F.when(F.col("_pos").isNotNull(), F.struct("_pos", F.coalesce("id", F.lit(UNK_ID)).alias("id")))
     grouped = joined.groupBy(*key).agg(F.array_sort(F.collect_list(item)).alias("_items"))
     ids = F.transform("_items", lambda s: s["id"])
@@ -70,10 +105,10 @@ def encode(
     return grouped.select(*key, ids.alias(out))
 
 
-def decode(df: DataFrame, key: Sequence[str], ids_col: str, vocab: DataFrame, out: str = "text") -> DataFrame:
+def decode(df: DataFrame, key: Sequence[str], ids_col: str, vocab: DataFrame, out: str = "text",
+           vocab_rows: int | None = None, broadcast_limit: int = BROADCAST_VOCAB_MAX) -> DataFrame:
     """Ids -> tokens joined by one space (whitespace is lost, as in any decode)."""
-    exploded = df.select(*key, F.posexplode_outer(ids_col).alias("_pos", "id"))
-    joined = exploded.join(vocab.select("id", "token"), on="id", how="left")
+    joined = _lookup(df, key, F.col(ids_col), vocab.select("id", "token"), "id", vocab_rows, broadcast_limit)
     item = F.when(F.col("_pos").isNotNull(), F.struct("_pos", F.coalesce("token", F.lit(SPECIALS[UNK_ID])).alias("t")))
     grouped = joined.groupBy(*key).agg(F.array_sort(F.collect_list(item)).alias("_items"))
     return grouped.select(*key, F.array_join(F.transform("_items", lambda s: s["t"]), " ").alias(out))

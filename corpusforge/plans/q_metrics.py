@@ -48,7 +48,7 @@ def q_accuracy(spark, sf):
 TOKPRED_SQL = ("tokpred", """SELECT doc_id, input_ids,
   list_transform(input_ids, lambda x: CASE WHEN x = 1 THEN -100 ELSE x END) AS labels
   FROM examples""")
-PRED_EXPR = ("list_transform(labels, lambda y, i: CASE WHEN substr(md5(concat_ws('#', doc_id::VARCHAR, "
+PRED_EXPR = ("list_transform(labels, lambda y, i: CASE WHEN y = -100 THEN -100 WHEN substr(md5(concat_ws('#', doc_id::VARCHAR, "
              "(i - 1)::VARCHAR)), 1, 1) < 'a' THEN y ELSE y + 1 END)")
 
 

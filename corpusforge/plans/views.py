@@ -40,6 +40,11 @@ class Tables:
     def __getitem__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    @functools.cached_property
+    def vocab(self) -> DataFrame:
+        """The vocabulary, built once per query and materialized (reused many times)."""
+        return tk.materialize(tk.vocab_build(self["documents"]))
+
 
 def hash_digit(*parts) -> Column:
     cols = [F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts]
@@ -154,7 +159,7 @@ def chat(t: Tables) -> DataFrame:
 
 
 def vocab(t: Tables) -> DataFrame:
-    return tk.vocab_build(t["documents"])
+    return t.vocab
 
 
 def examples(t: Tables, length: int = MLM_LENGTH) -> DataFrame:
@@ -179,10 +184,11 @@ def preds(t: Tables) -> DataFrame:
 
 
 def token_preds(ex: DataFrame) -> Column:
-    """Per-token prediction: the label itself when an md5 digit is below 'a', else label + 1."""
+    """Per-token prediction: the label itself when an md5 digit is below 'a', else label + 1;
+    ignored positions (-100) draw nothing and predict -100."""
     return F.transform(
         "labels",
-        lambda y, i: F.when(
+        lambda y, i: F.when(y == -100, y).when(
             F.substring(F.md5(F.concat_ws("#", F.col("doc_id").cast("string"), i.cast("string"))), 1, 1) < "a", y
         ).otherwise(y + 1),
     )
