@@ -29,6 +29,10 @@ LEXICON_SIZE = 500
 LEXICON_PIVOT = "en"
 
 
+# Text tables whose rows carry long strings and feed CPU-heavy regex work.
+TEXT_TABLES = {"documents": "doc_id", "conversations": "conv_id", "pages": "page_id"}
+
+
 class Tables:
     """Lazy access to the driver's parquet tables in one folder."""
 
@@ -38,7 +42,11 @@ class Tables:
 
     @functools.cache
     def __getitem__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        key = TEXT_TABLES.get(name)
+        if key:
+            df = spread(df, key)
+        return df
 
     @functools.cached_property
     def vocab(self) -> DataFrame:
@@ -46,6 +54,18 @@ class Tables:
         return tk.materialize(tk.vocab_build(self["documents"]))
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition a text table by its key when it arrives in fewer files than cores.
+
+    A few large files (or one row group) leave most cores idle for the regex
+    work that follows; a real corpus of thousands of files is left as it is.
+    The decision reads the file listing only."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) < cores:
+        return df.repartition(cores, key)
+    return df
+
+
 def hash_digit(*parts) -> Column:
     cols = [F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts]
     return F.substring(F.md5(F.concat_ws("#", *cols)), 1, 1)

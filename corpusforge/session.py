@@ -19,6 +19,9 @@ def get_spark(cores: int | str = "*", app: str = "corpusforge", memory: str = "1
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        # small shuffles here feed heavy per-row text work (regex, explode x12):
+        # do not merge them below 64 KB per task (no effect on large inputs)
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
