@@ -144,9 +144,10 @@ def read_text_lines(spark: SparkSession, path: str, keep_linebreaks: bool = True
     if not keep_linebreaks:
         return df.select(F.col("value").alias("text"))
     files = spark.read.text(path).inputFiles()  # listing only, no scan
-    open_end = [f for f in files if not _ends_with_newline(spark, f)]
+    open_end = [_norm_uri(f) for f in files if not _ends_with_newline(spark, f)]
     if not open_end:
         return df.select(F.concat("value", F.lit("\n")).alias("text"))
+    df = df.withColumn("file", F.regexp_replace("file", r"^[A-Za-z][A-Za-z0-9+.-]*:/+", "/"))
     last = (df.where(F.col("file").isin(open_end)).groupBy("file")
             .agg(F.max(F.struct("block", "rid")).alias("_last")))
     j = df.join(last, "file", "left")
@@ -154,6 +155,13 @@ def read_text_lines(spark: SparkSession, path: str, keep_linebreaks: bool = True
     return j.select(F.when(is_last, F.col("value")).otherwise(F.concat("value", F.lit("\n"))).alias("text"))
 
 
+def _norm_uri(path: str) -> str:
+    """Scheme and authority slashes dropped, so listing and metadata paths compare equal."""
+    import re
+
+    return re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/+", "/", path)
+
+
 def _ends_with_newline(spark: SparkSession, path: str) -> bool:
     fs, p = _fs(spark, path)
     size = fs.getFileStatus(p).getLen()
