@@ -45,11 +45,15 @@ def best_by_count(counts: DataFrame, keys: list[str], value: str, cnt: str = "cn
 
 
 def fit_masked_token(train: DataFrame, ids: str = "ids") -> dict[str, DataFrame]:
-    """(left, right) -> most frequent middle; back-off left -> middle; then unigram."""
-    tri = trigrams(train, ids)
-    c3 = tri.groupBy("l", "r", "m").agg(F.count(F.lit(1)).alias("cnt"))
-    c2 = tri.groupBy("l", "m").agg(F.count(F.lit(1)).alias("cnt"))
-    c1 = tri.where(F.col("m") >= N_SPECIALS).groupBy("m").agg(F.count(F.lit(1)).alias("cnt"))
+    """(left, right) -> most frequent middle; back-off left -> middle; then unigram.
+
+    The trigram explode runs once: (l, r, m) counts are materialized and the
+    coarser (l, m) and (m) counts are sums over them."""
+    from corpusforge.operators.tokens import materialize
+
+    c3 = materialize(trigrams(train, ids).groupBy("l", "r", "m").agg(F.count(F.lit(1)).alias("cnt")))
+    c2 = c3.groupBy("l", "m").agg(F.sum("cnt").alias("cnt"))
+    c1 = c2.where(F.col("m") >= N_SPECIALS).groupBy("m").agg(F.sum("cnt").alias("cnt"))
     return {
         "tri": best_by_count(c3, ["l", "r"], "m"),
         "bi": best_by_count(c2, ["l"], "m"),
@@ -68,9 +72,8 @@ def predict_masked_token(model: dict[str, DataFrame], positions: DataFrame) -> D
 
 def fit_bigram_lm(train: DataFrame, ids: str = "ids") -> tuple[DataFrame, DataFrame]:
     """Add-one bigram counts: (a, b, c_ab) and (a, c_a)."""
-    bi = bigrams(train, ids)
-    cab = bi.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c_ab"))
-    ca = bi.groupBy("a").agg(F.count(F.lit(1)).alias("c_a"))
+    cab = bigrams(train, ids).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c_ab"))
+    ca = cab.groupBy("a").agg(F.sum("c_ab").alias("c_a"))  # sums over (a, b): one explode
     return cab, ca
 
 

@@ -21,9 +21,12 @@ SPLIT_EX_SQL = [
 
 
 def split_examples(spark, sf):
+    """Examples with their train/test split, materialized: both sides read them."""
+    from corpusforge.operators.tokens import materialize
+
     t = v.Tables(spark, sf)
     sp = sm.split_exact_seeded(t["documents"].select("doc_id"), "doc_id", 0.05, 42, out="split")
-    return v.examples(t).join(sp, "doc_id").select("doc_id", F.col("input_ids").alias("ids"), "split")
+    return materialize(v.examples(t).join(sp, "doc_id").select("doc_id", F.col("input_ids").alias("ids"), "split"))
 
 
 M03_SQL = with_views("""SELECT count(*) AS n_eval, sum(CASE WHEN pred = y THEN 1 ELSE 0 END)::BIGINT AS n_correct,

@@ -230,7 +230,8 @@ def q_mask_mlm(spark, sf):
     ex = v.examples(t)
     vs = v.vocab(t).select(F.count(F.lit(1))).scalar()
     dup = pr.duplicate_n(ex, MLM_COPIES).withColumn("copy_id", F.col("copy_id").cast("int")).withColumn("_vs", vs)
-    masked, labels = lb.mask_mlm("input_ids", "doc_id", "copy_id", F.lit(0), F.col("_vs"))
+    dup = dup.withColumn("_draws", lb.mlm_draws("input_ids", "doc_id", "copy_id", F.lit(0)))
+    masked, labels = lb.apply_mask("input_ids", "_draws", F.col("_vs"))
     m = dup.select("doc_id", "copy_id", masked.alias("new"), labels.alias("lab"))
     total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x)
     return m.select(
