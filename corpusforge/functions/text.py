@@ -56,10 +56,6 @@ def strip_newlines(col) -> Column:
     return F.regexp_replace(_c(col), "\n", "")
 
 
-def first_line(col) -> Column:
-    return F.substring_index(_c(col), "\n", 1)
-
-
 def truncate_tokens(text, budget: int, fast: bool = False) -> Column:
     """Keep the first ``budget`` tokens and render them back (space-joined)."""
     return F.array_join(F.slice(tokens(text, fast), 1, budget), " ")

@@ -164,12 +164,12 @@ def q_filter_nonempty(spark, sf):
 
 
 NEIGHBOURS_SQL = ("neighbours", """SELECT a.doc_id, a.lang AS source_lang, b.lang AS target_lang,
-  a.text AS source_text, b.text AS target_text FROM first_line a JOIN first_line b ON b.doc_id = a.doc_id + 1""")
+  a.text AS source_text, b.text AS target_text FROM texts a JOIN texts b ON b.doc_id = a.doc_id + 1""")
 
 
 def neighbours(t):
     """Each document's first line aligned with the next document's (codes may repeat)."""
-    fl = v.first_line(t)
+    fl = v.texts(t)
     a = fl.select("doc_id", F.col("lang").alias("source_lang"), F.col("text").alias("source_text"))
     b = fl.select((F.col("doc_id") - 1).alias("doc_id"), F.col("lang").alias("target_lang"),
                   F.col("text").alias("target_text"))
@@ -179,7 +179,7 @@ def neighbours(t):
 @register("P06_filter_distinct_lang", with_views(
     "SELECT doc_id, source_lang, target_lang, source_text, target_text FROM neighbours "
     "WHERE source_text <> '' AND target_text <> '' AND source_lang <> target_lang",
-    "first_line", extra=[NEIGHBOURS_SQL]))
+    "texts", extra=[NEIGHBOURS_SQL]))
 def q_filter_distinct_lang(spark, sf):
     n = neighbours(v.Tables(spark, sf))
     return pr.filter_distinct_lang(pr.filter_nonempty_pair(n))
@@ -234,11 +234,11 @@ def q_lookup_label_name(spark, sf):
 
 @register("J04_zip_by_position", with_views(
     """SELECT e.line_no, e.doc_id AS en_doc, f.doc_id AS fr_doc, e.text AS en_text, f.text AS fr_text
-  FROM (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS line_no FROM first_line WHERE lang = 'en') e
-  JOIN (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS line_no FROM first_line WHERE lang = 'fr') f
-  ON e.line_no = f.line_no""", "first_line"))
+  FROM (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS line_no FROM texts WHERE lang = 'en') e
+  JOIN (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS line_no FROM texts WHERE lang = 'fr') f
+  ON e.line_no = f.line_no""", "texts"))
 def q_zip_by_position(spark, sf):
-    fl = v.first_line(v.Tables(spark, sf))
+    fl = v.texts(v.Tables(spark, sf))
 
     def side(lang):
         s = fl.where(F.col("lang") == lang).select("doc_id", "text")
@@ -262,9 +262,9 @@ def q_union_by_name(spark, sf):
     return pr.union_by_name([p, lx])
 
 
-@register("U02_union_same_schema", with_views("SELECT doc_id, lang, source, text FROM first_line", "first_line"))
+@register("U02_union_same_schema", with_views("SELECT doc_id, lang, source, text FROM texts", "texts"))
 def q_union_same_schema(spark, sf):
-    fl = v.first_line(v.Tables(spark, sf))
+    fl = v.texts(v.Tables(spark, sf))
     return pr.union_same_schema([fl.where(F.col("lang") == x) for x in v.LANGS] +
                                 [fl.where(~F.col("lang").isin(v.LANGS))])
 

@@ -106,14 +106,14 @@ def q_phase2_merge(spark, sf):
 @register("M05_lexicon_gloss", with_views(f"""SELECT f.doc_id, f.lang,
   coalesce(string_agg(coalesce(l.src_word, t.token), ' ' ORDER BY t.pos), '') AS glossed,
   count(t.pos)::BIGINT AS n_tokens, count(l.src_word)::BIGINT AS n_matched
-  FROM first_line f
+  FROM texts f
   LEFT JOIN (SELECT doc_id, lang, unnest(tk) AS token, unnest(range(len(tk))) AS pos
-             FROM (SELECT doc_id, lang, regexp_extract_all(text, {sq(TOK)}) AS tk FROM first_line)) t ON t.doc_id = f.doc_id
+             FROM (SELECT doc_id, lang, regexp_extract_all(text, {sq(TOK)}) AS tk FROM texts)) t ON t.doc_id = f.doc_id
   LEFT JOIN lexicon l ON l.lang = t.lang AND l.trg_word = t.token
-  WHERE f.lang <> 'en' GROUP BY f.doc_id, f.lang""", "first_line", "lexicon"))
+  WHERE f.lang <> 'en' GROUP BY f.doc_id, f.lang""", "texts", "lexicon"))
 def q_lexicon_gloss(spark, sf):
     t = v.Tables(spark, sf)
-    docs = v.first_line(t).where(F.col("lang") != v.LEXICON_PIVOT)
+    docs = v.texts(t).where(F.col("lang") != v.LEXICON_PIVOT)
     return md.lexicon_gloss(docs, v.lexicon(t))
 
 

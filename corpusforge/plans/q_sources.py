@@ -63,10 +63,10 @@ def q_src_headerless_tsv(spark, sf):
     return out[0].unionByName(out[1])
 
 
-@register("S05_src_line_file", with_views("SELECT text FROM first_line", "first_line"))
+@register("S05_src_line_file", "SELECT unnest(string_split(text, chr(10))) AS text FROM documents")
 def q_src_line_file(spark, sf):
     path = scratch_path(spark, "lines")
-    v.first_line(v.Tables(spark, sf)).select("text").write.text(path)
+    v.texts(v.Tables(spark, sf)).select("text").write.text(path)
     return fl.read_line_file(spark, path)
 
 
@@ -79,7 +79,8 @@ def _aligned(spark, sf):
 
 @register("S06_src_aligned_lines", with_views("""SELECT
   (row_number() OVER (PARTITION BY src, data_split ORDER BY pair_id) - 1)::BIGINT AS line_no,
-  source_lang, target_lang, coalesce(source_text, '') AS source_text, coalesce(target_text, '') AS target_text,
+  source_lang, target_lang, regexp_replace(coalesce(source_text, ''), '[\r\n]', ' ', 'g') AS source_text,
+  regexp_replace(coalesce(target_text, ''), '[\r\n]', ' ', 'g') AS target_text,
   data_split, 'tatoeba-' || src AS data_source FROM pairs""", "pairs"))
 def q_src_aligned_lines(spark, sf):
     pairs, _ = _aligned(spark, sf)
@@ -151,10 +152,10 @@ def q_src_nested_dir(spark, sf):
     return df.select(F.col("doc_id").cast("bigint"), "text", "label_text", "language", "split")
 
 
-@register("S11_src_gzip_text", with_views("SELECT text FROM first_line", "first_line"))
+@register("S11_src_gzip_text", "SELECT unnest(string_split(text, chr(10))) AS text FROM documents")
 def q_src_gzip_text(spark, sf):
     path = scratch_path(spark, "gz")
-    v.first_line(v.Tables(spark, sf)).select("text").write.option("compression", "gzip").text(path)
+    v.texts(v.Tables(spark, sf)).select("text").write.option("compression", "gzip").text(path)
     return fl.read_gzip_lines(spark, path)
 
 

@@ -71,13 +71,14 @@ def hash_digit(*parts) -> Column:
     return F.substring(F.md5(F.concat_ws("#", *cols)), 1, 1)
 
 
-def first_line(t: Tables) -> DataFrame:
-    return t["documents"].select("doc_id", "lang", "source", tx.first_line("text").alias("text"))
+def texts(t: Tables) -> DataFrame:
+    """Whole document texts with their language and source."""
+    return t["documents"].select("doc_id", "lang", "source", "text")
 
 
 def wide(t: Tables) -> DataFrame:
     """Rank documents in each (source, lang) by doc_id; pivot on lang."""
-    ranked = dense_index(first_line(t), order=["doc_id"], bucket=range_bucket("doc_id"),
+    ranked = dense_index(texts(t), order=["doc_id"], bucket=range_bucket("doc_id"),
                          partition_by=["source", "lang"], name="row_id")
     return (
         ranked.groupBy(F.col("source").alias("src"), "row_id")
@@ -131,7 +132,7 @@ def lexicon(t: Tables) -> DataFrame:
 
 
 def sent(t: Tables) -> DataFrame:
-    fl = first_line(t)
+    fl = texts(t)
     lab = t["labels"]
     label_text = (
         F.when(F.col("toxic") == 1, "negative").when(F.col("quality") == 1, "positive").otherwise("neutral")
@@ -146,7 +147,7 @@ def nli(t: Tables) -> DataFrame:
     docs = t["documents"]
     s = tx.sentences("text")
     base = docs.select(
-        "doc_id", "lang", tx.first_line("text").alias("premise"),
+        "doc_id", "lang", F.col("text").alias("premise"),
         F.try_element_at(s, F.lit(1)).alias("s1"), F.try_element_at(s, F.lit(2)).alias("s2"),
     )
     ranked = dense_index(base, order=["doc_id"], bucket=range_bucket("doc_id"), partition_by=["lang"],

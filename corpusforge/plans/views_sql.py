@@ -35,9 +35,9 @@ _lang_map_rows = ", ".join(f"({sq(k)}, {sq(v)})" for k, v in sorted(LANG_MAP.ite
 _next_case = "CASE lang " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in NEXT_LANG.items()) + " END"
 
 VIEWS: dict[str, tuple[list[str], str]] = {
-    "first_line": ([], f"SELECT doc_id, lang, source, split_part(text, {NL}, 1) AS text FROM documents"),
-    "wide": (["first_line"], f"""SELECT source AS src, row_id, {_pivot}
-  FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) - 1 AS row_id FROM first_line)
+    "texts": ([], "SELECT doc_id, lang, source, text FROM documents"),
+    "wide": (["texts"], f"""SELECT source AS src, row_id, {_pivot}
+  FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) - 1 AS row_id FROM texts)
   GROUP BY source, row_id"""),
     "pairs0": (["wide"], _pairs_union),
     "pairs": (["pairs0"], f"""SELECT concat_ws(':', src, row_id::VARCHAR, source_lang, target_lang) AS pair_id,
@@ -53,11 +53,11 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     "lexicon": (["top_tokens"], f"""SELECT o.lang, o.lex_rank, p.token AS src_word, o.token AS trg_word
   FROM top_tokens o JOIN top_tokens p ON p.lang = '{LEXICON_PIVOT}' AND o.lex_rank = p.lex_rank
   WHERE o.lang <> '{LEXICON_PIVOT}'"""),
-    "sent": (["first_line"], f"""SELECT f.doc_id, f.lang, f.source, f.text,
+    "sent": (["texts"], f"""SELECT f.doc_id, f.lang, f.source, f.text,
   CASE WHEN l.toxic = 1 THEN 'negative' WHEN l.quality = 1 THEN 'positive' ELSE 'neutral' END AS label_text,
   {_split("substr(md5(concat_ws('#', f.doc_id::VARCHAR, 'sent')), 1, 1)", ("train", "valid", "test"))} AS split
-  FROM first_line f JOIN labels l ON f.doc_id = l.doc_id"""),
-    "nli_base": ([], f"""SELECT doc_id, lang, split_part(text, {NL}, 1) AS premise,
+  FROM texts f JOIN labels l ON f.doc_id = l.doc_id"""),
+    "nli_base": ([], f"""SELECT doc_id, lang, text AS premise,
   regexp_extract_all(text, {sq(SENT)})[1] AS s1, regexp_extract_all(text, {sq(SENT)})[2] AS s2,
   row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n
   FROM documents"""),

@@ -263,18 +263,24 @@ def manifest_counts(pairs: DataFrame, status: DataFrame) -> DataFrame:
         "n_rows", F.when(F.col("status") == "loaded", F.coalesce("n_rows", F.lit(0))).cast("bigint"))
 
 
+def _one_line(col: str) -> Column:
+    """A text as one line of a line file: line breaks become spaces, null becomes ''."""
+    return F.regexp_replace(F.coalesce(F.col(col), F.lit("")), r"[\r\n]", " ")
+
+
 def write_aligned(df: DataFrame, root: str, order: str, partitions: int = 8) -> None:
     """Write pairs as aligned line files in the partitioned layout, one job:
     root/kind=<id|src|trg>/subset=<s>/split=<p>/part-*. Lines of the three kinds
-    follow the same order (range partitions sorted by ``order``)."""
+    follow the same order (range partitions sorted by ``order``); a line file
+    holds one text per line, so line breaks inside a text become spaces."""
     rows = df.select(
         F.col("subset"), F.col("split"), F.col(order).alias("_o"),
         F.explode(F.array(
             F.struct(F.lit("id").alias("kind"), F.when(
                 F.col("split") == "train", F.concat_ws("\t", "data_source", "source_lang", "target_lang")
             ).otherwise(F.concat_ws("\t", "source_lang", "target_lang")).alias("value")),
-            F.struct(F.lit("src").alias("kind"), F.coalesce("source_text", F.lit("")).alias("value")),
-            F.struct(F.lit("trg").alias("kind"), F.coalesce("target_text", F.lit("")).alias("value")),
+            F.struct(F.lit("src").alias("kind"), _one_line("source_text").alias("value")),
+            F.struct(F.lit("trg").alias("kind"), _one_line("target_text").alias("value")),
         )).alias("r"))
     rows = rows.select("subset", "split", "_o", "r.*")
     rows = rows.repartitionByRange(partitions, "subset", "split", "_o").sortWithinPartitions(
