@@ -20,6 +20,31 @@ def tokens(text, fast: bool = False) -> Column:
     return F.regexp_extract_all(_c(text), F.lit(TOKEN_RE_FAST if fast else TOKEN_RE), F.lit(0))
 
 
+HEAD_SPAN_MAX = 1024
+
+
+def head_span_re(k: int, fast: bool = False) -> str:
+    """Anchored pattern matching exactly the span of the first ``k`` tokens.
+
+    Between tokens only whitespace can occur (every other character is a
+    token), and possessive quantifiers never give back characters, so the
+    span holds the same first k tokens as the full extraction."""
+    tok = r"[^ \t\n\r]++" if fast else r"[\p{L}\p{M}\p{N}]++|[^\p{L}\p{M}\p{N}\s]"
+    gap = r"[ \t\n\r]*+" if fast else r"\s*+"
+    return rf"^(?:{gap}(?:{tok})){{0,{k}}}"
+
+
+def tokens_head(text, k: int, fast: bool = False) -> Column:
+    """The first ``k`` tokens, tokenizing only their span (O(k), not O(text)).
+
+    Java regex recurses once per repetition of a group, so large ``k`` falls
+    back to the full extraction."""
+    if k > HEAD_SPAN_MAX:
+        return F.slice(tokens(text, fast), 1, k)
+    span = F.regexp_extract(_c(text), head_span_re(k, fast), 0)
+    return F.regexp_extract_all(span, F.lit(TOKEN_RE_FAST if fast else TOKEN_RE), F.lit(0))
+
+
 def token_count(text, specials: int = 0, fast: bool = False) -> Column:
     """Encoded length; ``specials=2`` for the whole-document test."""
     return F.size(tokens(text, fast)) + F.lit(specials)
@@ -58,4 +83,4 @@ def strip_newlines(col) -> Column:
 
 def truncate_tokens(text, budget: int, fast: bool = False) -> Column:
     """Keep the first ``budget`` tokens and render them back (space-joined)."""
-    return F.array_join(F.slice(tokens(text, fast), 1, budget), " ")
+    return F.array_join(tokens_head(text, budget, fast), " ")

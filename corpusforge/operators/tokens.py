@@ -93,9 +93,7 @@ def encode(
     Returns ``key`` columns plus ``out``; rows with no token keep an empty list.
     ``vocab`` should be materialized (it is counted for the broadcast check).
     """
-    toks = tx.tokens(text_col, fast)
-    if max_tokens is not None:
-        toks = F.slice(toks, 1, max_tokens)
+    toks = tx.tokens(text_col, fast) if max_tokens is None else tx.tokens_head(text_col, max_tokens, fast)
     joined = _lookup(df, key, toks, vocab.select("token", "id"), "token", vocab_rows, broadcast_limit)
     item = F.when(F.col("_pos").isNotNull(), F.struct("_pos", F.coalesce("id", F.lit(UNK_ID)).alias("id")))
     grouped = joined.groupBy(*key).agg(F.array_sort(F.collect_list(item)).alias("_items"))

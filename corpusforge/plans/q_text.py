@@ -268,7 +268,7 @@ MARKER_SQL = "[" + ", ".join(sq(x) for x in tp.RESPONSE_MARKER) + "]"
 def q_labels_completion(spark, sf):
     t = v.Tables(spark, sf)
     p = prompts(spark, sf)
-    aligned = F.concat(F.array(F.lit(SPECIALS[0])), F.slice(tx.tokens("prompt"), 1, BLOCK - 2), F.array(F.lit(SPECIALS[2])))
+    aligned = F.concat(F.array(F.lit(SPECIALS[0])), tx.tokens_head("prompt", BLOCK - 2), F.array(F.lit(SPECIALS[2])))
     # project the aligned tokens first: the marker search refers to them inside a lambda
     p = p.withColumn("_al", aligned).withColumn("mend", lb.marker_end("_al", tp.RESPONSE_MARKER)).drop("_al")
     e = tk.encode(p, ["pair_id", "mend"], "prompt", v.vocab(t), max_tokens=BLOCK - 2, add_specials=True)

@@ -41,3 +41,14 @@ def test_sections_template_keeps_newlines(spark):
 def test_truncate_budget(spark):
     df = spark.createDataFrame([("one, two three.",)], "t string")
     assert df.select(tx.truncate_tokens("t", 3)).first()[0] == "one , two"
+
+
+@pytest.mark.parametrize("k", [1, 2, 5, 88, 2000])
+@pytest.mark.parametrize("fast", [False, True])
+def test_tokens_head_equals_sliced_tokens(spark, k, fast):
+    from pyspark.sql import functions as F
+
+    rows = [("  a,,b  c\t\n d!!e",), ("",), ("   ",), (None,), ("ÉtÉ naïve — x1y2 , .",), ("w " * 3000,)]
+    df = spark.createDataFrame(rows, "t string")
+    got = df.select(tx.tokens_head("t", k, fast).alias("h"), F.slice(tx.tokens("t", fast), 1, k).alias("s")).collect()
+    assert all(r.h == r.s for r in got)
