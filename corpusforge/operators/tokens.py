@@ -47,7 +47,7 @@ def padded_vocab_size(n: Column | int) -> Column:
 
 # Largest vocabulary (rows) shipped to every task as a broadcast; above it the
 # lookup is a shuffle join on the token.
-BROADCAST_VOCAB_MAX = 2_000_000
+BROADCAST_VOCAB_MAX = 1_000_000  # ~50-80 MB as a hash relation
 
 
 def materialize(df: DataFrame) -> DataFrame:

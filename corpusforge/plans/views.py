@@ -54,14 +54,19 @@ class Tables:
         return tk.materialize(tk.vocab_build(self["documents"]))
 
 
+SPREAD_MAX_BYTES = 1 << 30
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition a text table by its key when it arrives in fewer files than cores.
+    """Hash-partition a SMALL text table by its key when it arrives in fewer files than cores.
 
-    A few large files (or one row group) leave most cores idle for the regex
-    work that follows; a real corpus of thousands of files is left as it is.
-    The decision reads the file listing only."""
+    A few files with one row group each leave most cores idle for the regex work
+    that follows, and shuffling under 1 GiB is cheap. A large corpus is never
+    reshuffled here: its splits already give every core work. The decision uses
+    the file listing and the planner's size estimate only (no scan)."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) < cores:
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < SPREAD_MAX_BYTES and len(df.inputFiles()) < cores:
         return df.repartition(cores, key)
     return df
 

@@ -268,7 +268,7 @@ def _one_line(col: str) -> Column:
     return F.regexp_replace(F.coalesce(F.col(col), F.lit("")), r"[\r\n]", " ")
 
 
-def write_aligned(df: DataFrame, root: str, order: str, partitions: int = 8) -> None:
+def write_aligned(df: DataFrame, root: str, order: str, partitions: int | None = None) -> None:
     """Write pairs as aligned line files in the partitioned layout, one job:
     root/kind=<id|src|trg>/subset=<s>/split=<p>/part-*. Lines of the three kinds
     follow the same order (range partitions sorted by ``order``); a line file
@@ -283,6 +283,7 @@ def write_aligned(df: DataFrame, root: str, order: str, partitions: int = 8) ->
             F.struct(F.lit("trg").alias("kind"), _one_line("target_text").alias("value")),
         )).alias("r"))
     rows = rows.select("subset", "split", "_o", "r.*")
+    partitions = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartitionByRange(partitions, "subset", "split", "_o").sortWithinPartitions(
         "kind", "subset", "split", "_o")
     rows.select("value", "kind", "subset", "split").write.partitionBy("kind", "subset", "split").text(root)
