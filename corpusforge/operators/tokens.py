@@ -24,14 +24,14 @@ def vocab_build(docs: DataFrame, text_col: str = "text", fast: bool = False) ->
     """(token, id, count) ranked by count desc, token asc; specials take ids 0..4.
 
     Word count with map-side partial aggregation, then the dense index with a
-    bucket (-count, 2-char prefix) that is monotone in the rank order.
+    bucket (-count, 3-char prefix) that is monotone in the rank order.
     """
     counts = (
         docs.select(F.explode(tx.tokens(text_col, fast)).alias("token"))
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("count"))
     )
-    bucket = F.struct((-F.col("count")).alias("c"), F.substring("token", 1, 2).alias("p"))
+    bucket = F.struct((-F.col("count")).alias("c"), F.substring("token", 1, 3).alias("p"))
     ranked = dense_index(counts, order=[F.col("count").desc(), F.col("token")], bucket=bucket, name="_r")
     words = ranked.select("token", (F.col("_r") + N_SPECIALS).cast("int").alias("id"), F.col("count").cast("bigint"))
     spark = docs.sparkSession
