@@ -36,11 +36,15 @@ def batch_drop_last(batches: DataFrame, n_rows: Column | int, batch_size: int) -
 
 
 def step_plan(n: Column, batch_size: int, epochs: int, unit: str = "batch", accum: int = 1,
-              warmup_share: float = WARMUP_SHARE) -> list[Column]:
-    """Steps per epoch = ceil(n / B) (``unit='row'``: n, as the translation
-    scripts do); total = epochs x that (/ accum when accumulation is counted);
+              warmup_share: float = WARMUP_SHARE, drop_last: bool = False) -> list[Column]:
+    """Steps per epoch = ceil(n / B), or floor(n / B) when the short last batch
+    is dropped (the streaming plan); ``unit='row'``: n, as the translation scripts
+    do; total = epochs x that (/ accum when accumulation is counted);
     warm-up = int(share x total)."""
-    per_epoch = F.ceil(n / batch_size) if unit == "batch" else n
+    if unit == "batch":
+        per_epoch = F.floor(n / batch_size) if drop_last else F.ceil(n / batch_size)
+    else:
+        per_epoch = n
     per_epoch = F.ceil(per_epoch / accum) if accum > 1 else per_epoch
     total = (per_epoch * epochs).cast("bigint")
     warm = F.floor(total * F.lit(warmup_share)).cast("bigint")

@@ -70,8 +70,12 @@ def dense_row_index(df: DataFrame, order: Sequence[str], name: str = "row_index"
 
 # --- J: joins and lookups -------------------------------------------------------
 
-def lookup_lang_name(df: DataFrame, dictionary: DataFrame, cols=("source_lang", "target_lang")) -> DataFrame:
-    """Code -> name on each side, by broadcast joins on the (literal-sized) dictionary."""
+def lookup_lang_name(df: DataFrame, dictionary: DataFrame, cols=("source_lang", "target_lang"),
+                     drop_same_name: bool = False) -> DataFrame:
+    """Code -> name on each side, by broadcast joins on the (literal-sized) dictionary.
+
+    Two codes may share one name, so a pair can become same-name after mapping;
+    it is kept (decision Q5) unless ``drop_same_name``."""
     d = F.broadcast(dictionary)
     for c in cols:
         df = (
@@ -79,6 +83,8 @@ def lookup_lang_name(df: DataFrame, dictionary: DataFrame, cols=("source_lang",
             .drop(c, "_code")
             .withColumnRenamed("_name", c)
         )
+    if drop_same_name and len(cols) == 2:
+        df = df.where(~F.col(cols[0]).eqNullSafe(F.col(cols[1])))
     return df
 
 

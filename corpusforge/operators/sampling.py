@@ -55,6 +55,21 @@ def split_head_percent(df: DataFrame, position: str, percent: float, out: str =
     return p.withColumn(out, F.when(F.col("_i") < cut, "validation").otherwise("train")).drop("_i", "_n")
 
 
+def validation_from_head(df: DataFrame, split_col: str, position: str, percent: float,
+                         width: int = 1 << 14) -> DataFrame:
+    """D03 as the reference applies it: only when the table has no ``validation`` rows
+    are the first p % of the train rows (by position) turned into validation. The
+    check is a scalar subquery, so both branches stay one plan."""
+    has_val = df.select(F.max((F.col(split_col) == "validation").cast("int"))).scalar()
+    train = df.where(F.col(split_col) == "train")
+    cut = split_head_percent(train.drop(split_col), position, percent, out="_s", width=width)
+    carved = cut.withColumn(split_col, F.col("_s")).drop("_s")
+    others = df.where(F.col(split_col) != "train")
+    kept = df.where(F.coalesce(has_val, F.lit(0)) == 1)
+    made = carved.unionByName(others).where(F.coalesce(has_val, F.lit(0)) == 0)
+    return kept.unionByName(made)
+
+
 def shuffle_seeded(df: DataFrame, key, seed=SEED, name: str = "pos") -> DataFrame:
     """Seeded permutation; ``pos`` is the new order."""
     return hash_position(df, key, seed, name=name)

@@ -34,8 +34,9 @@ def q_split_unseeded(spark, sf):
   CASE WHEN row_number() OVER (ORDER BY doc_id) - 1 < floor(5 * count(*) OVER () / 100 + 0.5)
   THEN 'validation' ELSE 'train' END AS data_split FROM documents""")
 def q_split_head(spark, sf):
-    d = v.Tables(spark, sf)["documents"].select("doc_id")
-    return sm.split_head_percent(d, "doc_id", 5)
+    # the documents table has no validation split, so the head 5 % of train becomes one
+    d = v.Tables(spark, sf)["documents"].select("doc_id", F.lit("train").alias("data_split"))
+    return sm.validation_from_head(d, "data_split", "doc_id", 5)
 
 
 @register("D04_shuffle_seeded", with_views(

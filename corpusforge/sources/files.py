@@ -92,15 +92,12 @@ def append_metrics(spark: SparkSession, rows: DataFrame, path: str) -> DataFrame
 
 def read_by_extension(spark: SparkSession, train_file: str, validation_file: str | None = None,
                       required: Sequence[str] = PAIR4) -> DataFrame:
-    """Csv / json / txt chosen by the TRAIN file's suffix (used for both files);
-    other suffixes raise; required columns are checked up front and named when missing."""
+    """Csv / json / txt chosen by the TRAIN file's suffix, which decides the
+    reader for the validation file too; other suffixes raise; required columns
+    are checked up front and named when missing."""
     ext = train_file.rstrip("/").rsplit(".", 1)[-1].lower() if "." in train_file.rsplit("/", 1)[-1] else ""
     if ext not in ("csv", "json", "txt"):
         raise ValueError(f"train file must be csv, json or txt, got '{ext}'")
-    if validation_file is not None:
-        vext = validation_file.rstrip("/").rsplit(".", 1)[-1].lower()
-        if vext != ext:
-            raise ValueError(f"validation file must be {ext} like the train file, got '{vext}'")
     paths = [train_file] + ([validation_file] if validation_file else [])
 
     def load(p):

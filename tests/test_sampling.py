@@ -85,3 +85,30 @@ def test_no_single_partition_window_on_rows(spark):
     plan = d._jdf.queryExecution().executedPlan().toString()
     assert "row_number()" in plan
     assert "windowspecdefinition(_bkt" in plan.replace(" ", "")
+
+
+def test_validation_from_head_only_when_missing(spark):
+    d = ids(spark, 40).withColumn("data_split", F.lit("train"))
+    a = sm.validation_from_head(d, "data_split", "k", 10)
+    assert sorted(r.k for r in a.where(F.col("data_split") == "validation").collect()) == [0, 1, 2, 3]
+    b = d.withColumn("data_split", F.when(F.col("k") >= 38, "validation").otherwise("train"))
+    out = sm.validation_from_head(b, "data_split", "k", 10)
+    assert sorted(r.k for r in out.where(F.col("data_split") == "validation").collect()) == [38, 39]
+    assert out.count() == 40
+
+
+def test_streaming_step_plan_matches_reference_numbers(spark):
+    from corpusforge.operators.batches import step_plan
+
+    df = spark.createDataFrame([(194157658,)], "n long")
+    r = df.select(*step_plan(F.col("n"), 2048, 1, drop_last=True)).first()
+    assert (r.steps_per_epoch, r.total_steps, r.warmup_steps) == (94803, 94803, 9480)
+
+
+def test_drop_same_name(spark):
+    from corpusforge.operators.pairs import lang_table, lookup_lang_name
+
+    d = spark.createDataFrame([("en", "de"), ("en", "fr")], "source_lang string, target_lang string")
+    lm = lang_table(spark, {"de": "west_germanic", "en": "west_germanic", "fr": "north_french"})
+    assert lookup_lang_name(d, lm).count() == 2
+    assert lookup_lang_name(d, lm, drop_same_name=True).count() == 1

@@ -129,10 +129,11 @@ def test_by_extension(spark, tmp_path):
     write(t, "just text\n")
     with pytest.raises(ValueError, match="missing columns"):
         fl.read_by_extension(spark, t)
+    # the train suffix decides the reader of the validation file too
     c = str(tmp_path / "valid.csv")
-    write(c, "source_lang\nx\n")
-    with pytest.raises(ValueError, match="like the train file"):
-        fl.read_by_extension(spark, j, c)
+    write(c, '{"source_lang":"c","target_lang":"d","source_text":"u","target_text":"v"}\n')
+    both = fl.read_by_extension(spark, j, c)
+    assert sorted(r.data_split for r in both.collect()) == ["train", "validation"]
 
 
 def test_headerless_tsv(spark, tmp_path):
