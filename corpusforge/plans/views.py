@@ -63,12 +63,20 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     A few files with one row group each leave most cores idle for the regex work
     that follows, and shuffling under 1 GiB is cheap. A large corpus is never
     reshuffled here: its splits already give every core work. The decision uses
-    the file listing and the planner's size estimate only (no scan)."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size < SPREAD_MAX_BYTES and len(df.inputFiles()) < cores:
-        return df.repartition(cores, key)
-    return df
+    the file listing only (no scan)."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if len(files) >= cores:
+        return df
+    size = sum(_file_size(spark, f) for f in files)  # fewer files than cores: a short listing
+    return df.repartition(cores, key) if size < SPREAD_MAX_BYTES else df
+
+
+def _file_size(spark: SparkSession, path: str) -> int:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).getLen()
 
 
 def hash_digit(*parts) -> Column:
