@@ -114,7 +114,7 @@ def q_pad_truncate(spark, sf):
     extra=[sql_encode("enc_p", "nli", "doc_id", "premise"), sql_encode("enc_h", "nli", "doc_id", "hypothesis")]))
 def q_pair_encode(spark, sf):
     t = v.Tables(spark, sf)
-    n = v.nli(t)
+    n = tk.materialize(v.nli(t))  # both sides are encoded from it
     voc = v.vocab(t)
     prem = tk.encode(n, ["doc_id", "labels"], "premise", voc, add_specials=False, out="p_ids")
     hyp = tk.encode(n, ["doc_id"], "hypothesis", voc, add_specials=False, out="h_ids")
