@@ -146,7 +146,9 @@ def q_accum_groups(spark, sf):
         (SELECT count(*) AS nb, 3 * count(*)::DOUBLE AS t, floor(0.3 * count(*))::DOUBLE AS w FROM bat) s)""",
     "sent", extra=[SHUF_SENT, BATCH_SQL]))
 def q_lr_schedule(spark, sf):
-    one = batches(spark, sf).select("batch_id")
+    from corpusforge.operators.tokens import materialize
+
+    one = materialize(batches(spark, sf).select("batch_id"))  # read by the rows and by the count
     b = bt.epoch_expand(one, 3).withColumn("epoch", F.col("epoch").cast("int"))
     nb = one.select(F.count(F.lit(1))).scalar()
     b = b.withColumn("step", (F.col("epoch") * nb + F.col("batch_id")).cast("bigint"))
