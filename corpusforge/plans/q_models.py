@@ -143,7 +143,9 @@ def q_pair_features(spark, sf):
 @register("M02_fit_pair_classifier")
 def q_fit_pair_classifier(spark, sf):
     n = v.nli(v.Tables(spark, sf))
-    f = md.pair_features(sm.split_exact_seeded(n, "doc_id", 0.05, 42, out="split"))
+    from corpusforge.operators.tokens import materialize
+
+    f = materialize(md.pair_features(sm.split_exact_seeded(n, "doc_id", 0.05, 42, out="split")))
     model = md.pair_classifier().fit(f.where(F.col("split") == "train"))
     out = model.transform(f.where(F.col("split") == "test"))
     return out.select("doc_id", "labels", F.col("prediction").cast("int").alias("prediction"))

@@ -223,7 +223,11 @@ def read_aligned(spark: SparkSession, root: str, layout: str = "files") -> tuple
     """S06 + S07: (pairs, status). Pairs zip .id/.src/.trg by line number for every
     (subset, split) whose three files have equal line counts; status reports rows
     per loaded entry and the true reason for every other one."""
-    lines = _aligned_lines(spark, root, layout)
+    from corpusforge.operators.tokens import materialize
+
+    # read and number every line once: counts, ids, sources and targets all use it,
+    # and the line numbers are fixed before anyone depends on them
+    lines = materialize(_aligned_lines(spark, root, layout))
     counts = lines.groupBy("subset", "split").pivot("kind", ["id", "src", "trg"]).agg(F.count(F.lit(1)))
     expected = spark.createDataFrame([(s, p) for s in ALIGNED_SUBSETS for p in ALIGNED_SPLITS], "subset string, split string")
     status = expected.join(counts, ["subset", "split"], "full")
