@@ -65,7 +65,10 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     reshuffled here: its splits already give every core work. The decision uses
     the file listing only (no scan)."""
     spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
+    try:
+        cores = spark.sparkContext.defaultParallelism
+    except Exception:  # no local SparkContext: leave the input as it is
+        return df
     files = df.inputFiles()
     if len(files) >= cores:
         return df
