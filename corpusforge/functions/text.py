@@ -60,11 +60,6 @@ def seeded_hash(key, seed) -> Column:
     return F.md5(F.concat_ws(HASH_SEP, _c(key).cast("string"), F.lit(str(seed))))
 
 
-def hex_to_long(hexstr, digits: int = 8) -> Column:
-    """First ``digits`` hex digits as a non-negative bigint."""
-    return F.conv(F.substring(_c(hexstr), 1, digits), 16, 10).cast("bigint")
-
-
 def lang_display(col) -> Column:
     """Underscores to spaces, then title case (capital after any non-letter)."""
     s = F.regexp_replace(_c(col), "_", " ")

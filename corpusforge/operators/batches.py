@@ -76,11 +76,6 @@ def lr_at(step, base_lr: float, warmup, total) -> Column:
     return F.lit(base_lr) * F.least(F.lit(1.0), s / w) * F.greatest(F.lit(0.0), 1 - s / t)
 
 
-def check_schedule(warmup: int, total: int) -> None:
-    if warmup <= 0 or total <= 0:
-        raise ValueError("warm-up and total steps must be positive (division by zero otherwise)")
-
-
 def epoch_expand(df: DataFrame, epochs: int, name: str = "epoch") -> DataFrame:
     """The table once per epoch (0..E-1); order per epoch comes from D05."""
     return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))

@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 
 from corpusforge.operators.index import dense_index, range_bucket
 
-PAIR_COLUMNS = ["source_lang", "target_lang", "source_text", "target_text", "data_split", "data_source"]
-
-
 # --- P: projections and filters -------------------------------------------------
 
 def select_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:

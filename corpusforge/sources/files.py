@@ -114,24 +114,6 @@ def read_by_extension(spark: SparkSession, train_file: str, validation_file: str
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def indexed_lines(spark: SparkSession, paths, extra: dict[str, Column] | None = None,
-                  partition_by: Sequence[str] = ("file",)) -> DataFrame:
-    """Lines with a dense 0-based ``line_no`` in file order per ``partition_by`` group.
-
-    File order = (file path, block start, row id inside the split); the bucket is
-    the (file, block) pair, so no task ever ranks a whole file."""
-    df = spark.read.text(paths).select(
-        F.col("value"),
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("rid"),
-    )
-    if extra:
-        df = df.withColumns(extra)
-    return dense_index(df, order=["file", "block", "rid"], bucket=F.struct("file", "block"),
-                       partition_by=[c for c in partition_by if c != "file"] or ["file"], name="line_no")
-
-
 def read_text_lines(spark: SparkSession, path: str, keep_linebreaks: bool = True) -> DataFrame:
     """One row per line; with ``keep_linebreaks`` the newline is part of the text,
     except on a file's last line when the file does not end with one."""

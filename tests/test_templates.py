@@ -52,3 +52,13 @@ def test_tokens_head_equals_sliced_tokens(spark, k, fast):
     df = spark.createDataFrame(rows, "t string")
     got = df.select(tx.tokens_head("t", k, fast).alias("h"), F.slice(tx.tokens("t", fast), 1, k).alias("s")).collect()
     assert all(r.h == r.s for r in got)
+
+
+def test_zip_arrays_equal_and_unequal(spark):
+    from corpusforge.operators.pairs import zip_arrays
+
+    ok = spark.createDataFrame([([1, 2], ["a", "b"])], "x array<int>, y array<string>")
+    assert [tuple(r) for r in ok.select(zip_arrays("x", "y")).first()[0]] == [(1, "a"), (2, "b")]
+    bad = spark.createDataFrame([([1, 2], ["a"])], "x array<int>, y array<string>")
+    with pytest.raises(Exception):
+        bad.select(zip_arrays("x", "y")).collect()
