@@ -116,8 +116,10 @@ def q_pair_encode(spark, sf):
     t = v.Tables(spark, sf)
     n = tk.materialize(v.nli(t))  # both sides are encoded from it
     voc = v.vocab(t)
-    prem = tk.encode(n, ["doc_id", "labels"], "premise", voc, add_specials=False, out="p_ids")
-    hyp = tk.encode(n, ["doc_id"], "hypothesis", voc, add_specials=False, out="h_ids")
+    # at most BLOCK-4 premise tokens can be used, and BLOCK-3 hypothesis tokens already
+    # mean "does not fit": encode no more than that (bounded groups, same result)
+    prem = tk.encode(n, ["doc_id", "labels"], "premise", voc, max_tokens=BLOCK - 4, add_specials=False, out="p_ids")
+    hyp = tk.encode(n, ["doc_id"], "hypothesis", voc, max_tokens=BLOCK - 3, add_specials=False, out="h_ids")
     j = prem.join(hyp, "doc_id")
     ids = tk.pair_encode_only_first("p_ids", "h_ids", BLOCK)
     padded, _ = tk.pad_truncate(ids, BLOCK)
