@@ -88,3 +88,14 @@ def test_accum_factor_error():
     assert accum_factor(2048, 32) == 8 and accum_factor(2048, 16) == 16
     with pytest.raises(ValueError):
         accum_factor(2048, 512)
+
+
+def test_pair_encode_reject_boundary(spark):
+    from corpusforge.operators.tokens import pair_encode_only_first
+
+    df = spark.createDataFrame([(list(range(5, 305)), list(range(5, 5 + h))) for h in (10, 252, 253)],
+                               "p array<int>, h array<int>")
+    out = [r[0] for r in df.select(pair_encode_only_first("p", "h", 256)).collect()]
+    assert len(out[0]) == 256 and out[0][1:243] == list(range(5, 247))  # premise cut to 256-4-10
+    assert len(out[1]) == 256 and out[1][:3] == [0, 2, 2]  # no room left for the premise
+    assert out[2] is None  # hypothesis alone too long: rejected
