@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HASH_BUCKET_DIGITS = 3  # 4,096 buckets for hash orders
+HASH_BUCKET_DIGITS = 4  # 65,536 buckets: n/65,536 rows per ranking task; offsets table ~1-2 MB
 
 
 def hash_bucket(hash_col: str | Column, digits: int = HASH_BUCKET_DIGITS) -> Column:
@@ -59,7 +59,7 @@ def dense_index(
         offsets = offsets.withColumn(total_name, F.sum("_cnt").over(Window.partitionBy(*parts)).cast("bigint"))
     offsets = offsets.drop("_cnt")
     if bounded and not parts:
-        # one row per bucket, at most 16**digits rows: a proven bound
+        # one row per bucket, at most 16**digits (65,536) rows: a proven bound
         offsets = F.broadcast(offsets)
     joined = b.join(offsets, on=[*parts, "_bkt"], how="inner")
     inner = Window.partitionBy(*parts, "_bkt").orderBy(*order)
