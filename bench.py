@@ -64,10 +64,14 @@ def main() -> None:
     t = time.time()
     run(q_core.entry_summary(spark, sf_dir))
     times["entry_chunk_summary"] = round(time.time() - t, 3)
+    errors = {}
     for k in keys:
         t = time.time()
-        run(reg[k].build(spark, sf_dir))
-        times[k] = round(time.time() - t, 3)
+        try:
+            run(reg[k].build(spark, sf_dir))
+            times[k] = round(time.time() - t, 3)
+        except Exception as e:  # keep the one-line report even if a query fails
+            errors[k] = type(e).__name__ + ": " + str(e).splitlines()[0][:200]
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({
         "metric": "total_query_seconds",
@@ -77,6 +81,7 @@ def main() -> None:
         "sf": float(sf) if sf.replace(".", "").isdigit() else sf,
         "cpus": cpus,
         "warmup_sec": round(warm, 3),
+        **({"errors": errors} if errors else {}),
     }))
     spark.stop()
 
