@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["q_suffix_dedup"]
+MODULES = ["q_mixing", "q_ngram_join", "q_language_id", "q_suffix_dedup", "q_decontaminate"]
 
 
 def _merged(attribute: str) -> dict:

@@ -92,14 +92,22 @@ def runs_of_rows(offsets: np.ndarray, limit: int = 1 << 20) -> list[tuple[int, i
     return out
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: separators of plain words: every ASCII byte that is no letter or digit
+NOT_WORD = np.ones(256, dtype=bool)
+NOT_WORD[[*range(ord("0"), ord("9") + 1), *range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = False
+NOT_WORD[128:] = False
+
+
+def word_spans(
+    data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = IS_SPACE
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, row) of each word, in order. Words do not cross row ends."""
     n = len(data)
     if n == 0:
         z = np.zeros(0, np.int64)
         return z, z, z
     inside = np.empty(n + 1, dtype=bool)
-    np.logical_not(IS_SPACE[data], out=inside[:n])
+    np.logical_not(separators[data], out=inside[:n])
     inside[n] = False
     before = np.empty(n + 1, dtype=bool)
     before[0] = False
