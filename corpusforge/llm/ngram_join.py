@@ -4,19 +4,23 @@ Sets are kept in one global order (the order of the shingle names). The join
 has two parts:
 
 * **Which sets meet.** Two sets with Jaccard similarity t differ in at most
-  d = (|x| + |y|) (1 - t) / (1 + t) shingles. The name range is cut into
-  M = 2**k > d equal segments, so at least one segment holds exactly the same
-  shingles in both. The path of a set through one segment (its shingles there,
-  in order) is named by a hash; sets that share a path name meet. M depends on
-  the larger set only; a set whose partners may need another power of two is
-  entered for each. A frequent shingle is no hot key, since a path is the
-  whole content of a segment (about 5 to 9 shingles).
-* **The tree.** Sets that meet, directly or over others, form families. A
-  family is dealt into blocks of bounded size, and every pair of blocks is one
-  unit of work. In a unit the ordered sets form a trie with edges of 64
-  shingles; a set walks it level by level, so sets with a common path share
-  their partial overlap, and a subtree leaves as soon as its overlap plus
-  the smaller of the remaining lengths cannot reach the threshold.
+  d = 2 n (1 - t) / (1 + t) shingles, n being the larger size. The name range
+  is cut into M = 2**k > d equal segments, so at least M - d segments hold
+  exactly the same shingles in both. The path of a set through one segment
+  (its shingles there, in order) is named by a hash; sets that share a path
+  name meet. M depends on the larger set only; a set whose partners may need
+  another power of two is entered for each. A frequent shingle is no hot key,
+  since a path is the whole content of a segment. A set with so many empty
+  segments that they alone could be the equal ones is also entered by the
+  first shingles of its order (the prefix filter), of which linked sets share
+  one.
+* **The tree.** Sets that meet, directly or over others, form families. Work is
+  dealt out by family or, where that tests fewer pairs (many sets that share
+  one passage), by path; larger groups are cut into blocks of bounded size and
+  every pair of blocks is one unit. In a unit the ordered sets form a trie with
+  edges of 64 shingles; a set walks it level by level, so sets with a common
+  path share their partial overlap, and a subtree leaves as soon as its
+  overlap plus the smaller of the remaining lengths cannot reach the threshold.
 
 Exact copies are merged before the join (a set is named by 128 bits), only
 links that join two groups of a unit are returned, and groups are connected
@@ -25,6 +29,7 @@ components over those links.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +40,8 @@ from pyspark.sql import functions as F
 from corpusforge.llm import textbytes as tb
 from corpusforge.llm.tables import Scratch, components
 
-SIZE = 3
-PERCENT = 90
+SIZE = 5
+PERCENT = 80
 EDGE = 64  # shingles on one edge of the trie
 BLOCK_SETS = 256  # sets in one block
 BLOCK_TOKENS = 1 << 20  # shingles in one block, about
@@ -47,17 +52,20 @@ def _most(n: int, percent: int) -> int:
     return 2 * n * (100 - percent) // (100 + percent)
 
 
-def _spread(n: int, percent: int) -> range:
-    """Powers k to enter a set of n shingles for: the larger set of a linked pair has n to 100 n / percent shingles."""
-    return range(_most(n, percent).bit_length(), _most(100 * n // percent, percent).bit_length() + 1)
+def _power(n: int, percent: int) -> int:
+    """k for a pair whose larger set has n shingles: 2**k exceeds the largest difference, with room for empty segments."""
+    most = _most(n, percent)
+    return (most + int(10 * most * math.exp(-(100 + percent) / (2 * (100 - percent))))).bit_length()
 
 
 def _paths(s: np.ndarray, percent: int) -> np.ndarray:
-    """Names of the segment paths of one ordered set."""
+    """Names of the segment paths of one ordered set; its partners have up to 100 n / percent shingles."""
     out = []
+    n = len(s)
     mixed = tb.finalize(s)
-    most = _most(100 * len(s) // percent, percent)
-    for k in _spread(len(s), percent):
+    widest = 100 * n // percent
+    by_prefix = False
+    for k in range(_power(n, percent), _power(widest, percent) + 1):
         if k == 0:  # any partner is the same set
             continue
         seg = (s >> tb.U64(64 - k)).astype(np.int64)
@@ -65,10 +73,10 @@ def _paths(s: np.ndarray, percent: int) -> np.ndarray:
         ids = (seg[cut] + (k << 48)).astype(np.uint64)
         with np.errstate(over="ignore"):
             out.append(tb.finalize(np.add.reduceat(mixed, cut) + ids * tb._MIX1))
-            equal = (1 << k) - min(most, (1 << k) - 1)  # segments that a partner shares at least
-            if (1 << k) - len(cut) >= equal:  # they could all be empty ones
-                none = np.setdiff1d(np.arange(1 << k), seg[cut]) + (k << 48)
-                out.append(tb.finalize(none.astype(np.uint64) * tb._MIX1))
+        equal = (1 << k) - min(_most(widest, percent), (1 << k) - 1)  # segments that a partner shares at least
+        by_prefix |= (1 << k) - len(cut) >= equal
+    if by_prefix:
+        out.append(tb.finalize(s[: n + (-percent * n // 100) + 1] ^ tb._MIX2))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -86,29 +94,67 @@ def ordered_sets(col: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]]:
             yield a + i, h[cut[i] : cut[i + 1]]
 
 
-def _set_rows(size: int, percent: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("id1", pa.int64()), ("id2", pa.int64()), ("paths", pa.list_(pa.int64()))])
+def _name(s: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """128-bit name of a set."""
+    with np.errstate(over="ignore"):
+        return tb.finalize(s).sum(dtype=np.uint64) + tb.U64(len(s)), tb.finalize(s ^ tb._MIX2).sum(dtype=np.uint64)
 
+
+def _signed(x: list) -> pa.Array:
+    return pa.array(np.array(x, dtype=np.uint64).view(np.int64))
+
+
+def _set_rows(size: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            named = [(len(s), *_name(s)) for _, s in ordered_sets(batch.column(1), size)]
+            n, one, two = zip(*named) if named else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(n, pa.int64()), _signed(one), _signed(two)], names=["doc_id", "n", "id1", "id2"]
+            )
+
+    return rows
+
+
+def _path_rows(size: int, percent: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            n, one, two, paths, cuts = [], [], [], [], [0]
-            for _, s in ordered_sets(batch.column(1), size):
-                n.append(len(s))
-                with np.errstate(over="ignore"):
-                    one.append(tb.finalize(s).sum(dtype=np.uint64) + tb.U64(len(s)))
-                    two.append(tb.finalize(s ^ tb._MIX2).sum(dtype=np.uint64))
-                p = _paths(s, percent) if len(s) else s
-                paths.append(p)
-                cuts.append(cuts[-1] + len(p))
-            flat = np.concatenate(paths).view(np.int64) if paths else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat))
-            wide = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (one, two)]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), *wide, lists], schema=schema)
+            for a in range(0, batch.num_rows, 512):
+                paths, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+                for _, s in ordered_sets(batch.column(0).slice(a, 512), size):
+                    if len(s):
+                        paths.append(_paths(s, percent))
+                        ids.append(np.full(len(paths[-1]), _name(s)[0]))
+                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(x)) for x in (paths, ids)], names=["path", "id1"])
 
     return rows
 
 
+def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (path, id1): (path, id1, first id1) of the paths with two sets or more. Carries one row between batches."""
+    last: tuple[int, int, bool] | None = None  # path, its first set, whether that row is out
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        path, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        new = np.concatenate([[last is None or path[0] != last[0]], path[1:] != path[:-1]])
+        group = np.cumsum(new)  # 0: the carried path goes on
+        first = np.concatenate([[last[1] if last else 0], node[new]])
+        is_out = np.zeros(len(first), dtype=bool)
+        is_out[0] = last is None or last[2]
+        other = node != first[group]
+        other[1:] &= new[1:] | (node[1:] != node[:-1])
+        paths = np.concatenate([[last[0] if last else 0], path[new]])
+        meets = np.zeros(len(first), dtype=bool)
+        meets[group[other]] = True
+        heads = np.flatnonzero(meets & ~is_out)
+        p = np.concatenate([paths[heads], path[other]])
+        i = np.concatenate([first[heads], node[other]])
+        f = np.concatenate([first[heads], first[group[other]]])
+        last = (int(path[-1]), int(first[group[-1]]), bool(meets[group[-1]] or (group[-1] == 0 and is_out[0])))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (p, i, f)], names=["path", "id1", "first"])
+
+
 class Trie:
     """Ordered sets of one unit as a tree of ``EDGE``-shingle edges."""
 
@@ -195,11 +241,11 @@ def _unit_rows(percent: int):
         held: list[tuple] = []
         for batch in batches:
             cols = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
-            for fam, i, j, node, side, names in zip(*cols):
-                if held and held[0][0] != (fam, i, j):
+            for *unit, node, side, names in zip(*cols):
+                if held and held[0][0] != unit:
                     yield links(held)
                     held = []
-                held.append(((fam, i, j), node, side, names))
+                held.append((unit, node, side, names))
         if held:
             yield links(held)
 
@@ -207,14 +253,13 @@ def _unit_rows(percent: int):
 
 
 def _set_bytes(size: int):
-    schema = pa.schema([("node", pa.int64()), ("names", pa.binary())])
-
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
-                names = [s.tobytes() for _, s in ordered_sets(part.column(1), size)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.binary())], schema=schema)
+                sets = [s for _, s in ordered_sets(part.column(1), size)]
+                names = pa.array([s.tobytes() for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), _signed([_name(s)[0] for s in sets]), names], names=["node", "id1", "names"])
 
     return rows
 
@@ -234,40 +279,53 @@ def near_duplicate_groups(
     scratch = Scratch(spark, "ngram")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = texts.where("doc_id is not null")
-    sets = texts.mapInArrow(_set_rows(size, percent), "doc_id long, n long, id1 long, id2 long, paths array<long>")
-    sets = scratch.keep(sets, "sets")
+    sets = texts.mapInArrow(_set_rows(size), "doc_id long, n long, id1 long, id2 long")
     one = sets.groupBy("doc_id").agg(F.max(F.struct("id1", "id2", "n")).alias("s")).select("doc_id", "s.*")
-    kinds = sets.where("n > 0").groupBy("id1", "id2", "n").agg(F.min("doc_id").alias("node"))
+    one = scratch.keep(one, "sets")
+    kinds = one.where("n > 0").groupBy("id1", "id2", "n").agg(F.min("doc_id").alias("node"))
     kinds = scratch.keep(kinds, "kinds")
 
-    # which sets meet: star edges to the smallest set of a path
-    entered = sets.where("n > 0").select(F.explode("paths").alias("path"), "id1")
-    stars = entered.groupBy("path").agg(F.min("id1").alias("a"), F.max("id1").alias("z")).where("a <> z").select("path", "a")
-    stars = entered.join(stars, "path").where("a <> id1").select(F.col("a"), F.col("id1").alias("b")).distinct()
-    family = components(spark, stars, scratch)
-
-    members = kinds.join(family, kinds["id1"] == family["node"]).select(kinds["node"], "n", F.col("root").alias("family"))
-    members = scratch.keep(members, "members")
-    total = members.groupBy("family").agg(F.count("*").alias("c"), F.sum("n").alias("t"))
+    # which sets meet; a path has each set once at most, so no path has more than its share of the rows
+    entered = texts.select("text").mapInArrow(_path_rows(size, percent), "path long, id1 long")
+    entered = entered.repartition("path").sortWithinPartitions("path", "id1")
+    shared = scratch.keep(entered.mapInArrow(_shared_rows, "path long, id1 long, first long"), "shared")
+    scratch.drop()
+    family = components(spark, shared.select(F.col("first").alias("a"), F.col("id1").alias("b")), scratch)
+    family = scratch.keep(family.select(F.col("node").alias("id1"), F.col("root").alias("family")), "family")
+
+    # units: by family, or by path where that tests fewer pairs
+    by_path = shared.groupBy("path").agg(F.count("*").alias("c"), F.min("first").alias("id1")).join(family, "id1")
+    by_path = by_path.groupBy("family").agg(F.sum(F.col("c") * F.col("c")).alias("path_pairs"))
+    members = kinds.select("node", "n", "id1").join(family, "id1")
+    size_of = members.groupBy("family").agg((F.count("*") * F.count("*")).alias("family_pairs"))
+    way = size_of.join(by_path, "family").select("family", (F.col("path_pairs") < F.col("family_pairs")).alias("paths"))
+    members = scratch.keep(members.join(way, "family"), "members")
+    groups = members.where("not paths").select(F.lit(0).alias("kind"), F.col("family").alias("grp"), "node", "id1", "n")
+    along = shared.select("path", "id1").join(members.where("paths").select("id1", "node", "n"), "id1")
+    groups = groups.unionByName(along.select(F.lit(1).alias("kind"), F.col("path").alias("grp"), "node", "id1", "n"))
+    groups = scratch.keep(groups, "groups")
+    total = groups.groupBy("kind", "grp").agg(F.count("*").alias("c"), F.sum("n").alias("t"))
     blocks = F.ceil(F.greatest(F.col("c") / block_sets, F.col("t") / BLOCK_TOKENS)).cast("int")
-    dealt = members.join(total.select("family", blocks.alias("blocks")), "family")
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = dealt.select("node", "family", "blocks", mine.alias("mine"))
-
-    # the text of each set's first document, as an ordered set, to every unit its block takes part in
-    heads = texts.join(members.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    bodies = heads.mapInArrow(_set_bytes(size), "node long, names binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    units = dealt.select("node", "family", "mine", other)
+    total = total.where("c > 1").select("kind", "grp", blocks.alias("blocks"))
+    units = groups.join(total, ["kind", "grp"])
+    units = units.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    units = units.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     units = units.select(
-        "family",
+        "kind",
+        "grp",
         F.least("mine", "other").alias("i"),
         F.greatest("mine", "other").alias("j"),
         "node",
+        "id1",
         F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"),
     )
-    units = units.join(bodies, "node").select("family", "i", "j", "node", "side", "names")
-    units = units.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
+
+    # the text of each set's first document, as an ordered set, goes to every unit its block takes part in
+    heads = texts.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    bodies = heads.mapInArrow(_set_bytes(size), "node long, id1 long, names binary").dropDuplicates(["node", "id1"])
+    place = ["kind", "grp", "i", "j"]
+    units = units.join(bodies, ["node", "id1"]).select(*place, "node", "side", "names")
+    units = units.repartition(*place).sortWithinPartitions(*place)
     links = scratch.keep(units.mapInArrow(_unit_rows(percent), "a long, b long"), "links")
 
     group = components(spark, links, scratch)

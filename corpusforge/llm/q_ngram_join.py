@@ -9,7 +9,7 @@ from corpusforge.llm.ngram_join import near_duplicate_groups
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return near_duplicate_groups(spark, docs)
+    return near_duplicate_groups(spark, docs, size=3, percent=90)
 
 
 QUERIES = {"op2_ngram_join": op2_ngram_join}
