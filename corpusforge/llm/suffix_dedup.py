@@ -9,17 +9,19 @@ up to ``length`` matter, and only positions whose shorter prefixes repeat go on:
    position inside it whose ``anchor``-byte string has the smallest hash
    (leftmost of equals). Equal windows have equal anchors at equal distance, so
    one rank per anchor speaks for the whole run of windows that share it (about
-   40 bytes of text each). Spark groups the ranks; anchors with a unique rank
-   leave with all their windows.
-2. The run: pairs (anchor rank, rank of the run's whole span). Of runs with
-   the same pair the first stays for round 3, the others are copies and all
-   their windows are removed. Where an anchor rank has one pair left, its run
-   is unique and leaves.
-3. ``length`` bytes: the windows of the remaining runs, as pairs of ranks
-   (first half, second half). A window whose pair occurs earlier is removed.
-
-Ranks are 64-bit hashes of the bytes; a decision always rests on a pair, 128
-bits. Every round is one or two shuffles of fixed-width rows; hot ranks meet in
+   40 bytes of text each).
+2. ``length - 8`` bytes: what remains of the runs is cut into cells of up to 9
+   windows whose distances to the anchor are alike; all windows of a cell
+   contain the same ``length - 8`` bytes, its core.
+3. ``length`` bytes: the single windows of the remaining cells.
+
+In every round Spark groups the core ranks, and cells with a unique one leave.
+The others are named by the pair (core rank, rank of the whole span): of equal
+pairs the first goes on and the others are copies, all their windows removed.
+Where a core rank has one pair left, that cell is unique and leaves too.
+
+Ranks are 64-bit hashes of the bytes; removing always rests on a pair, 128
+bits. Every round is a few shuffles of fixed-width rows; hot ranks meet in
 partial aggregates and in joins that AQE may split.
 """
 
@@ -38,6 +40,7 @@ from corpusforge.llm.tables import Scratch
 
 LENGTH = 100
 ANCHOR = 20
+CELL = 9  # windows in a cell of the second round
 _SHAPE_BITS = 16  # left distance and number of windows of a run, 8 bits each
 
 
@@ -109,29 +112,60 @@ def _anchor_rows(length: int, anchor: int):
     return rows
 
 
-def _window_rows(length: int):
-    schema = pa.schema([("r1", pa.int64()), ("r2", pa.int64()), ("doc_id", pa.int64()), ("p", pa.int64())])
+def _cell_rows(length: int, width: int):
+    """Cells of ``width`` windows of the listed runs (or cells), as rows like those of ``_anchor_rows``."""
+    schema = pa.schema([("rank", pa.int64()), ("span", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        half = length // 2
         for batch in batches:
             data, offsets = tb.text_bytes(batch.column(1))
             for i, (doc, ats) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2))):
-                at = np.sort(ats.values.to_numpy(zero_copy_only=False))
+                at = np.unique(ats.values.to_numpy(zero_copy_only=False))
                 part = data[offsets[i] : offsets[i + 1]]
-                count = at & 0xFF
-                start = np.repeat(at >> _SHAPE_BITS, count)
-                p = start + np.arange(len(start)) - np.repeat(np.cumsum(count) - count, count)
+                left, count = (at >> 8) & 0xFF, at & 0xFF
+                anchor = (at >> _SHAPE_BITS) + left
+                high, low = left // width, (left - count + 1) // width
+                n = high - low + 1
+                which = np.repeat(np.arange(len(at)), n)
+                cell = np.repeat(high, n) - (np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n))
+                far = np.minimum(left[which], cell * width + width - 1)  # distances to the anchor
+                near = np.maximum((left - count + 1)[which], cell * width)
+                first, final, core = anchor[which] - far, anchor[which] - near, anchor[which] - cell * width
                 run, down = _running(part)
-                r1, r2 = _names(run, down, p, p + half), _names(run, down, p + half, p + length)
+                if width == 1:
+                    rank = _names(run, down, first, first + length // 2)
+                    span = _names(run, down, first + length // 2, first + length)
+                else:
+                    rank = _names(run, down, core, core + length - width + 1)
+                    shape = ((cell * width - near + 256) * 512 + far - near).astype(np.uint64)
+                    with np.errstate(over="ignore"):
+                        span = tb.finalize(_names(run, down, first, final + length) + shape * tb._MIX1)
+                new = (first << _SHAPE_BITS) | (far << 8) | (far - near + 1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(r1.view(np.int64)), pa.array(r2.view(np.int64)), pa.array(np.full(len(p), doc, np.int64)), pa.array(p)],
+                    [pa.array(rank.view(np.int64)), pa.array(span.view(np.int64)), pa.array(np.full(len(new), doc, np.int64)), pa.array(new)],
                     schema=schema,
                 )
 
     return rows
 
 
+def _round(scratch: Scratch, rows: DataFrame, length: int, label: str) -> tuple[DataFrame, DataFrame]:
+    """(copies as byte ranges, cells to split further as (doc_id, ats)) of one round's rows."""
+    twice = rows.groupBy("rank").count().where("count > 1").select("rank")
+    live = scratch.keep(rows.join(twice, "rank", "left_semi"), f"live{label}")
+    first = live.groupBy("rank", "span").agg(F.min(F.struct("doc_id", "at")).alias("f"))
+    first = scratch.keep(first.select("rank", F.col("f.doc_id").alias("doc_id"), F.col("f.at").alias("at")), f"first{label}")
+    copies = live.join(first.select("doc_id", "at"), ["doc_id", "at"], "left_anti")
+    start = F.shiftright("at", _SHAPE_BITS)
+    copies = copies.select("doc_id", start.alias("start"), (start + F.col("at").bitwiseAND(0xFF) + (length - 1)).alias("stop"))
+    copies = scratch.keep(copies, f"copies{label}")
+    many = first.groupBy("rank").count().where("count > 1").select("rank")
+    rest = first.join(many, "rank", "left_semi").groupBy("doc_id").agg(F.collect_list("at").alias("ats"))
+    rest = scratch.keep(rest, f"rest{label}")
+    scratch.drop(live, first)
+    return copies, rest
+
+
 def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """(doc_id, start, stop): byte ranges covered by a ``length``-byte string that also starts earlier.
 
@@ -147,30 +181,16 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH, a
     texts = texts.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
     anchors = texts.mapInArrow(_anchor_rows(length, anchor), "rank long, span long, doc_id long, at long")
 
-    twice = anchors.groupBy("rank").count().where("count > 1").select("rank")
-    live = scratch.keep(anchors.join(twice, "rank", "left_semi"), "anchors")
-
-    first = live.groupBy("rank", "span").agg(F.min(F.struct("doc_id", "at")).alias("f"))
-    first = scratch.keep(first.select("rank", F.col("f.doc_id").alias("doc_id"), F.col("f.at").alias("at")), "first")
-    copies = live.join(first.select("doc_id", "at"), ["doc_id", "at"], "left_anti").distinct()
-    start = F.shiftright("at", _SHAPE_BITS)
-    copies = copies.select("doc_id", start.alias("start"), (start + F.col("at").bitwiseAND(0xFF) + (length - 1)).alias("stop"))
-    copies = scratch.keep(copies, "copies")
-
-    many = first.groupBy("rank").count().where("count > 1").select("rank")
-    runs = first.join(many, "rank", "left_semi").groupBy("doc_id").agg(F.collect_list("at").alias("ats"))
-    runs = scratch.keep(runs, "runs")
-    scratch.drop(live, first)
-
-    windows = texts.join(runs, "doc_id").select("doc_id", "text", "ats")
-    windows = windows.mapInArrow(_window_rows(length), "r1 long, r2 long, doc_id long, p long")
-    windows = scratch.keep(windows, "windows")
-    lead = windows.groupBy("r1", "r2").agg(F.min(F.struct("doc_id", "p")).alias("f"), F.max(F.struct("doc_id", "p")).alias("g"))
-    lead = lead.where("f <> g").select("r1", "r2", "f")
-    later = windows.join(lead, ["r1", "r2"]).where(F.struct("doc_id", "p") != F.col("f"))
-    later = scratch.keep(later.select("doc_id", F.col("p").alias("start"), (F.col("p") + length).alias("stop")), "later")
-    scratch.drop(windows, runs)
-    return copies.unionByName(later)
+    copies, rest = _round(scratch, anchors, length, "1")
+    for label, width in (("2", CELL), ("3", 1)):
+        cells = texts.join(rest, "doc_id").select("doc_id", "text", "ats")
+        cells = cells.mapInArrow(_cell_rows(length, width), "rank long, span long, doc_id long, at long")
+        cells = scratch.keep(cells, f"cells{label}")
+        scratch.drop(rest)
+        more, rest = _round(scratch, cells, length, label)
+        scratch.drop(cells)
+        copies = copies.unionByName(more)
+    return copies
 
 
 def _cut(keep_text: bool):
