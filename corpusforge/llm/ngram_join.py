@@ -299,6 +299,7 @@ def near_duplicate_groups(
     members = kinds.select("node", "n", "id1").join(family, "id1")
     size_of = members.groupBy("family").agg((F.count("*") * F.count("*")).alias("family_pairs"))
     way = size_of.join(by_path, "family").select("family", (F.col("path_pairs") < F.col("family_pairs")).alias("paths"))
+    way = scratch.keep(way, "way")  # a table of its own, so that AQE can split the join's other side
     members = scratch.keep(members.join(way, "family"), "members")
     groups = members.where("not paths").select(F.lit(0).alias("kind"), F.col("family").alias("grp"), "node", "id1", "n")
     along = shared.select("path", "id1").join(members.where("paths").select("id1", "node", "n"), "id1")
@@ -306,7 +307,7 @@ def near_duplicate_groups(
     groups = scratch.keep(groups, "groups")
     total = groups.groupBy("kind", "grp").agg(F.count("*").alias("c"), F.sum("n").alias("t"))
     blocks = F.ceil(F.greatest(F.col("c") / block_sets, F.col("t") / BLOCK_TOKENS)).cast("int")
-    total = total.where("c > 1").select("kind", "grp", blocks.alias("blocks"))
+    total = scratch.keep(total.where("c > 1").select("kind", "grp", blocks.alias("blocks")), "total")
     units = groups.join(total, ["kind", "grp"])
     units = units.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     units = units.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -330,7 +331,7 @@ def near_duplicate_groups(
 
     group = components(spark, links, scratch)
     kinds = kinds.join(group, "node", "left").select("id1", "id2", "n", "node", F.coalesce("root", "node").alias("root"))
-    least = kinds.groupBy("root").agg(F.min("node").alias("component_id"))
-    kinds = kinds.join(least, "root").select("id1", "id2", "n", "component_id")
+    least = scratch.keep(kinds.groupBy("root").agg(F.min("node").alias("component_id")), "least")
+    kinds = scratch.keep(kinds.join(least, "root").select("id1", "id2", "n", "component_id"), "named")
     out = one.join(kinds, ["id1", "id2", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
