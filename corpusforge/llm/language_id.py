@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from corpusforge.llm import textbytes as tb
 
@@ -188,7 +189,7 @@ def identify_language(docs: DataFrame, model: dict | None) -> DataFrame:
     """
     plain = docs.drop("lang_pred", "score")
     n = len(plain.columns)
-    schema = plain.withColumns({"lang_pred": F.lit("x"), "score": F.lit(0.0)}).schema
+    schema = StructType([*plain.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

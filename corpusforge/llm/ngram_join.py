@@ -253,13 +253,19 @@ def _unit_rows(percent: int):
 
 
 def _set_bytes(size: int):
+    """The unit columns with the ordered set of the text in place of the last two; a text that is not the named set leaves."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
-                sets = [s for _, s in ordered_sets(part.column(1), size)]
+                sets = [s for _, s in ordered_sets(part.column(7), size)]
+                own = [int(_name(s)[0].view(np.int64)) == i for s, i in zip(sets, part.column(6).to_pylist())]
                 names = pa.array([s.tobytes() for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), _signed([_name(s)[0] for s in sets]), names], names=["node", "id1", "names"])
+                out = pa.RecordBatch.from_arrays(
+                    [*part.columns[:6], names], names=["kind", "grp", "i", "j", "node", "side", "names"]
+                )
+                yield out.filter(pa.array(own, pa.bool_()))
 
     return rows
 
@@ -321,11 +327,13 @@ def near_duplicate_groups(
         F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"),
     )
 
-    # the text of each set's first document, as an ordered set, goes to every unit its block takes part in
-    heads = texts.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    bodies = heads.mapInArrow(_set_bytes(size), "node long, id1 long, names binary").dropDuplicates(["node", "id1"])
+    # the text of each set's first document, as an ordered set, goes to every unit its block takes part in;
+    # always by a shuffle, so that the plan is the same at every size
     place = ["kind", "grp", "i", "j"]
-    units = units.join(bodies, ["node", "id1"]).select(*place, "node", "side", "names")
+    units = texts.join(units.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id")
+    units = units.select(*place, "doc_id", "side", "id1", "text").mapInArrow(
+        _set_bytes(size), "kind int, grp long, i int, j int, node long, side int, names binary"
+    )
     units = units.repartition(*place).sortWithinPartitions(*place)
     links = scratch.keep(units.mapInArrow(_unit_rows(percent), "a long, b long"), "links")
 

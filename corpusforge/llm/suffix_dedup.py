@@ -151,7 +151,8 @@ def _cell_rows(length: int, width: int):
 
 def _round(scratch: Scratch, rows: DataFrame, length: int, label: str) -> tuple[DataFrame, DataFrame]:
     """(copies as byte ranges, cells to split further as (doc_id, ats)) of one round's rows."""
-    twice = rows.groupBy("rank").count().where("count > 1").select("rank")
+    # tables of their own, so that AQE can split the other side of the joins at a hot rank
+    twice = scratch.keep(rows.groupBy("rank").count().where("count > 1").select("rank"), f"twice{label}")
     live = scratch.keep(rows.join(twice, "rank", "left_semi"), f"live{label}")
     first = live.groupBy("rank", "span").agg(F.min(F.struct("doc_id", "at")).alias("f"))
     first = scratch.keep(first.select("rank", F.col("f.doc_id").alias("doc_id"), F.col("f.at").alias("at")), f"first{label}")
@@ -159,10 +160,10 @@ def _round(scratch: Scratch, rows: DataFrame, length: int, label: str) -> tuple[
     start = F.shiftright("at", _SHAPE_BITS)
     copies = copies.select("doc_id", start.alias("start"), (start + F.col("at").bitwiseAND(0xFF) + (length - 1)).alias("stop"))
     copies = scratch.keep(copies, f"copies{label}")
-    many = first.groupBy("rank").count().where("count > 1").select("rank")
+    many = scratch.keep(first.groupBy("rank").count().where("count > 1").select("rank"), f"many{label}")
     rest = first.join(many, "rank", "left_semi").groupBy("doc_id").agg(F.collect_list("at").alias("ats"))
     rest = scratch.keep(rest, f"rest{label}")
-    scratch.drop(live, first)
+    scratch.drop(live, first, twice, many)
     return copies, rest
 
 

@@ -64,3 +64,15 @@ def near_components(docs, size: int = 3, percent: int = 90) -> dict[int, tuple[i
                 if a != b:
                     parent[max(a, b)] = min(a, b)
     return {d: (len(sets[d]), find(d)) for d in sets}
+
+
+def text_counts(text: str | None) -> tuple:
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words)."""
+    t = text or ""
+    w = WORD.findall(t)
+    lines = [x for x in t.split("\n") if WORD.search(x)]
+    at: dict = {}
+    for i in range(len(w) - 2):
+        at.setdefault(tuple(w[i : i + 3]), []).append(i)
+    covered = {i + k for v in at.values() if len(v) > 1 for i in v for k in range(3)}
+    return len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered)
