@@ -18,12 +18,10 @@ group go to its documents by hash rank, in slices of about 1,000 rows.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusforge.llm.tables import Scratch
+from corpusforge.llm.tables import Scratch, null_safe_join
 
 WORDS = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
@@ -34,13 +32,6 @@ SLICE = 1000
 _UNIT = 1_000_000  # rates are whole millionths when summed, so that sums do not depend on order
 
 
-def _match(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Equi-join in which null equals null."""
-    right = right.withColumnsRenamed({c: f"__{c}" for c in on})
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in on])
-    return left.join(right, same, how).drop(*[f"__{c}" for c in on])
-
-
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
 
@@ -72,7 +63,7 @@ def _balance(scratch: Scratch, hist: DataFrame, targets: DataFrame, ceiling: int
     """(source, lam): the dual solution; null where the target is the ceiling itself."""
     scale = hist.groupBy("source").agg((F.sum(F.col("n") * F.col("size") * F.col("size")) / F.sum(F.col("n") * F.col("size"))).alias("scale"))
     stopped = (F.col("target") >= F.col("source_size") * (ceiling * (1 - 1e-12))) | (F.col("source_size") == 0)
-    state = _match(targets, scale, ["source"], "left")
+    state = null_safe_join(targets, scale, ["source"], "left")
     start = F.log(F.col("target") / F.col("source_size"))
     state = state.where("source_size > 0").select(
         "source", "target", "scale", stopped.alias("done"), F.when(~stopped, start).alias("lam"),
@@ -88,8 +79,8 @@ def _balance(scratch: Scratch, hist: DataFrame, targets: DataFrame, ceiling: int
         rate = F.least(F.lit(float(ceiling)), e)
         words = F.col("n") * F.col("size")
         slope = F.when(e < ceiling, words * x * e).otherwise(0.0)
-        got = _match(hist, at, ["source"]).groupBy("source").agg(F.sum(words * rate).alias("f"), F.sum(slope).alias("g"))
-        both = _match(state, got, ["source"], "left")
+        got = null_safe_join(hist, at, ["source"]).groupBy("source").agg(F.sum(words * rate).alias("f"), F.sum(slope).alias("g"))
+        both = null_safe_join(state, got, ["source"], "left")
         miss = F.col("f") - F.col("target")
         good = F.col("done") | (F.abs(miss) <= F.col("target") * TOLERANCE + 1e-9) | (F.col("hi") - F.col("lo") < 1e-12)
         lo = F.when(miss < 0, F.col("lam")).otherwise(F.col("lo"))
@@ -127,7 +118,7 @@ def mix_sources(
     dual = _balance(scratch, hist, targets, ceiling)
 
     # copies of each (source, size) group
-    plan = _match(_match(hist, targets, ["source"]), dual, ["source"], "left")
+    plan = null_safe_join(null_safe_join(hist, targets, ["source"]), dual, ["source"], "left")
     rate = F.coalesce(F.least(F.lit(float(ceiling)), F.exp(F.least(F.col("lam") * F.col("size") / F.col("scale"), F.lit(10.0)))), F.lit(float(ceiling)))
     plan = plan.withColumn("units", F.when(F.col("size") > 0, F.col("n") * F.round(rate * _UNIT).cast("long")).otherwise(0))
     down = Window.partitionBy("source").orderBy(F.col("size").desc())
@@ -147,14 +138,14 @@ def mix_sources(
     plan = scratch.keep(plan.select("source", "size", "n", "source_size", "target", "k"), "plan")
 
     # to the documents of a group: all get k div n, the first k mod n by hash rank one more
-    rows = _match(sizes, plan, ["source", "size"])
+    rows = null_safe_join(sizes, plan, ["source", "size"])
     slices = F.ceil(F.col("n") / SLICE).cast("long")
     rows = rows.withColumn("slice", F.pmod(F.xxhash64("doc_id", F.lit(7)), slices))
     dealt = rows.groupBy("source", "size", "slice").agg(F.count("*").alias("m"), F.first("n").alias("n"), F.first("k").alias("k"))
     seen = F.sum("m").over(Window.partitionBy("source", "size").orderBy("slice"))
     extra = F.pmod("k", F.col("n"))
     share = F.floor(seen * extra / F.col("n")) - F.floor((seen - F.col("m")) * extra / F.col("n"))
-    rows = _match(rows, dealt.select("source", "size", "slice", share.alias("share")), ["source", "size", "slice"])
+    rows = null_safe_join(rows, dealt.select("source", "size", "slice", share.alias("share")), ["source", "size", "slice"])
     rank = F.row_number().over(Window.partitionBy("source", "size", "slice").orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id"))
     copies = (F.floor(F.col("k") / F.col("n")) + (rank <= F.col("share")).cast("long")).cast("long")
     rows = rows.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["q_mixing", "q_ngram_join", "q_language_id", "q_url_filter", "q_quality", "q_suffix_dedup", "q_decontaminate"]
+MODULES = [
+    "q_mixing", "q_ngram_join", "q_html_text", "q_license_scan", "q_language_id", "q_quote_links", "q_url_filter", "q_quality", "q_suffix_dedup",
+    "q_decontaminate",
+]
 
 
 def _merged(attribute: str) -> dict:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +40,13 @@ class Scratch:
         jvm.System.gc()
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null equals null; the key columns are those of the left side."""
+    right = right.withColumnsRenamed({c: f"__{c}" for c in on})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in on])
+    return left.join(right, same, how).drop(*[f"__{c}" for c in on])
+
+
 def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (a long, b long): random contraction.
 
