@@ -13,10 +13,11 @@ has two parts:
   since a path is the whole content of a segment. A set with so many empty
   segments that they alone could be the equal ones is also entered by the
   first shingles of its order (the prefix filter), of which linked sets share
-  one.
+  one. A set that shares fewer than M - d paths with all others together has
+  no partner and leaves before families are formed.
 * **The tree.** Sets that meet, directly or over others, form families. Work is
-  dealt out by family or, where that tests fewer pairs (many sets that share
-  one passage), by path; larger groups are cut into blocks of bounded size and
+  dealt out by family or, where that sends fewer sets around (a very large
+  family that shares little), by path; larger groups are cut into blocks of bounded size and
   every pair of blocks is one unit. In a unit the ordered sets form a trie with
   edges of 64 shingles; a set walks it level by level, so sets with a common
   path share their partial overlap, and a subtree leaves as soon as its
@@ -45,6 +46,7 @@ PERCENT = 80
 EDGE = 64  # shingles on one edge of the trie
 BLOCK_SETS = 256  # sets in one block
 BLOCK_TOKENS = 1 << 20  # shingles in one block, about
+PEELS = 3
 
 
 def _most(n: int, percent: int) -> int:
@@ -52,19 +54,31 @@ def _most(n: int, percent: int) -> int:
     return 2 * n * (100 - percent) // (100 + percent)
 
 
+def _slack(percent: int) -> float:
+    """Segments to spare, as a share of the largest difference, so that empty segments are seldom all the equal ones."""
+    return 10 * math.exp(-(100 + percent) / (2 * (100 - percent)))
+
+
 def _power(n: int, percent: int) -> int:
     """k for a pair whose larger set has n shingles: 2**k exceeds the largest difference, with room for empty segments."""
     most = _most(n, percent)
-    return (most + int(10 * most * math.exp(-(100 + percent) / (2 * (100 - percent))))).bit_length()
+    return (most + int(most * _slack(percent))).bit_length()
 
 
-def _paths(s: np.ndarray, percent: int) -> np.ndarray:
-    """Names of the segment paths of one ordered set; its partners have up to 100 n / percent shingles."""
-    out = []
+_K = tb.U64(31)  # the low bits of a path's name hold its k; PREFIX marks entries by the prefix filter
+PREFIX = 31
+
+
+def _named_paths(h: np.ndarray, k: int) -> np.ndarray:
+    return (h & ~_K) | tb.U64(k)
+
+
+def _paths(s: np.ndarray, percent: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """(path names of one ordered set, [(k, need)]): with any partner for k the set shares at least ``need`` of its paths."""
+    out, needs = [], []
     n = len(s)
     mixed = tb.finalize(s)
-    widest = 100 * n // percent
-    by_prefix = False
+    widest = 100 * n // percent  # size of the largest partner
     for k in range(_power(n, percent), _power(widest, percent) + 1):
         if k == 0:  # any partner is the same set
             continue
@@ -72,12 +86,13 @@ def _paths(s: np.ndarray, percent: int) -> np.ndarray:
         cut = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]]))
         ids = (seg[cut] + (k << 48)).astype(np.uint64)
         with np.errstate(over="ignore"):
-            out.append(tb.finalize(np.add.reduceat(mixed, cut) + ids * tb._MIX1))
-        equal = (1 << k) - min(_most(widest, percent), (1 << k) - 1)  # segments that a partner shares at least
-        by_prefix |= (1 << k) - len(cut) >= equal
-    if by_prefix:
-        out.append(tb.finalize(s[: n + (-percent * n // 100) + 1] ^ tb._MIX2))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+            out.append(_named_paths(tb.finalize(np.add.reduceat(mixed, cut) + ids * tb._MIX1), k))
+        # segments that a partner for this k shares at least; the empty ones among them have no path
+        equal = (1 << k) - min(_most(widest, percent), int((1 << k) / (1 + _slack(percent))), (1 << k) - 1)
+        needs.append((k, equal - ((1 << k) - len(cut))))
+    if any(need < 1 for _, need in needs):
+        out.append(_named_paths(tb.finalize(s[: n + (-percent * n // 100) + 1] ^ tb._MIX2), PREFIX))
+    return (np.concatenate(out) if out else np.zeros(0, np.uint64)), needs
 
 
 def ordered_sets(col: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -104,13 +119,16 @@ def _signed(x: list) -> pa.Array:
     return pa.array(np.array(x, dtype=np.uint64).view(np.int64))
 
 
-def _set_rows(size: int):
+def _set_rows(size: int, percent: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            named = [(len(s), *_name(s)) for _, s in ordered_sets(batch.column(1), size)]
-            n, one, two = zip(*named) if named else ((), (), ())
+            named = [(len(s), *_name(s), _paths(s, percent)[1] if len(s) else []) for _, s in ordered_sets(batch.column(1), size)]
+            n, one, two, needs = zip(*named) if named else ((), (), (), ())
+            pairs = [[{"k": k, "need": need} for k, need in x] for x in needs]
+            kind = pa.list_(pa.struct([("k", pa.int32()), ("need", pa.int32())]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), _signed(one), _signed(two)], names=["doc_id", "n", "id1", "id2"]
+                [batch.column(0), pa.array(n, pa.int64()), _signed(one), _signed(two), pa.array(pairs, kind)],
+                names=["doc_id", "n", "id1", "id2", "needs"],
             )
 
     return rows
@@ -123,7 +141,7 @@ def _path_rows(size: int, percent: int):
                 paths, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
                 for _, s in ordered_sets(batch.column(0).slice(a, 512), size):
                     if len(s):
-                        paths.append(_paths(s, percent))
+                        paths.append(_paths(s, percent)[0])
                         ids.append(np.full(len(paths[-1]), _name(s)[0]))
                 yield pa.RecordBatch.from_arrays([_signed(np.concatenate(x)) for x in (paths, ids)], names=["path", "id1"])
 
@@ -270,6 +288,28 @@ def _set_bytes(size: int):
     return rows
 
 
+def _peeled(scratch: Scratch, shared: DataFrame, kinds: DataFrame, rounds: int = PEELS) -> DataFrame:
+    """(path, id1, first) without the sets that share too few of their paths for k with anyone, over and over.
+
+    Documents that only have a passage in common share a few of many paths
+    and leave here, before they chain families together. Fewer rounds leave
+    more rows, never fewer links.
+    """
+    need = kinds.select("id1", F.explode("needs").alias("x")).groupBy("id1", "x.k").agg(F.min("x.need").alias("need"))
+    need = scratch.keep(need.where("need > 1"), "need")
+    for r in range(rounds):
+        k = F.col("path").bitwiseAND(PREFIX).cast("int").alias("k")
+        have = shared.groupBy("id1", k).agg(F.count("*").alias("have"))
+        few = have.join(need, ["id1", "k"]).where("have < need").select("id1", "k")
+        few = scratch.keep(few, f"few{r}")
+        rest = shared.withColumn("k", k).join(few, ["id1", "k"], "left_anti").drop("k")
+        rest = scratch.keep(rest, f"rest{r}")
+        again = rest.groupBy("path").agg(F.count("*").alias("c"), F.min("id1").alias("lead")).where("c > 1")
+        again = scratch.keep(again.select("path", "lead"), f"again{r}")
+        shared = scratch.keep(rest.join(again, "path").select("path", "id1", F.col("lead").alias("first")), f"shared{r}")
+    return shared
+
+
 def near_duplicate_groups(
     spark: SparkSession, docs: DataFrame, size: int = SIZE, percent: int = PERCENT, block_sets: int = BLOCK_SETS
 ) -> DataFrame:
@@ -285,10 +325,11 @@ def near_duplicate_groups(
     scratch = Scratch(spark, "ngram")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = texts.where("doc_id is not null")
-    sets = texts.mapInArrow(_set_rows(size), "doc_id long, n long, id1 long, id2 long")
-    one = sets.groupBy("doc_id").agg(F.max(F.struct("id1", "id2", "n")).alias("s")).select("doc_id", "s.*")
+    ddl = "doc_id long, n long, id1 long, id2 long, needs array<struct<k: int, need: int>>"
+    sets = texts.mapInArrow(_set_rows(size, percent), ddl)
+    one = sets.groupBy("doc_id").agg(F.max(F.struct("id1", "id2", "n", "needs")).alias("s")).select("doc_id", "s.*")
     one = scratch.keep(one, "sets")
-    kinds = one.where("n > 0").groupBy("id1", "id2", "n").agg(F.min("doc_id").alias("node"))
+    kinds = one.where("n > 0").groupBy("id1", "id2", "n").agg(F.min("doc_id").alias("node"), F.first("needs").alias("needs"))
     kinds = scratch.keep(kinds, "kinds")
 
     # which sets meet; a path has each set once at most, so no path has more than its share of the rows
@@ -296,15 +337,16 @@ def near_duplicate_groups(
     entered = entered.repartition("path").sortWithinPartitions("path", "id1")
     shared = scratch.keep(entered.mapInArrow(_shared_rows, "path long, id1 long, first long"), "shared")
     scratch.drop()
+    shared = _peeled(scratch, shared, kinds)
     family = components(spark, shared.select(F.col("first").alias("a"), F.col("id1").alias("b")), scratch)
     family = scratch.keep(family.select(F.col("node").alias("id1"), F.col("root").alias("family")), "family")
 
-    # units: by family, or by path where that tests fewer pairs
-    by_path = shared.groupBy("path").agg(F.count("*").alias("c"), F.min("first").alias("id1")).join(family, "id1")
-    by_path = by_path.groupBy("family").agg(F.sum(F.col("c") * F.col("c")).alias("path_pairs"))
+    # units: by family, or by path where that sends fewer sets around
+    by_path = shared.groupBy("path").agg(F.count("*").alias("c"), F.min("id1").alias("id1")).join(family, "id1")
+    by_path = by_path.groupBy("family").agg(F.sum("c").alias("path_rows"))
     members = kinds.select("node", "n", "id1").join(family, "id1")
-    size_of = members.groupBy("family").agg((F.count("*") * F.count("*")).alias("family_pairs"))
-    way = size_of.join(by_path, "family").select("family", (F.col("path_pairs") < F.col("family_pairs")).alias("paths"))
+    size_of = members.groupBy("family").agg((F.count("*") * F.ceil(F.count("*") / block_sets)).alias("family_rows"))
+    way = size_of.join(by_path, "family").select("family", (F.col("path_rows") < F.col("family_rows")).alias("paths"))
     way = scratch.keep(way, "way")  # a table of its own, so that AQE can split the join's other side
     members = scratch.keep(members.join(way, "family"), "members")
     groups = members.where("not paths").select(F.lit(0).alias("kind"), F.col("family").alias("grp"), "node", "id1", "n")
