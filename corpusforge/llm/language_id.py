@@ -27,7 +27,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from corpusforge.llm import textbytes as tb
 
 DIM = 1 << 12
-MAX_ROWS = 8000
+MAX_ROWS = 4000
 UNKNOWN = "und"
 _GRAMS = (1, 2, 3, 4)
 
@@ -69,8 +69,7 @@ def features(col: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def linear_svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, epochs: int = 12) -> np.ndarray:
-    """Weights (bias last) of a squared-hinge linear SVM, by dual coordinate descent; y is -1 or 1."""
-    x = np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)])
+    """Weights of a squared-hinge linear SVM, by dual coordinate descent; y is -1 or 1, x has a last column of ones."""
     w, alpha = np.zeros(x.shape[1]), np.zeros(len(x))
     share = np.where(y > 0, len(y) / max(1, 2 * (y > 0).sum()), len(y) / max(1, 2 * (y < 0).sum()))
     diag = 1 / (2 * c * share)
@@ -102,10 +101,10 @@ def families(profiles: dict[str, np.ndarray]) -> list[list[str]]:
 
 
 def fit(texts: pa.Array, langs: np.ndarray) -> dict:
-    x = np.zeros((len(langs), DIM), dtype=np.float32)
+    x = np.ones((len(langs), DIM + 1), dtype=np.float32)
     for a, part in features(texts):
-        x[a : a + len(part)] = part
-    groups = families({k: x[langs == k].mean(axis=0) for k in set(langs)})
+        x[a : a + len(part), :DIM] = part
+    groups = families({k: x[langs == k, :DIM].mean(axis=0) for k in set(langs)})
     of = {k: i for i, g in enumerate(groups) for k in g}
     fam = np.array([of[k] for k in langs])
     top = [linear_svm(x, np.where(fam == i, 1.0, -1.0)) for i in range(len(groups))] if len(groups) > 1 else []
@@ -162,14 +161,18 @@ def in_held_out(doc_id: Column, folds: int = 3, held: int = 1) -> Column:
 def fit_language_model(spark: SparkSession, labelled: DataFrame, max_rows: int = MAX_ROWS) -> dict | None:
     """Model from (doc_id, text, lang) rows; None without labelled text.
 
-    The sample takes max_rows / languages rows of each language, smallest
-    hash of doc_id first, so it does not depend on partitions or order.
+    The sample takes at most max_rows / languages rows of each language,
+    smallest hash of doc_id first, so it does not depend on partitions.
     """
     rows = labelled.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where("lang is not null and text rlike '\\\\p{L}'")
-    langs = max(1, rows.select("lang").distinct().count())
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")))
-    sample = rows.withColumn("r", rank).where(F.col("r") <= max(1, max_rows // langs)).select("doc_id", "text", "lang")
+    # a share of each language by hash, a little more than needed, before any text is shuffled; then the exact number
+    counts = rows.groupBy("lang").agg(F.count("*").alias("c"))
+    each = max(1, max_rows // max(1, counts.count()))
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) / 1_000_000
+    near = rows.join(counts, "lang").where(draw * F.col("c") < 1.1 * each + 20)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(draw, "doc_id", F.xxhash64("text")))
+    sample = near.withColumn("r", rank).where(F.col("r") <= each).select("doc_id", "text", "lang")
 
     def train(table: pa.Table) -> pa.Table:
         table = table.sort_by([("lang", "ascending"), ("doc_id", "ascending")])
