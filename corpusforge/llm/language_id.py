@@ -167,10 +167,11 @@ def fit_language_model(spark: SparkSession, labelled: DataFrame, max_rows: int =
     rows = labelled.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where("lang is not null and text rlike '\\\\p{L}'")
     # a share of each language by hash, a little more than needed, before any text is shuffled; then the exact number
+    # (counts has one row per language, so it may be broadcast)
     counts = rows.groupBy("lang").agg(F.count("*").alias("c"))
     each = max(1, max_rows // max(1, counts.count()))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) / 1_000_000
-    near = rows.join(counts, "lang").where(draw * F.col("c") < 1.1 * each + 20)
+    near = rows.join(F.broadcast(counts), "lang").where(draw * F.col("c") < 1.1 * each + 20)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(draw, "doc_id", F.xxhash64("text")))
     sample = near.withColumn("r", rank).where(F.col("r") <= each).select("doc_id", "text", "lang")
 
@@ -183,6 +184,21 @@ def fit_language_model(spark: SparkSession, labelled: DataFrame, max_rows: int =
     return pickle.loads(found[0]["model"]) if found else None
 
 
+def has_letter(col: pa.Array) -> np.ndarray:
+    """Whether each text holds a letter."""
+    data, offsets = tb.text_bytes(col)
+    out = np.zeros(len(offsets) - 1, dtype=bool)
+    for a, b in tb.runs_of_rows(offsets):
+        part, local = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        wide = part >= 128
+        seen = [np.concatenate([[0], np.cumsum(x, dtype=np.int32)])[local] for x in ((_FOLD[part] != 0x20) & ~wide, wide)]
+        ascii_letter, other = (np.diff(x) > 0 for x in seen)
+        out[a:b] = ascii_letter
+        for i in np.flatnonzero(other & ~ascii_letter):
+            out[a + i] = any(c.isalpha() for c in col[a + int(i)].as_py())
+    return out
+
+
 def identify_language(docs: DataFrame, model: dict | None) -> DataFrame:
     """``docs`` with lang_pred and score.
 
@@ -201,12 +217,7 @@ def identify_language(docs: DataFrame, model: dict | None) -> DataFrame:
             if model is not None:
                 for a, x in features(texts):
                     lang[a : a + len(x)], score[a : a + len(x)] = predict(model, x)
-            data, offsets = tb.text_bytes(texts)
-            letter = np.concatenate([[0], np.cumsum(_FOLD[data] != 0x20)])
-            ascii_letter = np.concatenate([[0], np.cumsum((_FOLD[data] != 0x20) & (data < 128))])
-            some, plain_some = np.diff(letter[offsets]) > 0, np.diff(ascii_letter[offsets]) > 0
-            for i in np.flatnonzero(some & ~plain_some):  # only bytes outside ASCII
-                some[i] = any(c.isalpha() for c in texts[i].as_py())
+            some = has_letter(texts)
             lang[~some], score[~some] = UNKNOWN, 0.0
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:n], pa.array(lang, pa.string()), pa.array(score, pa.float64())],
