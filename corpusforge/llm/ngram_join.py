@@ -245,45 +245,31 @@ def unit_links(ids: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], perce
     return out
 
 
-def _unit_rows(percent: int):
-    """Rows of one unit come together; a unit that spans Arrow batches is carried over."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _unit_rows(size: int, percent: int):
+    """Rows (kind, grp, i, j, node, side, id1, text) of one unit come together; a unit that spans Arrow batches is carried over."""
 
     def links(held: list[tuple]) -> pa.RecordBatch:
-        ids = np.array([h[1] for h in held], dtype=np.int64)
-        sides = np.array([h[2] for h in held], dtype=np.int64)
-        found = unit_links(ids, sides, [np.frombuffer(h[3], dtype=np.uint64) for h in held], percent)
-        return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], schema=schema)
+        node, side, id1, text = zip(*held)
+        sets = [s for _, s in ordered_sets(pa.array(text, pa.string()), size)]
+        own = [k for k, s in enumerate(sets) if int(_name(s)[0].view(np.int64)) == id1[k]]  # a repeated doc_id may have other texts
+        ids, sides = (np.array([x[k] for k in own], dtype=np.int64) for x in (node, side))
+        found = unit_links(ids, sides, [sets[k] for k in own], percent) if len(own) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
-            for *unit, node, side, names in zip(*cols):
-                if held and held[0][0] != unit:
-                    yield links(held)
-                    held = []
-                held.append((unit, node, side, names))
-        if held:
-            yield links(held)
-
-    return rows
-
-
-def _set_bytes(size: int):
-    """The unit columns with the ordered set of the text in place of the last two; a text that is not the named set leaves."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
-                sets = [s for _, s in ordered_sets(part.column(7), size)]
-                own = [int(_name(s)[0].view(np.int64)) == i for s, i in zip(sets, part.column(6).to_pylist())]
-                names = pa.array([s.tobytes() for s in sets], pa.binary())
-                out = pa.RecordBatch.from_arrays(
-                    [*part.columns[:6], names], names=["kind", "grp", "i", "j", "node", "side", "names"]
-                )
-                yield out.filter(pa.array(own, pa.bool_()))
+                for *unit, node, side, id1, text in zip(*[part.column(i).to_pylist() for i in range(8)]):
+                    if held and unit != last:
+                        yield links(held)
+                        held = []
+                    last = unit
+                    held.append((node, side, id1, text))
+        if held:
+            yield links(held)
 
     return rows
 
@@ -369,15 +355,14 @@ def near_duplicate_groups(
         F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"),
     )
 
-    # the text of each set's first document, as an ordered set, goes to every unit its block takes part in;
-    # always by a shuffle, so that the plan is the same at every size
+    # the text of each set's first document goes to every unit its block takes part in (a text is shorter than
+    # its names); always by a shuffle, so that the plan is the same at every size
+    scratch.drop()
     place = ["kind", "grp", "i", "j"]
     units = texts.join(units.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id")
-    units = units.select(*place, "doc_id", "side", "id1", "text").mapInArrow(
-        _set_bytes(size), "kind int, grp long, i int, j int, node long, side int, names binary"
-    )
-    units = units.repartition(*place).sortWithinPartitions(*place)
-    links = scratch.keep(units.mapInArrow(_unit_rows(percent), "a long, b long"), "links")
+    units = units.select(*place, "doc_id", "side", "id1", "text").repartition(*place).sortWithinPartitions(*place)
+    links = scratch.keep(units.mapInArrow(_unit_rows(size, percent), "a long, b long"), "links")
+    scratch.drop()
 
     group = components(spark, links, scratch)
     kinds = kinds.join(group, "node", "left").select("id1", "id2", "n", "node", F.coalesce("root", "node").alias("root"))
