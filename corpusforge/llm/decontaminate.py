@@ -160,8 +160,11 @@ def search(shard: Shard, names: np.ndarray, row: np.ndarray, threshold: float) -
         end = stop[w + 1] if joined[w] else stop[w]
         have = np.unique(ids[begin[w] : end])
         have = have[have >= 0]
-        at = np.concatenate([np.arange(shard.post_start[t], shard.post_start[t + 1]) for t in have])
-        blocks = np.flatnonzero(both[w] >= threshold - 1e-4)
+        blocks = np.flatnonzero(shard.block_max[have].sum(axis=0) >= threshold - 1e-4)  # now with each term once
+        if len(blocks) == 0:
+            continue
+        begin_at, many = shard.post_start[have], shard.post_start[have + 1] - shard.post_start[have]
+        at = np.arange(many.sum()) + np.repeat(begin_at - np.cumsum(many) + many, many)
         at = at[np.isin(shard.post_item[at] // shard.per_block, blocks)]
         scores = np.bincount(shard.post_item[at], weights=shard.post_weight[at], minlength=len(shard.item_ids))
         for item in np.flatnonzero(scores >= threshold):
