@@ -78,12 +78,14 @@ def metric_rollup(df: DataFrame, keys: Sequence[str], value: str, weight: str) -
 
 
 def metric_every_n(df: DataFrame, step: str, value: str, n: int, group_by: Sequence[str] = ()) -> DataFrame:
-    """One row per logged step (every n-th), holding the mean since the last log."""
+    """One row per logged step (every n-th), holding the mean since the last log; a step not reached has no row."""
     bucket = F.ceil(F.col(step) / n) * n
     return (
         df.withColumn("log_step", bucket.cast("bigint"))
         .groupBy(*group_by, "log_step")
-        .agg(F.avg(value).alias("mean_value"), F.count(F.lit(1)).alias("n_steps"))
+        .agg(F.avg(value).alias("mean_value"), F.count(F.lit(1)).alias("n_steps"), F.max(step).alias("_last"))
+        .where("_last = log_step")
+        .drop("_last")
     )
 
 

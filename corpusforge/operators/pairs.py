@@ -115,8 +115,13 @@ def zip_arrays(*cols: str) -> Column:
 
 
 def zip_tables(left: DataFrame, right: DataFrame, index: str = "line_no") -> DataFrame:
-    """J04 (tables): positional zip = equi-join on a dense line index."""
-    return left.join(right, on=index, how="inner")
+    """J04 (tables): positional zip = equi-join on a dense line index.
+
+    Both sides must have the same number of rows, else the zip is rejected:
+    a row without a partner raises when the result is read."""
+    both = left.withColumn("_l", F.lit(True)).join(right.withColumn("_r", F.lit(True)), on=index, how="full")
+    paired = F.col("_l").isNotNull() & F.col("_r").isNotNull()
+    return both.where(F.when(paired, True).otherwise(F.raise_error(F.lit("zip: tables differ in length")))).drop("_l", "_r")
 
 
 # --- U: set operations and reshape ------------------------------------------------

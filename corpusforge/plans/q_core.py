@@ -233,19 +233,15 @@ def q_lookup_label_name(spark, sf):
 
 
 @register("J04_zip_by_position", with_views(
-    """SELECT e.line_no, e.doc_id AS en_doc, f.doc_id AS fr_doc, e.text AS en_text, f.text AS fr_text
-  FROM (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS line_no FROM texts WHERE lang = 'en') e
-  JOIN (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS line_no FROM texts WHERE lang = 'fr') f
-  ON e.line_no = f.line_no""", "texts"))
+    """SELECT row_number() OVER (ORDER BY doc_id) - 1 AS line_no, doc_id, text, lang FROM texts""", "texts"))
 def q_zip_by_position(spark, sf):
     fl = v.texts(v.Tables(spark, sf))
 
-    def side(lang):
-        s = fl.where(F.col("lang") == lang).select("doc_id", "text")
-        s = dense_index(s, order=["doc_id"], bucket=range_bucket("doc_id"), name="line_no")
-        return s.select("line_no", F.col("doc_id").alias(f"{lang}_doc"), F.col("text").alias(f"{lang}_text"))
+    def side(*cols):
+        s = dense_index(fl, order=["doc_id"], bucket=range_bucket("doc_id"), name="line_no")
+        return s.select("line_no", *cols)
 
-    return pr.zip_tables(side("en"), side("fr"), "line_no")
+    return pr.zip_tables(side("doc_id", "text"), side("lang"), "line_no")
 
 
 # --- U: unions and reshapes ------------------------------------------------------------

@@ -97,10 +97,11 @@ def q_metric_rollup(spark, sf):
     return r.withColumn("value", F.round("value", 6))
 
 
-@register("A08_metric_every_n", with_views("""SELECT run, (ceil(step / 500) * 500)::BIGINT AS log_step,
-  round(avg(val_loss), 6) AS mean_value, count(*) AS n_steps FROM runs GROUP BY 1, 2""", "runs"))
+@register("A08_metric_every_n", with_views("""SELECT run, (ceil(step / 10) * 10)::BIGINT AS log_step,
+  round(avg(val_loss), 6) AS mean_value, count(*) AS n_steps FROM runs GROUP BY 1, 2
+  HAVING max(step) = (ceil(step / 10) * 10)::BIGINT""", "runs"))
 def q_metric_every_n(spark, sf):
-    r = mt.metric_every_n(v.runs(v.Tables(spark, sf)), "step", "val_loss", 500, ["run"])
+    r = mt.metric_every_n(v.runs(v.Tables(spark, sf)), "step", "val_loss", 10, ["run"])
     return r.withColumn("mean_value", F.round("mean_value", 6))
 
 

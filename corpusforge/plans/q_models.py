@@ -16,7 +16,7 @@ from corpusforge.plans.views_sql import TOK, sq, with_views
 SPLIT_EX_SQL = [
     ("spl", """SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY md5(concat_ws('#', doc_id::VARCHAR, '42')), doc_id) - 1
   < ceil(0.05 * count(*) OVER ()) THEN 'test' ELSE 'train' END AS split FROM documents"""),
-    ("ex", "SELECT e.doc_id, e.input_ids AS ids, s.split FROM examples e JOIN spl s ON s.doc_id = e.doc_id"),
+    ("ex", f"SELECT e.doc_id, e.input_ids AS ids, s.split FROM examples e JOIN spl s ON s.doc_id = e.doc_id // {v.PIECE_KEY}"),
 ]
 
 
@@ -26,7 +26,9 @@ def split_examples(spark, sf):
 
     t = v.Tables(spark, sf)
     sp = sm.split_exact_seeded(t["documents"].select("doc_id"), "doc_id", 0.05, 42, out="split")
-    return materialize(v.examples(t).join(sp, "doc_id").select("doc_id", F.col("input_ids").alias("ids"), "split"))
+    ex = v.examples(t).withColumn("_doc", F.floor(F.col("doc_id") / v.PIECE_KEY).cast("bigint"))
+    sp = sp.withColumnRenamed("doc_id", "_doc")
+    return materialize(ex.join(sp, "_doc").select("doc_id", F.col("input_ids").alias("ids"), "split"))
 
 
 M03_SQL = with_views("""SELECT count(*) AS n_eval, sum(CASE WHEN pred = y THEN 1 ELSE 0 END)::BIGINT AS n_correct,

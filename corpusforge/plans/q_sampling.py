@@ -24,10 +24,13 @@ def q_split_exact(spark, sf):
     return sm.split_exact_seeded(d, "doc_id", 0.05, 42)
 
 
-@register("D02_split_unseeded")
+@register("D02_split_unseeded", """SELECT s.data_split, CASE s.data_split WHEN 'test' THEN t ELSE n - t END AS n_rows, 1::BIGINT AS n_seeds
+  FROM (SELECT count(*) AS n, ceil(0.05 * count(*))::BIGINT AS t FROM documents), (VALUES ('train'), ('test')) AS s(data_split)""")
 def q_split_unseeded(spark, sf):
+    """Which rows fall where differs from run to run; the sizes and the one recorded seed do not."""
     d = v.Tables(spark, sf)["documents"].select("doc_id")
-    return sm.split_unseeded(d, "doc_id", 0.05)
+    s = sm.split_unseeded(d, "doc_id", 0.05)
+    return s.groupBy("data_split").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("split_seed").alias("n_seeds"))
 
 
 @register("D03_split_head_percent", """SELECT doc_id,

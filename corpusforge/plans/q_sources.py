@@ -51,16 +51,16 @@ def q_src_text_linebreaks(spark, sf):
 
 
 @register("S04_src_headerless_tsv", with_views(
-    "SELECT source_lang, target_lang, data_split FROM pairs WHERE data_split IN ('train', 'dev')", "pairs"))
+    "SELECT source_lang, target_lang, data_split FROM pairs", "pairs"))
 def q_src_headerless_tsv(spark, sf):
     p = _pairs(spark, sf)
     out = []
-    for split in ("train", "dev"):
+    for split in ("train", "dev", "test"):
         path = scratch_path(spark, f"{split}.id")
         cols = ["data_source", "source_lang", "target_lang"] if split == "train" else ["source_lang", "target_lang"]
         p.where(F.col("data_split") == split).select(F.concat_ws("\t", *cols)).write.text(path)
         out.append(fl.read_id_file(spark, path, split).withColumn("data_split", F.lit(split)))
-    return out[0].unionByName(out[1])
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 @register("S05_src_line_file", "SELECT unnest(string_split(text, chr(10))) AS text FROM documents")

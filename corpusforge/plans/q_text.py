@@ -62,18 +62,18 @@ def enc_docs(t, max_tokens=None, specials=False):
 
 # --- T01-T03 ------------------------------------------------------------------------
 
-@register("T01_tok_encode", with_views("SELECT doc_id, array_to_string(ids, ' ') AS ids FROM enc", "enc"))
+@register("T01_tok_encode", with_views("SELECT doc_id, array_to_string(ids, ' ') AS ids FROM enc_docs", "enc_docs"))
 def q_tok_encode(spark, sf):
-    e = enc_docs(v.Tables(spark, sf), max_tokens=510, specials=True)
+    e = enc_docs(v.Tables(spark, sf), specials=True)
     return e.select("doc_id", arr_str("ids").alias("ids"))
 
 
 @register("T02_tok_decode", with_views("""SELECT e.doc_id, coalesce(string_agg(v.token, ' ' ORDER BY u.pos), '') AS text
-  FROM enc e LEFT JOIN (SELECT doc_id, unnest(ids) AS id, unnest(range(len(ids))) AS pos FROM enc) u ON u.doc_id = e.doc_id
-  LEFT JOIN vocab v ON v.id = u.id GROUP BY e.doc_id""", "enc"))
+  FROM enc_docs e LEFT JOIN (SELECT doc_id, unnest(ids) AS id, unnest(range(len(ids))) AS pos FROM enc_docs) u ON u.doc_id = e.doc_id
+  LEFT JOIN vocab v ON v.id = u.id GROUP BY e.doc_id""", "enc_docs"))
 def q_tok_decode(spark, sf):
     t = v.Tables(spark, sf)
-    e = enc_docs(t, max_tokens=510, specials=True)
+    e = enc_docs(t, specials=True)
     return tk.decode(e, ["doc_id"], "ids", v.vocab(t))
 
 
@@ -99,9 +99,9 @@ def q_truncate_budget(spark, sf):
 
 @register("T06_pad_truncate", with_views(
     "SELECT doc_id, array_to_string(input_ids, ' ') AS input_ids, array_to_string(attention_mask, ' ') AS attention_mask "
-    "FROM examples", "examples"))
+    "FROM truncated", "truncated"))
 def q_pad_truncate(spark, sf):
-    e = v.examples(v.Tables(spark, sf))
+    e = v.truncated_examples(v.Tables(spark, sf))
     return e.select("doc_id", arr_str("input_ids").alias("input_ids"), arr_str("attention_mask").alias("attention_mask"))
 
 

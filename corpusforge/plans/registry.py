@@ -37,7 +37,6 @@ def register(key: str, sql: str | None = None):
 def load_all() -> dict[str, Query]:
     # importing the catalog modules fills REGISTRY
     from corpusforge.plans import (  # noqa: F401
-        q_batches,
         q_core,
         q_metrics,
         q_models,

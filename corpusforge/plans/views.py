@@ -39,14 +39,14 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self.frames: dict[str, DataFrame] = {}
 
-    @functools.cache
     def __getitem__(self, name: str) -> DataFrame:
-        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        key = TEXT_TABLES.get(name)
-        if key:
-            df = spread(df, key)
-        return df
+        if name not in self.frames:
+            df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            key = TEXT_TABLES.get(name)
+            self.frames[name] = spread(df, key) if key else df
+        return self.frames[name]
 
     @functools.cached_property
     def vocab(self) -> DataFrame:
@@ -54,32 +54,16 @@ class Tables:
         return tk.materialize(tk.vocab_build(self["documents"]))
 
 
-SPREAD_MAX_BYTES = 1 << 30
+SPREAD_CONF = "corpusforge.spreadPartitions"
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition a SMALL text table by its key when it arrives in fewer files than cores.
-
-    A few files with one row group each leave most cores idle for the regex work
-    that follows, and shuffling under 1 GiB is cheap. A large corpus is never
-    reshuffled here: its splits already give every core work. The decision uses
-    the file listing only (no scan)."""
-    spark = df.sparkSession
-    try:
-        cores = spark.sparkContext.defaultParallelism
-    except Exception:  # no local SparkContext: leave the input as it is
-        return df
-    files = df.inputFiles()
-    if len(files) >= cores:
-        return df
-    size = sum(_file_size(spark, f) for f in files)  # fewer files than cores: a short listing
-    return df.repartition(cores, key) if size < SPREAD_MAX_BYTES else df
-
-
-def _file_size(spark: SparkSession, path: str) -> int:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).getLen()
+    """Hash-partition a text table by its key into the number of partitions that ``SPREAD_CONF`` names.
+
+    Off by default: the file splits of a large corpus give every core work. A
+    local session on one small file sets it, whatever the table's size."""
+    n = int(df.sparkSession.conf.get(SPREAD_CONF, "0"))
+    return df.repartition(n, key) if n > 0 else df
 
 
 def hash_digit(*parts) -> Column:
@@ -199,9 +183,33 @@ def vocab(t: Tables) -> DataFrame:
     return t.vocab
 
 
+# pieces of one document have doc_id * PIECE_KEY + 0, 1, 2, ... as their key
+PIECE_KEY = 1_000_000
+
+
+def pieces(t: Tables, length: int = MLM_LENGTH) -> DataFrame:
+    """Documents cut into consecutive pieces of ``length`` - 2 tokens, so that no token is lost: (doc_id, text).
+
+    doc_id is the piece's key. A document without tokens is one empty piece."""
+    size = length - 2
+    d = t["documents"].select("doc_id", tx.tokens("text").alias("_t"))
+    n = F.greatest(F.ceil(F.size("_t") / size), F.lit(1)).cast("int")
+    d = d.select("doc_id", "_t", F.explode(F.sequence(F.lit(0), n - 1)).alias("_i"))
+    text = F.array_join(F.slice("_t", F.col("_i") * size + 1, F.lit(size)), " ")
+    return d.select((F.col("doc_id") * PIECE_KEY + F.col("_i")).alias("doc_id"), text.alias("text"))
+
+
 def examples(t: Tables, length: int = MLM_LENGTH) -> DataFrame:
-    """T06 over documents with the built vocabulary: (doc_id, input_ids, attention_mask)."""
-    enc = tk.encode(t["documents"], ["doc_id"], "text", vocab(t), max_tokens=length - 2)
+    """T06 over all pieces with the built vocabulary: (doc_id, input_ids, attention_mask)."""
+    return padded(tk.encode(pieces(t, length), ["doc_id"], "text", vocab(t)), length)
+
+
+def truncated_examples(t: Tables, length: int = MLM_LENGTH) -> DataFrame:
+    """T06 on whole documents, where cutting at ``length`` is the feature."""
+    return padded(tk.encode(t["documents"], ["doc_id"], "text", vocab(t), max_tokens=length - 2), length)
+
+
+def padded(enc: DataFrame, length: int) -> DataFrame:
     ids, mask = tk.pad_truncate("ids", length)
     return enc.select("doc_id", ids.alias("input_ids"), mask.alias("attention_mask"))
 

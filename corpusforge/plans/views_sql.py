@@ -9,7 +9,7 @@ from __future__ import annotations
 import itertools
 
 from corpusforge.functions.rules import MLM_LENGTH, SENTENCE_RE, TOKEN_RE
-from corpusforge.plans.views import LANG_MAP, LANGS, LEXICON_PIVOT, LEXICON_SIZE, NEXT_LANG
+from corpusforge.plans.views import LANG_MAP, LANGS, LEXICON_PIVOT, LEXICON_SIZE, NEXT_LANG, PIECE_KEY
 
 TOK = TOKEN_RE
 SENT = SENTENCE_RE
@@ -34,6 +34,18 @@ _pivot = ", ".join(f"max(CASE WHEN lang = '{x}' THEN text END) AS {x}" for x in
 _lang_map_rows = ", ".join(f"({sq(k)}, {sq(v)})" for k, v in sorted(LANG_MAP.items()))
 _next_case = "CASE lang " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in NEXT_LANG.items()) + " END"
 
+
+
+def _enc(table: str) -> str:
+    """Token ids with begin and end marks, of every whole text of a (doc_id, text) table."""
+    return f"""SELECT d.doc_id,
+  [0] || coalesce(list(coalesce(v.id, 3) ORDER BY t.pos) FILTER (WHERE t.pos IS NOT NULL), []) || [2] AS ids
+  FROM {table} d LEFT JOIN (SELECT doc_id, unnest(tk) AS token, unnest(range(1, 1 + len(tk))) AS pos
+    FROM (SELECT doc_id, regexp_extract_all(text, {sq(TOK)}) AS tk FROM {table})) t ON d.doc_id = t.doc_id
+  LEFT JOIN vocab v ON v.token = t.token
+  GROUP BY d.doc_id"""
+
+
 VIEWS: dict[str, tuple[list[str], str]] = {
     "texts": ([], "SELECT doc_id, lang, source, text FROM documents"),
     "wide": (["texts"], f"""SELECT source AS src, row_id, {_pivot}
@@ -76,13 +88,15 @@ VIEWS: dict[str, tuple[list[str], str]] = {
   count::BIGINT AS count FROM vocab_words
   UNION ALL SELECT * FROM (VALUES ('<s>', 0, 0::BIGINT), ('<pad>', 1, 0), ('</s>', 2, 0), ('<unk>', 3, 0),
   ('<mask>', 4, 0)) AS s(token, id, count)"""),
-    "enc": (["vocab"], f"""SELECT d.doc_id,
-  [0] || coalesce(list(coalesce(v.id, 3) ORDER BY t.pos) FILTER (WHERE t.pos IS NOT NULL), []) || [2] AS ids
-  FROM documents d LEFT JOIN (SELECT doc_id, unnest(list_slice(regexp_extract_all(text, {sq(TOK)}), 1, {MLM_LENGTH - 2})) AS token,
-    unnest(range(1, 1 + len(list_slice(regexp_extract_all(text, {sq(TOK)}), 1, {MLM_LENGTH - 2})))) AS pos FROM documents) t
-    ON d.doc_id = t.doc_id
-  LEFT JOIN vocab v ON v.token = t.token
-  GROUP BY d.doc_id"""),
+    "enc_docs": (["vocab"], _enc("documents")),
+    "pieces": ([], f"""SELECT doc_id * {PIECE_KEY} + i AS doc_id,
+  coalesce(array_to_string(list_slice(tk, i * {MLM_LENGTH - 2} + 1, (i + 1) * {MLM_LENGTH - 2}), ' '), '') AS text
+  FROM (SELECT doc_id, tk, unnest(range(greatest(1, (len(tk) + {MLM_LENGTH - 3}) // {MLM_LENGTH - 2}))) AS i
+    FROM (SELECT doc_id, regexp_extract_all(text, {sq(TOK)}) AS tk FROM documents))"""),
+    "enc": (["vocab", "pieces"], _enc("pieces")),
+    "truncated": (["enc_docs"], f"""SELECT doc_id, ids || list_transform(range({MLM_LENGTH} - len(ids)), lambda x: 1) AS input_ids,
+  list_transform(range(len(ids)), lambda x: 1) || list_transform(range({MLM_LENGTH} - len(ids)), lambda x: 0) AS attention_mask
+  FROM (SELECT doc_id, CASE WHEN len(ids) > {MLM_LENGTH} THEN list_slice(ids, 1, {MLM_LENGTH - 1}) || [2] ELSE ids END AS ids FROM enc_docs)"""),
     "examples": (["enc"], f"""SELECT doc_id, ids || list_transform(range({MLM_LENGTH} - len(ids)), lambda x: 1) AS input_ids,
   list_transform(range(len(ids)), lambda x: 1) || list_transform(range({MLM_LENGTH} - len(ids)), lambda x: 0)
     AS attention_mask FROM enc"""),

@@ -23,6 +23,8 @@ def get_spark(cores: int | str = "*", app: str = "corpusforge", memory: str = "1
         # do not merge them below 64 KB per task (no effect on large inputs)
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # one small file feeds all cores of a local session (see plans.views.spread)
+        .config("corpusforge.spreadPartitions", str(os.cpu_count() if cores == "*" else cores))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
@@ -31,16 +33,23 @@ def get_spark(cores: int | str = "*", app: str = "corpusforge", memory: str = "1
     return spark
 
 
+_own: dict[str, str] = {}  # application id -> our own folder, for local sessions without the setting
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    A cluster names it; only when it is unset (tests, local runs) do we set
-    our own under the system temp folder.
+    A cluster must name it, as executors and driver share no local folder;
+    only a local session without the setting gets one of our own.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="corpusforge-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        app = spark.conf.get("spark.app.id", "local")
+        path = _own.setdefault(app, "") or tempfile.mkdtemp(prefix="corpusforge-ckpt-")
+        _own[app] = path
     try:
         spark.sparkContext.setCheckpointDir(path)
     except Exception:  # sessions without a local SparkContext use the conf alone
