@@ -254,7 +254,8 @@ def q_labels_copy(spark, sf):
                     arr_str(lb.labels_copy("input_ids", ignore_pad=True)).alias("labels_no_pad"))
 
 
-MARKER_SQL = "[" + ", ".join(sq(x) for x in tp.RESPONSE_MARKER) + "]"
+# the marker inside a string of tokens that chr(31) stands before and after
+MARKER_SQL = "(chr(31) || " + " || chr(31) || ".join(sq(x) for x in tp.RESPONSE_MARKER) + " || chr(31))"
 
 
 @register("T21_labels_completion_only", with_views(f"""SELECT e.pair_id,
@@ -262,10 +263,11 @@ MARKER_SQL = "[" + ", ".join(sq(x) for x in tp.RESPONSE_MARKER) + "]"
     lambda x, i: CASE WHEN i <= coalesce(m.mend, {BLOCK}) OR x = 1 THEN -100 ELSE x END), ' ') AS labels,
   (m.mend IS NULL) AS marker_missing
   FROM enc_pr e JOIN (SELECT pair_id,
-    list_max(list_filter(range(1, greatest(len(al) - {len(tp.RESPONSE_MARKER)} + 1, 1) + 1),
-      lambda p: list_slice(al, p, p + {len(tp.RESPONSE_MARKER) - 1}) = {MARKER_SQL})) + {len(tp.RESPONSE_MARKER) - 1} AS mend
-    FROM (SELECT pair_id, ['<s>'] || list_slice(regexp_extract_all(prompt, {sq(TOK)}), 1, {BLOCK - 2}) || ['</s>'] AS al
-          FROM prompts)) m ON m.pair_id = e.pair_id""",
+    CASE WHEN contains(al, {MARKER_SQL}) THEN {len(tp.RESPONSE_MARKER)} + length(before) - length(replace(before, chr(31), '')) END AS mend
+    FROM (SELECT pair_id, al, regexp_extract(al, '(?s)^(.*)' || {MARKER_SQL}, 1) AS before
+          FROM (SELECT pair_id, chr(31) || array_to_string(['<s>'] || list_slice(regexp_extract_all(prompt, {sq(TOK)}), 1, {BLOCK - 2})
+                  || ['</s>'], chr(31)) || chr(31) AS al
+          FROM prompts))) m ON m.pair_id = e.pair_id""",
     "pairs", "lang_map", "vocab", extra=[NAMED_SQL, PROMPT_SQL, sql_encode("enc_pr", "prompts", "pair_id", "prompt", BLOCK - 2)]))
 def q_labels_completion(spark, sf):
     t = v.Tables(spark, sf)
