@@ -25,7 +25,6 @@ LANGS = ["de", "en", "es", "fr"]
 LANG_MAP = {"de": "west_germanic", "en": "west_germanic", "fr": "north_french"}
 # NLI "other language" partner: the next language in LANGS order.
 NEXT_LANG = {"de": "en", "en": "es", "es": "fr", "fr": "de"}
-LEXICON_SIZE = 500
 LEXICON_PIVOT = "en"
 
 
@@ -115,17 +114,16 @@ def token_counts(t: Tables) -> DataFrame:
     )
 
 
-def top_tokens(t: Tables, k: int = LEXICON_SIZE) -> DataFrame:
-    """Top k tokens per language by (count desc, token), two-stage: top k per
-    (lang, hash slice) first, so no task ranks a whole language's vocabulary."""
-    from corpusforge.operators.topk import top_k_per_group
-
-    return top_k_per_group(token_counts(t), ["lang"], [F.col("n").desc(), F.col("token").asc()], k, name="lex_rank")
+def ranked_tokens(t: Tables) -> DataFrame:
+    """Every token of a language with its rank (from 1) by (count desc, token), as a bucketed dense index."""
+    bucket = F.struct((-F.col("n")).alias("c"), F.substring("token", 1, 3).alias("p"))
+    r = dense_index(token_counts(t), order=[F.col("n").desc(), F.col("token")], bucket=bucket, partition_by=["lang"], name="_r")
+    return r.select("lang", "token", "n", (F.col("_r") + 1).cast("int").alias("lex_rank"))
 
 
 def lexicon(t: Tables) -> DataFrame:
     """(lang, lex_rank, src_word, trg_word): pivot-language tokens matched by rank."""
-    top = top_tokens(t)
+    top = ranked_tokens(t)
     piv = top.where(F.col("lang") == LEXICON_PIVOT).select("lex_rank", F.col("token").alias("src_word"))
     oth = top.where(F.col("lang") != LEXICON_PIVOT).select("lang", "lex_rank", F.col("token").alias("trg_word"))
     return oth.join(piv, "lex_rank", "inner").select("lang", "lex_rank", "src_word", "trg_word")

@@ -9,7 +9,7 @@ from __future__ import annotations
 import itertools
 
 from corpusforge.functions.rules import MLM_LENGTH, SENTENCE_RE, TOKEN_RE
-from corpusforge.plans.views import LANG_MAP, LANGS, LEXICON_PIVOT, LEXICON_SIZE, NEXT_LANG, PIECE_KEY
+from corpusforge.plans.views import LANG_MAP, LANGS, LEXICON_PIVOT, NEXT_LANG, PIECE_KEY
 
 TOK = TOKEN_RE
 SENT = SENTENCE_RE
@@ -59,11 +59,10 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     "lang_map": ([], f"SELECT * FROM (VALUES {_lang_map_rows}) AS t(code, name)"),
     "token_counts": ([], f"""SELECT lang, token, count(*) AS n
   FROM (SELECT lang, unnest(regexp_extract_all(text, {sq(TOK)})) AS token FROM documents) GROUP BY lang, token"""),
-    "top_tokens": (["token_counts"], f"""SELECT * FROM (SELECT lang, token, n,
-  row_number() OVER (PARTITION BY lang ORDER BY n DESC, token) AS lex_rank FROM token_counts)
-  WHERE lex_rank <= {LEXICON_SIZE}"""),
-    "lexicon": (["top_tokens"], f"""SELECT o.lang, o.lex_rank, p.token AS src_word, o.token AS trg_word
-  FROM top_tokens o JOIN top_tokens p ON p.lang = '{LEXICON_PIVOT}' AND o.lex_rank = p.lex_rank
+    "ranked_tokens": (["token_counts"], f"""SELECT * FROM (SELECT lang, token, n,
+  row_number() OVER (PARTITION BY lang ORDER BY n DESC, token) AS lex_rank FROM token_counts)"""),
+    "lexicon": (["ranked_tokens"], f"""SELECT o.lang, o.lex_rank, p.token AS src_word, o.token AS trg_word
+  FROM ranked_tokens o JOIN ranked_tokens p ON p.lang = '{LEXICON_PIVOT}' AND o.lex_rank = p.lex_rank
   WHERE o.lang <> '{LEXICON_PIVOT}'"""),
     "sent": (["texts"], f"""SELECT f.doc_id, f.lang, f.source, f.text,
   CASE WHEN l.toxic = 1 THEN 'negative' WHEN l.quality = 1 THEN 'positive' ELSE 'neutral' END AS label_text,

@@ -278,14 +278,27 @@ def _csv(spark: SparkSession):
     return spark.read.option("header", True).option("multiLine", True).option("escape", '"')
 
 
+def _csv_entries(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the *.csv files (or folders of part files) in a folder."""
+    fs, p = _fs(spark, folder)
+    return sorted(n for n in (s.getPath().getName() for s in fs.listStatus(p)) if n.endswith(".csv"))
+
+
 def read_wide_csv_dir(spark: SparkSession, folder: str, index_col: bool = True) -> DataFrame:
-    """Every *.csv of a folder in one read; split = file name up to the first '.';
-    the leading index column is dropped."""
-    df = _csv(spark).csv(f"{folder.rstrip('/')}/*.csv")
-    rel = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+\.csv)(/part-[^/]+)?$", 1)
-    df = df.withColumn("data_split", F.split(rel, r"\.").getItem(0))
-    if index_col:
-        df = df.drop(df.columns[0])
+    """Every *.csv of a folder; split = file name up to the first '.'; the leading index column is dropped.
+
+    Each file is read by its own header, so files may order their columns
+    differently; a column that a file lacks is null. One plan per file: a
+    folder has one file per split."""
+    folder = folder.rstrip("/")
+    frames = []
+    for name in _csv_entries(spark, folder):
+        df = _csv(spark).csv(f"{folder}/{name}")
+        df = df.drop(df.columns[0]) if index_col else df
+        frames.append(df.withColumn("data_split", F.lit(name.split(".")[0])))
+    if not frames:
+        raise FileNotFoundError(f"no csv in {folder}")
+    df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
     langs = [c for c in df.columns if c != "data_split"]
     return na_to_null(df, langs).withColumn("data_source", F.lit(SOURCE_WIDE))
 
@@ -311,14 +324,18 @@ def read_lexicon_dir(spark: SparkSession, folder: str, split: str = "train") ->
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
-NESTED_RE = r"/([^/]+)/([^/]+)\.csv(/part-[^/]+)?$"
-
-
 def read_nested_dir(spark: SparkSession, folder: str) -> DataFrame:
-    """<lang>/<split>.csv in one read; adds ``language`` and ``split`` from the path."""
-    df = _csv(spark).csv(f"{folder.rstrip('/')}/*/*.csv")
-    fp = F.col("_metadata.file_path")
-    return df.withColumns({"language": F.regexp_extract(fp, NESTED_RE, 1), "split": F.regexp_extract(fp, NESTED_RE, 2)})
+    """<lang>/<split>.csv; adds ``language`` and ``split`` from the path. Each file is read by its own header."""
+    folder = folder.rstrip("/")
+    fs, p = _fs(spark, folder)
+    frames = []
+    for lang in sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()):
+        for name in _csv_entries(spark, f"{folder}/{lang}"):
+            df = _csv(spark).csv(f"{folder}/{lang}/{name}")
+            frames.append(df.withColumns({"language": F.lit(lang), "split": F.lit(name[: -len(".csv")])}))
+    if not frames:
+        raise FileNotFoundError(f"no csv in {folder}")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
 def write_csv_with_index(df: DataFrame, path: str, order: Sequence[str], width: int = 1 << 14) -> None:

@@ -169,3 +169,18 @@ def test_metrics_append(spark, tmp_path):
     fl.append_metrics(spark, rows, p)
     out = fl.append_metrics(spark, rows, p)
     assert out.count() == 2 and dict(out.dtypes)["value"] == "double"
+
+
+def test_csv_files_are_read_by_their_own_header(spark, tmp_path):
+    d = tmp_path / "wide"
+    d.mkdir()
+    (d / "train.csv").write_text(",ind,jav\n0,satu,siji\n")
+    (d / "test.csv").write_text(",jav,ind\n0,loro,dua\n")
+    got = {r.data_split: (r.ind, r.jav) for r in fl.read_wide_csv_dir(spark, str(d)).collect()}
+    assert got == {"train": ("satu", "siji"), "test": ("dua", "loro")}
+    n = tmp_path / "nested" / "ban"
+    n.mkdir(parents=True)
+    (n / "train.csv").write_text("text,label\na,x\n")
+    (n / "test.csv").write_text("label,text\ny,b\n")
+    got = {r.split: (r.language, r.text, r.label) for r in fl.read_nested_dir(spark, str(tmp_path / "nested")).collect()}
+    assert got == {"train": ("ban", "a", "x"), "test": ("ban", "b", "y")}
