@@ -30,27 +30,9 @@ HASH_SEP = "#"
 # Fixed values that must equal the reference's for the same results
 # ---------------------------------------------------------------------------
 
-# Language code -> language name (eleven codes, ten names).
-LANG_NAMES = {
-    "ban": "balinese",
-    "ind": "indonesian",
-    "bjn": "banjarese",
-    "min": "minangkabau",
-    "jav": "javanese",
-    "sun": "sundanese",
-    "max_Latn": "north maluku malay",
-    "zlm_Latn": "malaysian malay",
-    "zsm_Latn": "malaysian malay",
-    "msa_Latn": "indonesian malay",
-    "eng": "english",
-}
-
 # Aligned-corpus manifest: subsets x splits; train .id files have three columns.
 ALIGNED_SUBSETS = ["ban-msa", "eng-jav", "eng-msa", "eng-sun", "jav-msa", "msa-msa"]
 ALIGNED_SPLITS = ["dev", "test", "train"]
-ALIGNED_ID_COLUMNS_TRAIN = ["data_source", "source_lang", "target_lang"]
-ALIGNED_ID_COLUMNS_OTHER = ["source_lang", "target_lang"]
-SENTIMENT_SPLITS = ["train", "test", "valid"]
 
 # Provenance names.
 SOURCE_ALIGNED_PREFIX = "tatoeba-"
@@ -64,31 +46,22 @@ NLI_LABELS = {"entailment": 0, "neutral": 1, "contradiction": 2}
 
 # Chunking: limit counts the two specials on the whole-document test.
 CHUNK_MAX_TOKENS = 512
-CHUNK_TAIL_MIN = CHUNK_MAX_TOKENS // 2
 
 # Sequence lengths and truncation budgets.
 MLM_LENGTH = 512
 CLASSIFIER_LENGTH = 256
-CLM_BLOCK = 1024
 BUDGET_SLACK_INSTRUCTION = 80   # budget = (block - 80) // 2
 BUDGET_SLACK_CHAT = 30          # budget = (block - 30) // 2
 BUDGET_SLACK_SECTIONS = 100     # budget = (block - 100) // 2
 
 # Masked LM: 15 % of positions; of those 80 % mask, 10 % random, 10 % keep.
-MLM_PROBABILITY = 0.15
 MLM_COPIES = 7
 
 # Split, shuffle, schedule settings.
 TEST_SHARE = 0.05
 SEED = 42
 WARMUP_SHARE = 0.1
-STREAM_ROWS = 194157658
-EFFECTIVE_BATCH = 2048
-STREAM_BUFFER = 1000000
-VALIDATION_BATCHES = 2000
 CHAT_TRIM_CHARS = 2
-LOG_EVERY = 500
-TOPK_CHECKPOINTS = 4
 
 # Chat markup (one message = start marker, role, newline, content, end marker, newline).
 CHAT_START = "<|im_start|>"

@@ -155,7 +155,7 @@ def q_strip_newlines(spark, sf):
 
 
 def _sql_instruction(s_name, t_name, s_text, t_text, eos):
-    head = tp.INSTRUCTION_PREAMBLE + " \n\n" + tp.INSTRUCTION_HEADER + "\nTranslate the input text from "
+    head = tp.INSTRUCTION_PREAMBLE + " \n\n" + tp.INSTRUCTION_HEADER + "\nRender the passage below from "
     return (f"({sq(head)} || {s_name} || ' to ' || {t_name} || '.' || chr(10) || replace({s_text}, chr(10), '') || "
             f"{sq(chr(10) + chr(10) + tp.RESPONSE_HEADER + chr(10))} || replace({t_text}, chr(10), '') || {sq(eos)})")
 
@@ -178,7 +178,7 @@ def q_template_instruction(spark, sf):
 
 
 def _sql_sections(s_name, t_name, s_text, t_text):
-    a = (tp.SECTIONS_PREAMBLE + "\n\n" + tp.SECTIONS_INSTRUCTION + "\nTerjemahkan teks berikut dari bahasa ")
+    a = (tp.SECTIONS_PREAMBLE + "\n\n" + tp.SECTIONS_INSTRUCTION + "\nAlihbahasakan kalimat di bawah ini dari bahasa ")
     b = ".\n\n" + tp.SECTIONS_INPUT + "\n"
     c = "\n\n" + tp.SECTIONS_RESPONSE + "\n"
     return (f"({sq(a)} || {s_name} || ' ke bahasa ' || {t_name} || {sq(b)} || {s_text} || {sq(c)} || {t_text} "
