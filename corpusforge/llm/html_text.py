@@ -1,14 +1,13 @@
 """Operator 3: main text of a page by line-block distribution.
 
-Markup is stripped into lines, one per block of the page; a line that stands in
+Markup is stripped into lines, one per block of the page, without what stands in
 a menu, header, footer, sidebar, notice, advert, form, script, style or comment
-section has no weight, any other line weighs its characters outside links. Text
-lengths are summed over a sliding window of lines. The text surges where the
-sum first rises above a threshold and dives where it falls to nothing, and the
-lines of weight between a surge and its dive are kept. Where the page names its
-article (article or main elements), lines outside it weigh nothing and any text
-is a surge; elsewhere a surge needs a share of the page's largest sum, so that
-stray short lines between boilerplate stay out.
+section. A line weighs its characters outside links. Weights are summed over a
+sliding window of lines, on every page alike. The text surges where the sum
+first reaches a share of the page's largest; it dives where the sum falls to
+nothing, which is a list of links or the end. Lines of weight between a surge
+and its dive are kept. article and main elements choose no lines; inside them, fewer linked lines than a window before a surge belong to
+it (a linked title), and links are text where the page has no other.
 """
 
 from __future__ import annotations
@@ -67,16 +66,18 @@ def page_lines(html: str) -> list[tuple[str, int, bool]]:
     lines: list[tuple[str, int, bool]] = []
     buffer: list[str] = []
     linked = 0
+    said = False  # a letter or digit outside links
     stack: list[tuple[str, bool]] = []  # open elements and whether each one is boilerplate
     dropped = article = links = 0
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, said
         text = " ".join(unescape("".join(buffer)).split())
         if text:
-            lines.append((text, max(len(text) - linked, 0) if linked < len(text) else 0, article > 0))
+            # marks between links are no text
+            lines.append((text, max(len(text) - linked, 0) if said or not linked else 0, article > 0))
         buffer.clear()
-        linked = 0
+        linked, said = 0, False
 
     def close(name: str) -> None:
         nonlocal dropped, article, links
@@ -96,6 +97,8 @@ def page_lines(html: str) -> list[tuple[str, int, bool]]:
             buffer.append(text)
             if links:
                 linked += len(" ".join(unescape(text).split()))
+            else:
+                said = said or any(c.isalnum() for c in unescape(text))
         if not m:
             break
         at = m.end()
@@ -133,20 +136,25 @@ def page_lines(html: str) -> list[tuple[str, int, bool]]:
 def main_text(html: str | None, window: int = WINDOW, surge: float = SURGE) -> str:
     """Main text of one page, blocks joined by a line feed; empty if there is none."""
     lines = page_lines(html or "")
-    named = any(inside for _, _, inside in lines)
-    weights = [w if inside or not named else 0 for _, w, inside in lines]
-    if named:  # an article is text also where all of it is linked
-        weights = [max(w, 1) if inside else 0 for (_, _, inside), w in zip(lines, weights)]
+    weights = [w for _, w, _ in lines]
+    if not any(weights):
+        weights = [len(text) if inside else 0 for text, _, inside in lines]
     sums = [sum(weights[i : i + window]) for i in range(len(weights))]
-    least = 1 if named else max(1.0, surge * max(sums, default=0))
-    kept, reading = [], False
-    for (text, _, _), weight, block in zip(lines, weights, sums):
-        if not reading and block >= least and weight:
-            reading = True  # surge
-        elif reading and block == 0:
-            reading = False  # dive
+    least = max(1.0, surge * max(sums, default=0))
+    kept, title, reading = [], [], False
+    for (text, _, inside), weight, block in zip(lines, weights, sums):
+        if reading:
+            reading = block > 0  # dive
+        elif weight:
+            reading = block >= least  # surge
+            if reading and len(title) < window:
+                kept += title
         if reading and weight:
             kept.append(text)
+        if reading or weight or not inside:
+            title = []
+        elif len(title) < window:
+            title.append(text)
     return "\n".join(kept)
 
 

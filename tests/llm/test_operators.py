@@ -145,6 +145,27 @@ def test_html_text(spark):
     assert html_text.extract_main_text(df.limit(0)).count() == 0
 
 
+def _page(*lines: str) -> str:
+    return "".join(f"<p>{x}</p>" for x in lines)
+
+
+LINKS = [f"<a href=x>Some other story {i}</a>" for i in range(6)]
+
+
+def test_html_text_is_chosen_by_window_sums_beside_article_elements():
+    text = [f"Paragraph {i} of the page " + "with words " * 20 for i in range(5)]
+    cards = "".join(f"<article><h2><a href=x>Teaser {i}</a></h2></article>" for i in range(6))
+    want = "\n".join(x.strip() for x in text)
+    assert html_text.main_text(f"<div>{_page(*text)}</div>{cards}") == want
+    assert html_text.main_text(f"{cards}<div>{_page(*text)}</div>") == want
+    # lists of links and share lines inside main are no text, the linked title of an article is
+    share = "<div><a href=x>Tweet</a> | <a href=y>Mail</a></div>"
+    page = f"<main><h1><a href=x>Title</a></h1>{_page(*text[:3])}{_page('More news', *LINKS)}{_page(*text[3:])}{share}</main>"
+    assert html_text.main_text(page) == "\n".join(["Title", *(x.strip() for x in text[:3]), "More news", *(x.strip() for x in text[3:])])
+    assert html_text.main_text(f"{_page('More news', *LINKS)}<main>{_page(*text)}</main>") == want
+    assert html_text.main_text("<article><p><a href=x>all of it linked</a></p></article>") == "all of it linked"
+
+
 def test_license_scan(spark):
     rng = random.Random(4)
     rows = [(i, prose(rng, 30) + "\n" + prose(rng, 90)) for i in range(300)]
