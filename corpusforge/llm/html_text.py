@@ -2,11 +2,14 @@
 
 Markup is stripped into lines, one per block of the page, without what stands in
 a menu, header, footer, sidebar, notice, advert, form, script, style or comment
-section. A line weighs its characters outside links. Weights are summed over a
-sliding window of lines, on every page alike. The text surges where the sum
-first reaches a share of the page's largest; it dives where the sum falls to
-nothing, which is a list of links or the end. Lines of weight between a surge
-and its dive are kept. article and main elements choose no lines; inside them, fewer linked lines than a window before a surge belong to
+section. A line weighs its characters outside links. Weights, clipped so that a
+long line cannot raise the bar for others, are summed over a sliding window of
+lines, on every page alike. The text surges where the sum first reaches a share
+of the page's largest, and at any line without links that no linked line
+follows (what is left below the bar is the label of a list of links); it dives
+where the sum falls to nothing, which is a list of links or the end. All lines
+between a surge and its dive are kept. article and main elements choose no
+lines; inside them, fewer linked lines than a window before a surge belong to
 it (a linked title), and links are text where the page has no other.
 """
 
@@ -23,6 +26,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 WINDOW = 3
 SURGE = 0.15  # share of the largest window sum
+CLIP = 40  # characters of a line that count in a sum
 
 # fixed values: element names of the HTML standard
 RAW = ("script", "style", "template", "noscript", "svg", "math", "iframe", "object", "canvas", "textarea", "select", "title")
@@ -139,17 +143,18 @@ def main_text(html: str | None, window: int = WINDOW, surge: float = SURGE) -> s
     weights = [w for _, w, _ in lines]
     if not any(weights):
         weights = [len(text) if inside else 0 for text, _, inside in lines]
-    sums = [sum(weights[i : i + window]) for i in range(len(weights))]
+    sums = [sum(min(w, CLIP) for w in weights[i : i + window]) for i in range(len(weights))]
     least = max(1.0, surge * max(sums, default=0))
     kept, title, reading = [], [], False
-    for (text, _, inside), weight, block in zip(lines, weights, sums):
+    for i, ((text, _, inside), weight, block) in enumerate(zip(lines, weights, sums)):
         if reading:
             reading = block > 0  # dive
         elif weight:
-            reading = block >= least  # surge
+            alone = weight == len(text) and (i + 1 == len(lines) or weights[i + 1] > 0)
+            reading = block >= least or alone  # surge
             if reading and len(title) < window:
                 kept += title
-        if reading and weight:
+        if reading:
             kept.append(text)
         if reading or weight or not inside:
             title = []

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import os
 import random
+import re
 import sys
 
 import pytest
@@ -166,6 +167,16 @@ def test_html_text_is_chosen_by_window_sums_beside_article_elements():
     assert html_text.main_text("<article><p><a href=x>all of it linked</a></p></article>") == "all of it linked"
 
 
+@pytest.mark.parametrize("tag", ["div", "main"])
+def test_html_text_beside_one_very_long_block(tag):
+    lines = [f"{i} " + "short one " * 30 for i in range(6)]
+    lines = [*lines, "x" * 20_000, *lines, "<a href=x>a linked line</a>", "after the link"]
+    bare = [re.sub("<[^>]*>", "", x).strip() for x in lines]
+    assert html_text.main_text(f"<{tag}>{_page(*lines)}</{tag}>") == "\n".join(bare)
+    # a short paragraph after a list of links
+    assert html_text.main_text(f"<{tag}>{_page(*lines, *LINKS, 'Thanks.')}</{tag}>") == "\n".join([*bare, "Thanks."])
+
+
 def test_license_scan(spark):
     rng = random.Random(4)
     rows = [(i, prose(rng, 30) + "\n" + prose(rng, 90)) for i in range(300)]
