@@ -1,16 +1,20 @@
 """Operator 4: licence notices, by a trained paragraph classifier that templates confirm.
 
-A paragraph is a line of the text; a line of more than 40 words is read in
-windows of 40 words, 20 apart. Its features are hashed word 1- and 2-grams
+A paragraph is the lines up to one without a word. It is read as a whole, across
+its line ends, and line by line, what has more than 40 words in windows of 40
+words, 20 apart. Features are hashed word 1- and 2-grams of such a unit
 (letters, digits; A-Z lower-cased). A sparse multinomial logistic regression
 tells the licence families from ordinary text; it is trained on the templates
 with words dropped or added and parts cut off, and on a bounded sample of the
 corpus's own paragraphs that hold no licence word. Probabilities are calibrated
-by a temperature on held-out rows, and a prediction less sure than any but one
-in a thousand held-out ordinary paragraphs is dropped. What remains is compared
-with the family's templates by the share of a template's word pairs that the
-paragraph holds: from ``CONFIRM`` up the family stands, from ``LIKE`` up it is
-``unknown``, below the line is no notice.
+by a temperature on held-out rows, and a unit less likely a notice than any but
+one in a thousand held-out ordinary paragraphs is dropped. What remains is
+compared with the templates by the share of a template's word pairs that the
+unit holds: every family stands of which a template reaches ``CONFIRM``, and
+``OWN`` of the pairs that no other family's templates have; without any, the
+unit is ``unknown`` if the likeliest family reaches ``LIKE``, else no notice. A
+notice spans the words where most of its template's pairs lie; the best one that
+begins on a line is kept.
 """
 
 from __future__ import annotations
@@ -28,7 +32,8 @@ DIM_BITS = 13
 SPAN, STRIDE = 40, 20
 MAX_NEGATIVES = 4000
 CONFIRM = 0.6
-LIKE = 0.25  # share of a template's pairs below which a line is no notice at all
+LIKE = 0.25  # share of a template's pairs below which a unit is no notice at all
+OWN = 0.5
 SURE = 0.5
 COPIES = 60
 
@@ -91,25 +96,40 @@ def grams(names: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return feature[order], of[order]
 
 
-def units_of(row: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(word, unit): a unit is a line, or a window of ``SPAN`` words of a longer line; unit ids grow with the text."""
-    new = np.concatenate([[True], (row[1:] != row[:-1]) | (line[1:] != line[:-1])]) if len(row) else np.zeros(0, dtype=bool)
+def _windows(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word, unit) of runs of words that begin where ``new`` is set, longer ones in windows of ``SPAN`` words."""
+    if len(new) == 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     para = np.cumsum(new) - 1
     first = np.flatnonzero(new)
-    size = np.diff(np.concatenate([first, [len(row)]]))
-    place = np.arange(len(row)) - first[para] if len(row) else np.zeros(0, np.int64)
+    size = np.diff(np.concatenate([first, [len(new)]]))
+    place = np.arange(len(new)) - first[para]
     many = np.maximum(1, -(-(size - (SPAN - STRIDE)) // STRIDE))
     base = np.cumsum(many) - many
     # a word stands in the window of its stride and, unless that is the first, in the one before
-    last = np.minimum(place // STRIDE, many[para] - 1) if len(row) else place
-    word = np.arange(len(row))
-    again = (last > 0) & (place - (last - 1) * STRIDE < SPAN) if len(row) else np.zeros(0, dtype=bool)
+    last = np.minimum(place // STRIDE, many[para] - 1)
+    word = np.arange(len(new))
+    again = (last > 0) & (place - (last - 1) * STRIDE < SPAN)
     w = np.concatenate([word, word[again]])
-    u = np.concatenate([base[para] + last, base[para[again]] + last[again] - 1]) if len(row) else w
+    u = np.concatenate([base[para] + last, base[para[again]] + last[again] - 1])
     order = np.lexsort((w, u))
     return w[order], u[order]
 
 
+def units_of(row: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word, unit), in order of unit: the lines of the texts, then the paragraphs of several lines."""
+    if len(row) == 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    text = np.concatenate([[True], row[1:] != row[:-1]])
+    step = np.concatenate([[0], np.diff(line)])
+    new_line, new_para = text | (step != 0), text | (step > 1)
+    w, u = _windows(new_line)
+    para = np.cumsum(new_para) - 1
+    wrapped = np.flatnonzero((np.bincount(para, weights=new_line) > 1)[para])
+    pw, pu = _windows(new_para[wrapped])
+    return np.concatenate([w, wrapped[pw]]), np.concatenate([u, pu + u[-1] + 1])
+
+
 def _sparse(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(feature, text, value) of whole texts as single units; a text's values have unit length."""
     feature, of = [], []
@@ -124,11 +144,11 @@ def _sparse(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _variants(rng: np.random.Generator, text: str, filler: list[str]) -> Iterator[str]:
-    """A template as people write it: words dropped, other text around it, upper or lower case."""
+    """A template as people write it: words dropped, other text around it up to a window, upper or lower case."""
     words = text.split()
     for _ in range(COPIES):
         keep = [w for w in words if rng.random() > 0.08] or words
-        around = list(rng.choice(filler, size=int(rng.integers(0, 7)))) if filler else []
+        around = list(rng.choice(filler, size=int(rng.integers(0, 7 if rng.random() < 0.5 else SPAN - 4)))) if filler else []
         cut = int(rng.integers(0, len(around) + 1))
         out = " ".join(around[:cut] + keep + around[cut:])
         yield out.upper() if rng.random() < 0.05 else out.lower() if rng.random() < 0.2 else out
@@ -176,25 +196,56 @@ def train(negatives: list[str]) -> dict:
     z = scores()[held]
     loss = {t: -np.log(np.maximum(_softmax(z * t)[np.arange(held.sum()), label[held]], 1e-12)).mean() for t in (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0)}
     heat = min(loss, key=loss.get)
-    ordinary = _softmax(z[label[held] == 0] * heat)[:, 1:].max(axis=1)
+    ordinary = 1 - _softmax(z[label[held] == 0] * heat)[:, 0]
     least = max(SURE, float(np.quantile(ordinary, 0.999))) if len(ordinary) else SURE
     return {"names": names, "w": (w * heat).astype(np.float32), "b": (b * heat).astype(np.float32), "least": min(least, 0.9)}
 
 
 def _pairs(names: np.ndarray) -> np.ndarray:
+    """Name of each pair of successive words."""
     with np.errstate(over="ignore"):
-        return np.unique(tb.finalize(names[:-1] * tb._MIX2 + names[1:])) if len(names) > 1 else np.unique(names)
-
-
-def template_pairs() -> dict[str, list[np.ndarray]]:
-    return {k: [_pairs(next(paragraph_words(pa.array([t])))[3]) for t in v] for k, v in TEMPLATES.items()}
+        return tb.finalize(names[:-1] * tb._MIX2 + names[1:])
+
+
+class Templates:
+    """All templates' distinct word pairs in one array; ``own`` marks those of no other family."""
+
+    def __init__(self):
+        self.family = [k for k, v in TEMPLATES.items() for _ in v]
+        words = [next(paragraph_words(pa.array([t])))[3] for v in TEMPLATES.values() for t in v]
+        self.pairs = [np.unique(_pairs(w)) for w in words]
+        self.words = np.array([len(w) for w in words])
+        self.all, size = np.concatenate(self.pairs), np.array([len(x) for x in self.pairs])
+        self.first = np.cumsum(size) - size
+        other = [np.concatenate([y for y, g in zip(self.pairs, self.family) if g != f]) for f in self.family]
+        self.own = np.concatenate([~np.isin(x, y) for x, y in zip(self.pairs, other)])
+
+    def _share(self, of: np.ndarray, held: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(of & held, self.first, dtype=np.int64) / np.maximum(np.add.reduceat(of, self.first, dtype=np.int64), 1)
+
+    def found(self, pairs: np.ndarray, likeliest: str) -> Iterator[tuple[bool, float, str, int, int]]:
+        """(confirmed, similarity, family, first word, last word) of the notices of a unit of these pairs."""
+        held = np.isin(self.all, pairs)
+        like = self._share(np.ones(len(held), dtype=bool), held)
+        stands = (like >= CONFIRM) & (self._share(self.own, held) >= OWN)
+        names = sorted({self.family[t] for t in np.flatnonzero(stands)})
+        for name in names or [likeliest]:
+            mine = [t for t, f in enumerate(self.family) if f == name and (stands[t] or not names)]
+            best = max(mine, key=lambda t: (like[t], self.words[t]))
+            if like[best] < LIKE:
+                continue
+            at = np.flatnonzero(np.isin(pairs, self.pairs[best]))
+            n = np.searchsorted(at, at + 3 * self.words[best] // 2) - np.arange(len(at))
+            k = int(n.argmax())
+            yield bool(names), float(like[best]), name if names else UNKNOWN, int(at[k]), int(at[k + n[k] - 1]) + 1
 
 
 def scan_licences(spark: SparkSession, docs: DataFrame, max_negatives: int = MAX_NEGATIVES) -> DataFrame:
-    """(doc_id, line, family, probability, similarity, confirmed): licence notices found, the best unit of each line.
+    """(doc_id, line, family, probability, similarity, confirmed, first_word, last_word): licence notices found, the best of each line.
 
-    family is ``unknown`` where the classifier is sure of a notice that
-    resembles no template well enough to name its family. Null and empty texts have none; repeated rows give repeated
+    line, first_word and last_word say where it stands in the text, from 0 (words of letters and digits). family is
+    ``unknown`` where the classifier is sure of a notice that
+    resembles no template well enough to name its family; probability is that of any notice. Null and empty texts have none; repeated rows give repeated
     rows. The classifier sees at most ``max_negatives`` paragraphs of the
     corpus, one of a document, by smallest hash of doc_id.
     """
@@ -207,13 +258,13 @@ def scan_licences(spark: SparkSession, docs: DataFrame, max_negatives: int = MAX
     sample = plain.orderBy("h", "p").limit(max_negatives).collect()  # bounded by max_negatives, 400 characters each
     model = spark.sparkContext.broadcast(train([r["p"] for r in sample]))
     key = dict(docs.dtypes)["doc_id"]
-    ddl = f"doc_id {key}, line long, family string, probability double, similarity double, confirmed boolean"
+    ddl = f"doc_id {key}, line long, family string, probability double, similarity double, confirmed boolean, first_word long, last_word long"
     return texts.mapInArrow(_scanner(model), ddl)
 
 
 def _scanner(model):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, known = model.value, template_pairs()
+        m, known = model.value, Templates()
         for batch in batches:
             for a, row, line, names in paragraph_words(batch.column(1)):
                 if len(names) == 0:
@@ -227,28 +278,24 @@ def _scanner(model):
                     stop = cut[k + 4096] if k + 4096 < len(cut) else len(of)
                     z[k : k + 4096] = np.add.reduceat(m["w"][feature[cut[k] : stop]], cut[k : k + 4096] - cut[k], axis=0)
                 p = _softmax(z / np.sqrt(n)[:, None] + m["b"])
-                best = p.argmax(axis=1)
+                notice, best = 1 - p[:, 0], p[:, 1:].argmax(axis=1) + 1
                 at = np.searchsorted(unit, of[cut])
                 stop = np.searchsorted(unit, of[cut], side="right")
-                found: dict = {}
-                for u in np.flatnonzero(best > 0):
-                    family, sure = m["names"][best[u]], float(p[u, best[u]])
-                    mine = _pairs(names[word[at[u] : stop[u]]])
-                    like = max(float(np.isin(t, mine).mean()) for t in known[family])
-                    if sure < m["least"] or like < LIKE:
-                        continue
-                    ok = like >= CONFIRM
-                    i = word[at[u]]
-                    place, hit = (int(row[i]) + a, int(line[i])), (ok, sure, like, family if ok else UNKNOWN)
-                    found[place] = max(found.get(place, hit), hit)
-                if found:
-                    keys = sorted(found)
-                    ids = batch.column(0).take(pa.array([k[0] for k in keys]))
-                    hits = [found[k] for k in keys]
+                found = []
+                for u in np.flatnonzero(notice >= m["least"]):
+                    w = word[at[u] : stop[u]]
+                    for ok, like, family, first, last in known.found(_pairs(names[w]), m["names"][best[u]]):
+                        found.append((ok, like, float(notice[u]), family, int(w[first]), int(w[last])))
+                top = {(int(row[h[4]]), int(line[h[4]])): h for h in sorted(found)}  # the best of a line
+                hits = [top[k] for k in sorted(top)]
+                if hits:
+                    ok, like, sure, family, first, last = zip(*hits)
+                    first, last = np.array(first), np.array(last)
+                    begin = np.searchsorted(row, row[first])
                     yield pa.RecordBatch.from_arrays(
-                        [ids, pa.array([k[1] for k in keys], pa.int64()), pa.array([h[3] for h in hits]), pa.array([round(h[1], 6) for h in hits]),
-                         pa.array([round(h[2], 6) for h in hits]), pa.array([h[0] for h in hits])],
-                        names=["doc_id", "line", "family", "probability", "similarity", "confirmed"],
+                        [batch.column(0).take(pa.array(row[first] + a)), pa.array(line[first], pa.int64()), pa.array(family), pa.array([round(x, 6) for x in sure]),
+                         pa.array([round(x, 6) for x in like]), pa.array(ok), pa.array(first - begin, pa.int64()), pa.array(last - begin, pa.int64())],
+                        names=["doc_id", "line", "family", "probability", "similarity", "confirmed", "first_word", "last_word"],
                     )
 
     return rows

@@ -7,6 +7,7 @@ import os
 import random
 import re
 import sys
+import textwrap
 
 import pytest
 
@@ -188,6 +189,23 @@ def test_license_scan(spark):
     assert license_scan.scan_licences(spark, df.limit(0)).count() == 0
 
 
+def test_license_scan_reads_wrapped_notices(spark):
+    rng = random.Random(5)
+    rows = [(i, prose(rng, 30) + "\n" + prose(rng, 90)) for i in range(300)]
+    bsd, gpl, mit = (license_scan.TEMPLATES[k][i] for k, i in (("bsd", 0), ("gpl", 1), ("mit", 2)))
+    above = prose(rng, 12) + "\n\n"
+    rows += [
+        (1000, above + bsd.replace("without modification", "without\nmodification")),
+        (1001, above + gpl.replace("modify it", "modify\nit") + "\n\n" + prose(rng, 50)),
+        (1002, "# " + "\n# ".join(textwrap.wrap(mit, 30))),
+        (1003, prose(rng, 70) + "\n" + "\n".join(textwrap.wrap(bsd, 24)) + "\n" + prose(rng, 70)),
+        (1004, bsd.replace("without modification", "without\n \nmodification")),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.line, r.family) for r in license_scan.scan_licences(spark, df).collect() if r.confirmed)
+    assert got == [(1000, 2, "bsd"), (1001, 2, "gpl"), (1002, 0, "mit"), (1003, 1, "bsd")]
+
+
 def test_language_id_held_out(spark):
     from corpusforge.llm.q_language_id import op5_language_id
 
