@@ -13,8 +13,8 @@ compared with the templates by the share of a template's word pairs that the
 unit holds: every family stands of which a template reaches ``CONFIRM``, and
 ``OWN`` of the pairs that no other family's templates have; without any, the
 unit is ``unknown`` if the likeliest family reaches ``LIKE``, else no notice. A
-notice spans the words where most of its template's pairs lie; the best one that
-begins on a line is kept.
+notice spans the words where most of its template's pairs lie; of spans of one
+family that overlap the most similar is kept, and no ``unknown`` on a confirmed one.
 """
 
 from __future__ import annotations
@@ -241,7 +241,7 @@ class Templates:
 
 
 def scan_licences(spark: SparkSession, docs: DataFrame, max_negatives: int = MAX_NEGATIVES) -> DataFrame:
-    """(doc_id, line, family, probability, similarity, confirmed, first_word, last_word): licence notices found, the best of each line.
+    """(doc_id, line, family, probability, similarity, confirmed, first_word, last_word): every licence notice found.
 
     line, first_word and last_word say where it stands in the text, from 0 (words of letters and digits). family is
     ``unknown`` where the classifier is sure of a notice that
@@ -262,6 +262,19 @@ def scan_licences(spark: SparkSession, docs: DataFrame, max_negatives: int = MAX
     return texts.mapInArrow(_scanner(model), ddl)
 
 
+def _distinct(found: list[tuple], n_words: int) -> list[tuple]:
+    """Notices in order of the text, the best of those of a family that share words; units overlap."""
+    taken, kept = {}, []
+    for hit in sorted(found, key=lambda h: (not h[0], -h[1], h[4] - h[5], -h[2], h[4], h[3])):
+        family, span = hit[3], slice(hit[4], hit[5] + 1)
+        mine = taken.setdefault(family, np.zeros(n_words, dtype=bool))
+        if not mine[span].any():
+            kept.append(hit)
+            mine[span] = True
+            taken.setdefault(UNKNOWN, np.zeros(n_words, dtype=bool))[span] = True
+    return sorted(kept, key=lambda h: (h[4], h[3]))
+
+
 def _scanner(model):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, known = model.value, Templates()
@@ -286,8 +299,7 @@ def _scanner(model):
                     w = word[at[u] : stop[u]]
                     for ok, like, family, first, last in known.found(_pairs(names[w]), m["names"][best[u]]):
                         found.append((ok, like, float(notice[u]), family, int(w[first]), int(w[last])))
-                top = {(int(row[h[4]]), int(line[h[4]])): h for h in sorted(found)}  # the best of a line
-                hits = [top[k] for k in sorted(top)]
+                hits = _distinct(found, len(names))
                 if hits:
                     ok, like, sure, family, first, last = zip(*hits)
                     first, last = np.array(first), np.array(last)

@@ -206,6 +206,26 @@ def test_license_scan_reads_wrapped_notices(spark):
     assert got == [(1000, 2, "bsd"), (1001, 2, "gpl"), (1002, 0, "mit"), (1003, 1, "bsd")]
 
 
+def test_license_scan_returns_every_notice_of_a_line(spark):
+    rng = random.Random(6)
+    rows = [(i, prose(rng, 30) + "\n" + prose(rng, 90)) for i in range(300)]
+    mit, gpl, bsd = license_scan.TEMPLATES["mit"][2], license_scan.TEMPLATES["gpl"][0], license_scan.TEMPLATES["bsd"][0]
+    rows += [
+        (1000, f"{mit} {prose(rng, 100)} {gpl} {prose(rng, 60)} {mit}"),
+        (1001, "Licensed under the MIT License or the Apache License, Version 2.0."),
+        (1002, f"{gpl} {bsd}"),
+        (1003, "Licensed under CC BY-SA 4.0."),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.line, r.first_word, r.last_word, r.family) for r in license_scan.scan_licences(spark, df).collect() if r.confirmed)
+    assert got == [
+        (1000, 0, 0, 19, "mit"), (1000, 0, 120, 131, "gpl"), (1000, 0, 192, 211, "mit"),
+        (1001, 0, 0, 4, "mit"), (1001, 0, 0, 11, "apache-2.0"),
+        (1002, 0, 0, 11, "gpl"), (1002, 0, 12, 32, "bsd"),
+        (1003, 0, 0, 6, "cc-by-sa"),
+    ]
+
+
 def test_language_id_held_out(spark):
     from corpusforge.llm.q_language_id import op5_language_id
 
