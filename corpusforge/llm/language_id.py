@@ -2,8 +2,9 @@
 
 A text is first given to a language family, then one-versus-one linear support
 vector machines separate the languages of that family by votes (ties by summed
-margins). Families are learned: languages whose mean profiles are more alike
-than the average pair of languages are joined (single link).
+margins). Families are learned: languages are joined by the likeness of their
+mean profiles (average link) up to the largest gap; of three or more languages
+there are two families at least.
 
 Features are hashed byte 1- to 4-grams of the whole text, lower-cased, every
 ASCII byte that is no letter read as a space; square-root counts, unit length.
@@ -86,18 +87,26 @@ def linear_svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, epochs: int = 12) -
 
 
 def families(profiles: dict[str, np.ndarray]) -> list[list[str]]:
-    """Languages grouped by single link over pairs more alike than the mean pair."""
+    """Languages joined by average link up to the largest gap; at least two groups, and each alone if there are fewer than three."""
     names = sorted(profiles)
     unit = {k: v / max(np.linalg.norm(v), 1e-9) for k, v in profiles.items()}
     alike = {(a, b): float(unit[a] @ unit[b]) for a, b in combinations(names, 2)}
-    mean = sum(alike.values()) / max(1, len(alike))
-    group = {k: {k} for k in names}
-    for (a, b), s in alike.items():
-        if s > mean + 1e-9 and group[a] is not group[b]:
-            group[a] |= group[b]
-            for k in group[b]:
-                group[k] = group[a]
-    return sorted({tuple(sorted(g)) for g in group.values()})
+    groups = [(k,) for k in names]
+    steps = [groups]  # groups after each join
+    level = []  # likeness of each join
+
+    def link(g: tuple, h: tuple) -> float:
+        return sum(alike[min(a, b), max(a, b)] for a in g for b in h) / (len(g) * len(h))
+
+    while len(groups) > 1:
+        g, h = max(combinations(groups, 2), key=lambda x: link(*x))
+        level.append(link(g, h))
+        groups = sorted([x for x in groups if x not in (g, h)] + [tuple(sorted(g + h))])
+        steps.append(groups)
+    if len(names) < 3:
+        return [list(g) for g in steps[0]]
+    joins = 1 + max(range(len(level) - 1), key=lambda k: level[k] - level[k + 1])
+    return [list(g) for g in steps[joins]]
 
 
 def fit(texts: pa.Array, langs: np.ndarray) -> dict:

@@ -9,6 +9,8 @@ import re
 import sys
 import textwrap
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -236,6 +238,18 @@ def test_language_id_held_out(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_language_id_fits_a_family_model():
+    rng = random.Random(7)
+    stems = {"aa": "ba ce di fo", "ab": "ba ce di gu", "ac": "ba ce gu fo", "zz": "xo zu vi te"}
+    rows = [(prose(rng, 40, stems[k].split()), k) for k in stems for _ in range(30)]
+    model = language_id.fit(pa.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=object))
+    assert len(model["top"]) == len(model["groups"]) > 1 and ["zz"] in [list(g) for g in model["groups"]]
+    # likenesses in a chain: single link over the pairs above the mean joins all
+    chain = {k: np.eye(5)[i] + np.eye(5)[i + 1] for i, k in enumerate("abcd")}
+    assert len(language_id.families(chain)) > 1
+    assert language_id.families({k: chain[k] for k in "ab"}) == [["a"], ["b"]]
+
+
 def test_language_id_edges(spark):
     rows = [(i, t, lang) for i, (t, lang) in enumerate([("the cat sat", "en"), ("der hund lief", "de")] * 20)]
     rows += [(100, None, "en"), (101, "", "de"), (102, "12 !?", None), (103, "Ω", None), (104, "the " * 100_000, None), (None, "the cat", None)]
