@@ -6,7 +6,7 @@ from importlib import import_module
 
 MODULES = [
     "q_mixing", "q_ngram_join", "q_html_text", "q_license_scan", "q_language_id", "q_quote_links", "q_url_filter", "q_quality", "q_suffix_dedup",
-    "q_decontaminate",
+    "q_decontaminate", "q_sharding", "q_whitening", "q_prefix_trie",
 ]
 
 
