@@ -152,26 +152,27 @@ def _twisted(q: np.ndarray, ld: np.ndarray, lam: float) -> np.ndarray:
 
 
 def _apart(q: np.ndarray, ld: np.ndarray, lam: float, others: list[np.ndarray], seed: int) -> np.ndarray:
-    """A vector of a value that others lie close to: inverse iteration on the same factors, orthogonal to theirs."""
-    up, _, pivots, _ = _factors(q, ld, lam)
+    """A vector of a value that others lie close to: inverse iteration from the twisted vector (or a fixed random one),
+    held orthogonal to theirs. The solves pivot, as the twisted factors of such values grow without bound."""
     n = len(q)
-    z = _twisted(q, ld, lam) if not others else np.random.default_rng(seed).standard_normal(n)
-    for _ in range(4):
+    t = np.diag(q + np.concatenate([[0.0], q[:-1] * ld**2])) + np.diag(q[:-1] * ld, 1) + np.diag(q[:-1] * ld, -1)
+    t -= lam * (1 + 4 * _EPS) * np.eye(n)
+    t[np.diag_indices(n)] += np.where(np.abs(t).sum(axis=1) == 0, _EPS * lam, 0.0)
+    z = np.random.default_rng(seed).standard_normal(n) if others else _twisted(q, ld, lam)
+
+    def freed(z: np.ndarray) -> np.ndarray:
         for _ in range(2):
             for o in others:
                 z = z - (o @ z) * o
-        z /= np.linalg.norm(z)
-        y = z.copy()
-        for i in range(1, n):
-            y[i] -= up[i - 1] * y[i - 1]
-        y /= np.where(np.abs(pivots) < 1e-300, 1e-300, pivots)
-        for i in range(n - 2, -1, -1):
-            y[i] -= up[i] * y[i + 1]
-        z = y / np.linalg.norm(y)
-    for _ in range(2):
-        for o in others:
-            z = z - (o @ z) * o
-    return z / np.linalg.norm(z)
+        return z / np.linalg.norm(z)
+
+    z = freed(z)
+    for _ in range(3):
+        try:
+            z = freed(np.linalg.solve(t, z))
+        except np.linalg.LinAlgError:  # exactly singular: move the shift a little
+            t -= 8 * _EPS * lam * np.eye(n)
+    return z
 
 
 def bidiagonal_vectors(diagonal: np.ndarray, above: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
