@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -76,3 +77,38 @@ def text_counts(text: str | None) -> tuple:
         at.setdefault(tuple(w[i : i + 3]), []).append(i)
     covered = {i + k for v in at.values() if len(v) > 1 for i in v for k in range(3)}
     return len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered)
+
+
+def trie(rows, group: int = 20, heads: int = 4) -> set[tuple]:
+    """Rows (conv_id, turn, role, text), turn numbers unique in a conversation -> the nodes of the rebuilt conversations."""
+    import zlib
+
+    own: dict = {}
+    for c, turn, role, text in rows:
+        if c is not None:
+            own.setdefault(c, []).append((turn is not None, turn or 0, role or "", text or ""))
+    own = {c: [x[2:] for x in sorted(v)] for c, v in own.items()}
+    built = {}
+    for c, v in own.items():
+        h = zlib.crc32(str(c).encode()) % heads
+        built[c] = own.get(c - int(math.fmod(c, group)), [])[:h] + v[h:]
+    members: dict = {}
+    for c, v in built.items():
+        for d in range(len(v) + 1):
+            members.setdefault(tuple(v[:d]), []).append(c)
+    if not built:
+        return set()
+    children: dict = {}
+    for p in members:
+        if p:
+            children.setdefault(p[:-1], []).append(p)
+    out, below = set(), {}
+    for p in sorted(members, key=len, reverse=True):
+        m, kids = members[p], children.get(p, [])
+        words = len(WORD.findall(p[-1][1])) if p else 0
+        leaves = sum(below[k][0] for k in kids) or 1
+        saved = (len(m) - 1) * words + sum(below[k][1] for k in kids)
+        below[p] = leaves, saved
+        ends = ",".join(map(str, sorted(c for c in m if len(built[c]) == len(p))))
+        out.add((min(m), len(p), min(members[p[:-1]]) if p else None, len(m), len(kids), leaves, saved, hashlib.sha256(ends.encode()).hexdigest()))
+    return out
