@@ -213,6 +213,8 @@ def whitening_directions(r: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.
     Directions without variance (a singular value at rounding level) are left
     out. The largest entry of a direction is positive.
     """
+    if not np.any(r):
+        return np.zeros(0), np.zeros((r.shape[1], 0)), 0.0
     diagonal, above, w = bidiagonal(r)
     values, z = bidiagonal_vectors(diagonal, above, k)
     trace = float((r * r).sum()) / n
