@@ -35,7 +35,7 @@ from corpusforge.llm.tables import Scratch
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: turns of a segment; segments of one double array
-SEGMENT, SHARD_ROWS = 64, 20_000
+SEGMENT, SHARD_ROWS = 64, 10_000
 #: conversation ids joined into one piece before hashing: ids of one piece share id div ID_BLOCK
 ID_BLOCK = 1 << 14
 
@@ -149,11 +149,12 @@ class DoubleArray:
     """BASE and CHECK over dense symbols: the child of state s by symbol c is state BASE[s] + c if CHECK of that is s.
 
     Built level by level from sorted rows of symbols. Children of one state
-    are placed together at the first base that fits among the first free
-    cells, else behind the last used cell; single children fill free cells.
+    are placed together at the first base that fits among the lowest free
+    cells (cells behind the last used one are free as well), else behind the
+    last used cell; single children fill free cells.
     """
 
-    TRIES = 32
+    TRIES, STALE = 32, 128
 
     def __init__(self, symbols: int, room: int):
         self.base = np.zeros(symbols + room + 2, dtype=np.int64)
@@ -162,55 +163,44 @@ class DoubleArray:
         self.top = 1
         self.free = np.zeros(0, dtype=np.int64)
 
-    def _reach(self, cell: int) -> None:
-        if cell >= len(self.check):
-            more = max(len(self.check), cell + 1 - len(self.check))
+    def _use(self, state: np.ndarray | int, base: np.ndarray | int, cells: np.ndarray) -> None:
+        end = int(cells.max()) + 1
+        if end > len(self.check):
+            more = max(len(self.check) // 4, end - len(self.check))
             self.base = np.concatenate([self.base, np.zeros(more, np.int64)])
             self.check = np.concatenate([self.check, np.full(more, -1, np.int64)])
+        self.base[state], self.check[cells] = base, state
+        self.top = max(self.top, end)
 
-    def _place(self, state: int, children: np.ndarray) -> None:
-        low = int(children[0])
-        at = next((f - low for f in self.free[: self.TRIES].tolist() if f > low and self._fits(f - low, children)), None)
-        if at is None:
-            at = max(self.top - low, 1)
-        cells = at + children
-        self._reach(int(cells[-1]))
-        end = int(cells[-1]) + 1
-        if end > self.top:
-            self.free = np.concatenate([self.free, np.arange(self.top, end)])
-            self.top = end
-        self.base[state], self.check[cells] = at, state
-        self.free = self.free[self.check[self.free] < 0]
-
-    def _fits(self, at: int, children: np.ndarray) -> bool:
-        cells = at + children
-        return at >= 1 and bool((self.check[cells[cells < self.top]] < 0).all())
+    def _fits(self, base: int, children: np.ndarray) -> bool:
+        cells = base + children
+        return bool((self.check[cells[cells < self.top]] < 0).all())
 
     def add_level(self, state: np.ndarray, symbol: np.ndarray) -> None:
         """Children of a level: distinct (state, symbol), sorted."""
         first = np.flatnonzero(np.concatenate([[True], state[1:] != state[:-1]]))
         count = np.diff(np.append(first, len(state)))
-        for a, k in zip(first[count > 1].tolist(), count[count > 1].tolist()):
-            self._place(int(state[a]), symbol[a : a + k])
+        for i, (a, k) in enumerate(zip(first[count > 1].tolist(), count[count > 1].tolist())):
+            if i % self.STALE == 0:
+                self.free = np.flatnonzero(self.check[: self.top] < 0)
+            children = symbol[a : a + k]
+            low = int(children[0])
+            at = int(np.searchsorted(self.free, low + 1))
+            tries = [f for f in self.free[at : at + self.STALE + self.TRIES].tolist() if self.check[f] < 0][: self.TRIES]
+            base = next((f - low for f in tries if self._fits(f - low, children)), max(self.top - low, 1))
+            self._use(int(state[a]), base, base + children)
         alone = first[count == 1]
         if not len(alone):
             return
         alone = alone[np.argsort(symbol[alone], kind="stable")]
         s, c = state[alone], symbol[alone]
-        holes = self.free[-len(alone) :]  # the largest free cells, for the largest symbols
+        holes = np.flatnonzero(self.check[: self.top] < 0)[-len(alone) :]  # the largest, for the largest symbols
         cells = np.full(len(alone), -1, np.int64)
-        if len(holes):
-            cells[len(alone) - len(holes) :] = holes
-            cells[cells <= c] = -1
+        cells[len(alone) - len(holes) :] = holes
+        cells[cells <= c] = -1  # a base is 1 at least
         rest = np.flatnonzero(cells < 0)
-        start = max(self.top, int(c[rest].max(initial=0)) + 1)
-        cells[rest] = start + np.arange(len(rest))
-        if len(rest):
-            self._reach(start + len(rest))
-            self.free = np.concatenate([self.free, np.arange(self.top, start)])
-            self.top = start + len(rest)
-        self.base[s], self.check[cells] = cells - c, s
-        self.free = self.free[self.check[self.free] < 0]
+        cells[rest] = max(self.top, int(c[rest].max(initial=0)) + 1) + np.arange(len(rest))
+        self._use(s, cells - c, cells)
 
     def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """The next states; -1 where there is no such child."""
@@ -225,27 +215,30 @@ def walk_shard(group: np.ndarray, lengths: np.ndarray, names: np.ndarray) -> tup
 
     ``group`` numbers the nodes that segments hang from, ``names`` (turns x 2)
     the turns of all segments in a row. Symbols are dense: groups first, then
-    the distinct turns.
+    the distinct turns, level by level as they first occur, so that children
+    of one node lie close together.
     """
     start = np.cumsum(lengths) - lengths
     groups = int(group.max(initial=-1)) + 1
+    symbols, dense = groups, np.zeros(0, np.int64)
     if len(names):
         pair = np.ascontiguousarray(names).view([("a", np.int64), ("b", np.int64)]).ravel()
-        distinct, dense = np.unique(pair, return_inverse=True)
-        dense = dense.ravel() + groups
-        symbols = groups + len(distinct)
-    else:
-        dense, symbols = np.zeros(0, np.int64), groups
+        by_level = np.argsort(np.arange(len(names)) - np.repeat(start, lengths), kind="stable")
+        distinct, at, dense = np.unique(pair[by_level], return_index=True, return_inverse=True)
+        place = np.empty(len(distinct), np.int64)
+        place[np.argsort(at)] = np.arange(len(distinct))
+        back = np.empty(len(names), np.int64)
+        back[by_level] = place[dense.ravel()]
+        dense, symbols = back + groups, groups + len(distinct)
     trie = DoubleArray(symbols, len(dense) + groups)
-    here = np.arange(groups)
-    trie.add_level(np.zeros(groups, np.int64), here)
+    trie.add_level(np.zeros(groups, np.int64), np.arange(groups))
     roots = trie.step(np.zeros(len(group), np.int64), group)
     state, states = roots.copy(), []
     for i in range(int(lengths.max(initial=0))):
         going = np.flatnonzero(lengths > i)
         symbol = dense[start[going] + i]
-        both = np.unique(np.stack([state[going], symbol]), axis=1)
-        trie.add_level(both[0], both[1])
+        both = np.unique(state[going] * symbols + symbol)  # sorted (state, symbol)
+        trie.add_level(both // symbols, both % symbols)
         state[going] = trie.step(state[going], symbol)
         states.append(state[going].copy())
     return trie, roots, states
@@ -279,7 +272,9 @@ def _walker(first: bool, rows: int):
             changed = np.concatenate([[True], (hang[1:] != hang[:-1]).any(axis=1)])
             group = np.cumsum(changed) - 1
             trie, roots, states = walk_shard(group, lengths, np.stack([field("k1"), field("k2")], axis=1))
-            size = len(trie.check)
+            # totals are kept by node, not by cell: cells of the array may be many more
+            number = np.cumsum(trie.check >= 0) - 1
+            roots, states, size = number[roots], [number[x] for x in states], int(number[-1]) + 1
             start = np.cumsum(lengths) - lengths
             t1, t2, w, depth = field("t1"), field("t2"), field("w"), field("depth")
             n, low = col("n"), col("low")
