@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusforge.operators.index import dense_index, range_bucket
+from corpusforge.operators.index import range_index
 
 # --- P: projections and filters -------------------------------------------------
 
@@ -53,27 +53,27 @@ def lang_table(spark: SparkSession, mapping: Mapping[str, str]) -> DataFrame:
 
 
 def filter_lang_allowlist(df: DataFrame, dictionary: DataFrame, cols=("source_lang", "target_lang")) -> DataFrame:
-    """Keep rows whose codes are all dictionary keys (broadcast left-semi joins)."""
-    keys = F.broadcast(dictionary.select(F.col("code")).distinct())
+    """Keep rows whose codes are all dictionary keys (left-semi joins; Spark sends a small dictionary along)."""
+    keys = dictionary.select(F.col("code")).distinct()
     for c in cols:
         df = df.join(keys.withColumnRenamed("code", f"_k_{c}"), F.col(c) == F.col(f"_k_{c}"), "left_semi")
     return df
 
 
-def dense_row_index(df: DataFrame, order: Sequence[str], name: str = "row_index", width: int = 1 << 14) -> DataFrame:
-    """Throw away any old index; number rows 0..n-1 in ``order`` (first column numeric)."""
-    return dense_index(df, order=list(order), bucket=range_bucket(order[0], width), name=name)
+def dense_row_index(df: DataFrame, order: Sequence[str], name: str = "row_index") -> DataFrame:
+    """Throw away any old index; number rows 0..n-1 in ``order``."""
+    return range_index(df, order=list(order), name=name)
 
 
 # --- J: joins and lookups -------------------------------------------------------
 
 def lookup_lang_name(df: DataFrame, dictionary: DataFrame, cols=("source_lang", "target_lang"),
                      drop_same_name: bool = False) -> DataFrame:
-    """Code -> name on each side, by broadcast joins on the (literal-sized) dictionary.
+    """Code -> name on each side, by joins on the dictionary (a small one is sent along).
 
     Two codes may share one name, so a pair can become same-name after mapping;
     it is kept (decision Q5) unless ``drop_same_name``."""
-    d = F.broadcast(dictionary)
+    d = dictionary
     for c in cols:
         df = (
             df.join(d.withColumnsRenamed({"code": "_code", "name": "_name"}), F.col(c) == F.col("_code"), "left")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from corpusforge.functions.rules import SEED, TEST_SHARE
 from corpusforge.functions.text import seeded_hash
-from corpusforge.operators.index import dense_index, hash_bucket, range_bucket
+from corpusforge.operators.index import dense_index, hash_bucket, range_index
 
 
 def _key(key) -> Column:
@@ -44,30 +44,35 @@ def split_unseeded(df: DataFrame, key, test_share: float = TEST_SHARE, seed: int
     return split_exact_seeded(df, key, test_share, seed).withColumn("split_seed", F.lit(seed))
 
 
-def split_head_percent(df: DataFrame, position: str, percent: float, out: str = "data_split",
-                       width: int = 1 << 14) -> DataFrame:
+def split_head_percent(df: DataFrame, position: str | list[str], percent: float, out: str = "data_split") -> DataFrame:
     """First p % of rows by position -> validation, the rest -> train.
 
     Both sides share one cut = floor(p*n/100 + 0.5), so no row is lost or doubled.
     """
-    p = dense_index(df, order=[position], bucket=range_bucket(position, width), name="_i", total_name="_n")
+    p = range_index(df, order=[position] if isinstance(position, str) else position, name="_i", total_name="_n")
     cut = F.floor(F.lit(percent) * F.col("_n") / 100 + 0.5)
     return p.withColumn(out, F.when(F.col("_i") < cut, "validation").otherwise("train")).drop("_i", "_n")
 
 
-def validation_from_head(df: DataFrame, split_col: str, position: str, percent: float,
-                         width: int = 1 << 14) -> DataFrame:
+def validation_from_head(df: DataFrame, split_col: str, position: str | list[str], percent: float) -> DataFrame:
     """D03 as the reference applies it: only when the table has no ``validation`` rows
-    are the first p % of the train rows (by position) turned into validation. The
-    check is a scalar subquery, so both branches stay one plan."""
-    has_val = df.select(F.max((F.col(split_col) == "validation").cast("int"))).scalar()
+    are the first p % of the train rows (by position) turned into validation. Rows of
+    other splits, and of none, stay."""
+    if not df.where(F.col(split_col) == "validation").isEmpty():
+        return df
     train = df.where(F.col(split_col) == "train")
-    cut = split_head_percent(train.drop(split_col), position, percent, out="_s", width=width)
-    carved = cut.withColumn(split_col, F.col("_s")).drop("_s")
-    others = df.where(F.col(split_col) != "train")
-    kept = df.where(F.coalesce(has_val, F.lit(0)) == 1)
-    made = carved.unionByName(others).where(F.coalesce(has_val, F.lit(0)) == 0)
-    return kept.unionByName(made)
+    carved = split_head_percent(train.drop(split_col), position, percent, out=split_col)
+    return carved.unionByName(df.where(~F.col(split_col).eqNullSafe("train"))).select(*df.columns)
+
+
+def head_split_capped(df: DataFrame, position: str | list[str], percent: float, max_train: int | None = None,
+                      max_eval: int | None = None, out: str = "data_split") -> DataFrame:
+    """D03 + D07: the head cut, then at most the first ``max_train`` and ``max_eval`` rows of each side, by position."""
+    p = range_index(df, order=[position] if isinstance(position, str) else position, name="_i", total_name="_n")
+    cut = F.floor(F.lit(percent) * F.col("_n") / 100 + 0.5)
+    head = F.col("_i") < cut
+    keep = (head & (F.col("_i") < (1 << 62 if max_eval is None else max_eval))) | (~head & (F.col("_i") - cut < (1 << 62 if max_train is None else max_train)))
+    return p.where(keep).withColumn(out, F.when(head, "validation").otherwise("train")).drop("_i", "_n")
 
 
 def shuffle_seeded(df: DataFrame, key, seed=SEED, name: str = "pos") -> DataFrame:
@@ -79,7 +84,7 @@ def shuffle_per_epoch(df: DataFrame, key, epoch_col: str = "epoch", seed=SEED, n
                       shuffle: bool = True) -> DataFrame:
     """A new order every epoch (seed#epoch); ``shuffle=False`` keeps the key order."""
     if not shuffle:
-        return dense_index(df, order=[_key(key)], bucket=range_bucket(_key(key)), partition_by=[epoch_col], name=name)
+        return range_index(df, order=[_key(key)], partition_by=[epoch_col], name=name)
     seeded = F.concat_ws("#", _key(key).cast("string"), F.lit(str(seed)), F.col(epoch_col).cast("string"))
     h = F.md5(seeded)
     return dense_index(

@@ -1,38 +1,42 @@
 """Vocabulary, encode/decode, truncation and fixed-length padding.
 
-Encoding explodes each example's tokens, looks them up in the vocabulary
-table and regroups them per example in order (``collect_list``); an example's
-tokens are bounded by the truncation length, applied before the explode.
-A vocabulary whose counted size is under ``BROADCAST_VOCAB_MAX`` is broadcast
-and the examples are co-partitioned by key before the explode, so only whole
-examples shuffle; a larger one is a shuffle join on the token.
+A vocabulary whose summed bytes are under ``MAP_VOCAB_MAX_BYTES`` goes to every
+task as one Arrow table; tokens are cut by Spark's own regular expressions and
+looked up batch by batch (a hash lookup over whole columns), so rows neither
+explode nor shuffle and the same code encodes a stream. A larger vocabulary is
+a shuffle join on the token and a regroup per example.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from corpusforge.functions import text as tx
 from corpusforge.functions.rules import BOS_ID, EOS_ID, N_SPECIALS, PAD_ID, SPECIALS, UNK_ID, VOCAB_MULTIPLE
-from corpusforge.operators.index import dense_index
+from corpusforge.operators.index import range_index
 
 
 def vocab_build(docs: DataFrame, text_col: str = "text", fast: bool = False) -> DataFrame:
     """(token, id, count) ranked by count desc, token asc; specials take ids 0..4.
 
-    Word count with map-side partial aggregation, then the dense index with a
-    bucket (-count, 3-char prefix) that is monotone in the rank order.
+    Word count with map-side partial aggregation, then the positions of a range
+    sort over distinct tokens.
     """
     counts = (
         docs.select(F.explode(tx.tokens(text_col, fast)).alias("token"))
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("count"))
     )
-    bucket = F.struct((-F.col("count")).alias("c"), F.substring("token", 1, 3).alias("p"))
-    ranked = dense_index(counts, order=[F.col("count").desc(), F.col("token")], bucket=bucket, name="_r")
+    ranked = range_index(counts, order=[F.col("count").desc(), F.col("token")], name="_r")
     words = ranked.select("token", (F.col("_r") + N_SPECIALS).cast("int").alias("id"), F.col("count").cast("bigint"))
     spark = docs.sparkSession
     specials = spark.createDataFrame([(t, i, 0) for i, t in enumerate(SPECIALS)], "token string, id int, count bigint")
@@ -45,33 +49,86 @@ def padded_vocab_size(n: Column | int) -> Column:
     return (F.ceil(n / F.lit(VOCAB_MULTIPLE)) * VOCAB_MULTIPLE).cast("bigint")
 
 
-# Largest vocabulary (rows) shipped to every task as a broadcast; above it the
-# lookup is a shuffle join on the token.
-BROADCAST_VOCAB_MAX = 1_000_000  # ~50-80 MB as a hash relation
+#: bytes of tokens (with 16 for each) up to which the vocabulary goes to every task as one map
+MAP_VOCAB_MAX_BYTES = 64 << 20
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage of a reused table (vocabulary, lexicon) with a reliable checkpoint
-    in the shared folder named by ``spark.checkpoint.dir``."""
-    from corpusforge.session import checkpoint_dir
+    """Cut lineage of a reused table: written once as parquet in the shared folder named by ``spark.checkpoint.dir``."""
+    from corpusforge.session import scratch_path
 
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _lookup(df: DataFrame, key: Sequence[str], items: Column, table: DataFrame, on: str,
-            vocab_rows: int | None, limit: int) -> DataFrame:
-    """Explode ``items`` (pos, value), look each value up in ``table`` and regroup per key.
+def stored(df: DataFrame, build: Callable[[DataFrame], DataFrame], name: str, rule: str = "") -> DataFrame:
+    """``build(df)`` as a table kept under a fingerprint of its input: built once, then read by whoever asks again.
 
-    Small table (counted): co-partition the input rows by key first, explode, broadcast
-    the table; the regroup then reuses that partitioning (the per-token rows never
-    shuffle, and hot tokens cannot skew a join). Large table: shuffle join on the value.
+    The fingerprint is that of the files behind ``df`` (path, length, time of change), of the
+    plan over them and of ``rule``; other files, a changed one or another rule give another table.
+    A frame without files is built each time.
     """
-    n = table.count() if vocab_rows is None else vocab_rows
-    if n <= limit:
-        base = df.repartition(*key)
-        exploded = base.select(*key, F.posexplode_outer(items).alias("_pos", on))
-        return exploded.join(F.broadcast(table), on=on, how="left")
+    from corpusforge.session import checkpoint_dir
+
+    spark = df.sparkSession
+    files = sorted(df.inputFiles())
+    if not files:
+        return materialize(build(df))
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    seen = hashlib.sha256(repr((rule, name, df.schema.simpleString(), df._jdf.queryExecution().analyzed().canonicalized().toString())).encode())
+    for f in files:
+        at = jvm.org.apache.hadoop.fs.Path(f)
+        status = at.getFileSystem(conf).getFileStatus(at)
+        seen.update(f"{f}|{status.getLen()}|{status.getModificationTime()}\n".encode())
+    path = f"{checkpoint_dir(spark)}/{name}-{seen.hexdigest()[:24]}"
+    done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(conf).exists(done):
+        build(df).write.mode("overwrite").parquet(path)  # an unfinished earlier build goes
+    return spark.read.parquet(path)
+
+
+def vocab_map(vocab: DataFrame, max_bytes: int = MAP_VOCAB_MAX_BYTES) -> Broadcast | None:
+    """(token, id) of the vocabulary as one Arrow table for every task; None if it has more than ``max_bytes``."""
+    spark = vocab.sparkSession
+    known = vocab.__dict__.get("_sent")  # one frame is asked again by every micro-batch
+    if known is not None and known[0] == max_bytes:
+        return known[1]
+    size = vocab.agg((F.sum(F.octet_length("token")) + 16 * F.count(F.lit(1))).alias("b")).first()["b"] or 0
+    if size > max_bytes:
+        vocab._sent = (max_bytes, None)
+        return None
+    table = vocab.select(F.col("token").cast("string").alias("token"), F.col("id").cast("int").alias("id")).toArrow()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    vocab._sent = (max_bytes, spark.sparkContext.broadcast(sink.getvalue().to_pybytes()))
+    return vocab._sent[1]
+
+
+def _map_lists(df: DataFrame, key: Sequence[str], items: Column, sent: Broadcast, get: str, give: str, missing, out: str, kind: pa.DataType) -> DataFrame:
+    """Each row's list looked up in the sent table (``get`` -> ``give``), row by row of Arrow batches: no shuffle, streams too."""
+    cols = df.select(*key, items.alias("_items"))
+    fields = [f for f in cols.schema.fields if f.name != "_items"]
+    schema = StructType([*fields, StructField(out, ArrayType(from_arrow_type(kind)))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.ipc.open_stream(sent.value).read_all()
+        values, results = table.column(get).combine_chunks(), table.column(give).combine_chunks()
+        for batch in batches:
+            lists = batch.column(batch.num_columns - 1)
+            flat = lists.flatten()
+            found = results.take(pc.index_in(flat, value_set=values)).fill_null(missing).cast(kind)
+            lengths = pc.fill_null(lists.value_lengths(), 0).cast(pa.int64())
+            offsets = pa.concat_arrays([pa.array([0], pa.int64()), pc.cumulative_sum(lengths)]).cast(pa.int32())
+            got = pa.ListArray.from_arrays(offsets, found)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], got], [*batch.schema.names[:-1], out])
+
+    return cols.mapInArrow(run, schema)
+
+
+def _lookup(df: DataFrame, key: Sequence[str], items: Column, table: DataFrame, on: str) -> DataFrame:
+    """Explode ``items`` (pos, value) and join each value with ``table``: for a table of any size."""
     exploded = df.select(*key, F.posexplode_outer(items).alias("_pos", on))
     return exploded.join(table, on=on, how="left")
 
@@ -85,28 +142,40 @@ def encode(
     add_specials: bool = True,
     out: str = "ids",
     fast: bool = False,
-    vocab_rows: int | None = None,
-    broadcast_limit: int = BROADCAST_VOCAB_MAX,
+    map_bytes: int = MAP_VOCAB_MAX_BYTES,
 ) -> DataFrame:
     """Text -> token ids (unknown -> <unk>), optionally wrapped in <s> ... </s>.
 
-    Returns ``key`` columns plus ``out``; rows with no token keep an empty list.
-    ``vocab`` should be materialized (it is counted for the broadcast check).
+    Returns ``key`` columns plus ``out``; rows with no token (a null text too) keep an
+    empty list. ``vocab`` should be a stored table (its bytes are summed). Up to
+    ``map_bytes`` it goes to the tasks as a map and rows stay where they are, so ``df`` may
+    be a stream; beyond that, tokens are joined with it and regrouped by ``key``.
     """
     toks = tx.tokens(text_col, fast) if max_tokens is None else tx.tokens_head(text_col, max_tokens, fast)
-    joined = _lookup(df, key, toks, vocab.select("token", "id"), "token", vocab_rows, broadcast_limit)
-    item = F.when(F.col("_pos").isNotNull(), F.struct("_pos", F.coalesce("id", F.lit(UNK_ID)).alias("id")))
-    grouped = joined.groupBy(*key).agg(F.array_sort(F.collect_list(item)).alias("_items"))
-    ids = F.transform("_items", lambda s: s["id"])
+    sent = vocab_map(vocab, map_bytes)
+    if sent is not None:
+        grouped = _map_lists(df, key, toks, sent, "token", "id", UNK_ID, "_ids", pa.int32())
+        ids = F.col("_ids")
+    else:
+        if df.isStreaming:
+            raise ValueError("a stream needs a vocabulary of at most map_bytes; larger ones encode inside foreachBatch")
+        joined = _lookup(df, key, toks, vocab.select("token", "id"), "token")
+        item = F.when(F.col("_pos").isNotNull(), F.struct("_pos", F.coalesce("id", F.lit(UNK_ID)).alias("id")))
+        grouped = joined.groupBy(*key).agg(F.array_sort(F.collect_list(item)).alias("_items"))
+        ids = F.transform("_items", lambda s: s["id"])
     if add_specials:
         ids = F.concat(F.array(F.lit(BOS_ID)), ids, F.array(F.lit(EOS_ID)))
     return grouped.select(*key, ids.alias(out))
 
 
 def decode(df: DataFrame, key: Sequence[str], ids_col: str, vocab: DataFrame, out: str = "text",
-           vocab_rows: int | None = None, broadcast_limit: int = BROADCAST_VOCAB_MAX) -> DataFrame:
+           map_bytes: int = MAP_VOCAB_MAX_BYTES) -> DataFrame:
     """Ids -> tokens joined by one space (whitespace is lost, as in any decode)."""
-    joined = _lookup(df, key, F.col(ids_col), vocab.select("id", "token"), "id", vocab_rows, broadcast_limit)
+    sent = vocab_map(vocab, map_bytes)
+    if sent is not None:
+        grouped = _map_lists(df, key, F.col(ids_col).cast("array<int>"), sent, "id", "token", SPECIALS[UNK_ID], "_t", pa.string())
+        return grouped.select(*key, F.array_join("_t", " ").alias(out))
+    joined = _lookup(df, key, F.col(ids_col), vocab.select("id", "token"), "id")
     item = F.when(F.col("_pos").isNotNull(), F.struct("_pos", F.coalesce("token", F.lit(SPECIALS[UNK_ID])).alias("t")))
     grouped = joined.groupBy(*key).agg(F.array_sort(F.collect_list(item)).alias("_items"))
     return grouped.select(*key, F.array_join(F.transform("_items", lambda s: s["t"]), " ").alias(out))

@@ -8,7 +8,6 @@ from corpusforge.functions import text as tx
 from corpusforge.functions.rules import NLI_LABELS, SENTIMENT_LABELS, SOURCE_LEXICON
 from corpusforge.operators import chunk as ch
 from corpusforge.operators import pairs as pr
-from corpusforge.operators.index import dense_index, range_bucket
 from corpusforge.operators.sampling import hash_position
 from corpusforge.plans import views as v
 from corpusforge.plans.registry import register
@@ -198,7 +197,7 @@ def q_filter_allowlist(spark, sf):
   FROM pairs WHERE source_text <> '' AND target_text <> ''""", "pairs"))
 def q_drop_row_index(spark, sf):
     p = pr.filter_nonempty_pair(v.pairs(v.Tables(spark, sf))).select("pair_id", "row_id")
-    return pr.dense_row_index(p, ["row_id", "pair_id"], width=64).select("pair_id", "row_index")
+    return pr.dense_row_index(p, ["row_id", "pair_id"]).select("pair_id", "row_index")
 
 
 # --- J: lookups ----------------------------------------------------------------------
@@ -233,15 +232,22 @@ def q_lookup_label_name(spark, sf):
 
 
 @register("J04_zip_by_position", with_views(
-    """SELECT row_number() OVER (ORDER BY doc_id) - 1 AS line_no, doc_id, text, lang FROM texts""", "texts"))
+    """SELECT a.line_no, a.source_text, b.target_text FROM
+  (SELECT row_number() OVER (ORDER BY pair_id) - 1 AS line_no, regexp_replace(coalesce(source_text, ''), '[\r\n]', ' ', 'g') AS source_text FROM pairs) a
+  JOIN (SELECT row_number() OVER (ORDER BY pair_id) - 1 AS line_no, regexp_replace(coalesce(target_text, ''), '[\r\n]', ' ', 'g') AS target_text FROM pairs) b
+  ON a.line_no = b.line_no""", "pairs"))
 def q_zip_by_position(spark, sf):
-    fl = v.texts(v.Tables(spark, sf))
+    """Two line files, written apart in the order of pair_id and cut into parts differently, zipped by line number."""
+    from corpusforge.session import scratch_path
+    from corpusforge.sources import files as fl
 
-    def side(*cols):
-        s = dense_index(fl, order=["doc_id"], bucket=range_bucket("doc_id"), name="line_no")
-        return s.select("line_no", *cols)
+    def side(col, parts):
+        path = scratch_path(spark, "zip")
+        p = v.pairs(v.Tables(spark, sf)).select("pair_id", F.regexp_replace(F.coalesce(F.col(col), F.lit("")), "[\r\n]", " ").alias(col))
+        p.repartitionByRange(parts, "pair_id").sortWithinPartitions("pair_id").select(col).write.text(path)
+        return fl.read_line_file(spark, path, across=True).select("line_no", F.col("text").alias(col))
 
-    return pr.zip_tables(side("doc_id", "text"), side("lang"), "line_no")
+    return pr.zip_tables(side("source_text", 3), side("target_text", 5), "line_no")
 
 
 # --- U: unions and reshapes ------------------------------------------------------------

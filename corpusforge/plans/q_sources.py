@@ -4,15 +4,21 @@ back with the source under test, and returns what it read."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusforge.functions.rules import ALIGNED_SPLITS, ALIGNED_SUBSETS, LEXICON_PIVOT_COLUMN
 from corpusforge.operators import metrics as mt
+from corpusforge.operators.index import range_index
+from corpusforge.operators.sampling import head_split_capped
 from corpusforge.plans import views as v
+from corpusforge.plans.q_core import arr_str
+from corpusforge.plans.q_text import _sql_sections, sql_encode, sql_pad, sql_title, sql_trunc
 from corpusforge.plans.registry import register
 from corpusforge.plans.views_sql import sq, with_views
 from corpusforge.session import scratch_path
 from corpusforge.sources import files as fl
+from corpusforge.streaming import stream as st
 
 PAIR6 = "source_lang, target_lang, source_text, target_text, data_split, data_source"
 CSV_W = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
@@ -43,6 +49,58 @@ def q_src_by_extension(spark, sf):
     return df.select(*fl.PAIR4, "data_split")
 
 
+def _in_file_order(df, *order):
+    """Parts in the order of ``order``: the position of a row in the files (by path) is its rank."""
+    return df.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+@register("S02_src_csv", with_views("SELECT pair_id, source_lang, target_lang, source_text, target_text, 'train' AS data_split, "
+                                    "(row_number() OVER (ORDER BY pair_id) - 1)::BIGINT AS pos FROM pairs", "pairs"))
+def q_src_csv(spark, sf):
+    path = scratch_path(spark, "pairs") + ".csv"
+    _in_file_order(_pairs(spark, sf).select("pair_id", *fl.PAIR4), "pair_id").write.options(**CSV_W).csv(path)
+    df = range_index(fl.read_by_extension(spark, path), ["file", "line_no"], name="pos")
+    return df.select("pair_id", *fl.PAIR4, "data_split", "pos")
+
+
+@register("S02_src_txt", """SELECT doc_id || ' ' || lang AS text, 'train' AS data_split,
+  (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT AS pos FROM documents""")
+def q_src_txt(spark, sf):
+    path = scratch_path(spark, "docs") + ".txt"
+    d = _in_file_order(v.Tables(spark, sf)["documents"].select("doc_id", "lang"), "doc_id")
+    d.select(F.concat_ws(" ", "doc_id", "lang")).write.text(path)
+    df = range_index(fl.read_by_extension(spark, path, required=["text"]), ["file", "line_no"], name="pos")
+    return df.select("text", "data_split", "pos")
+
+
+@register("S02_validation_file_only", with_views(
+    "SELECT source_lang, target_lang, source_text, target_text, 'validation' AS data_split FROM pairs", "pairs"))
+def q_src_validation_only(spark, sf):
+    path = scratch_path(spark, "pairs") + ".json"
+    _pairs(spark, sf).select(*fl.PAIR4).write.json(path)
+    return fl.read_by_extension(spark, validation_file=path).select(*fl.PAIR4, "data_split")
+
+
+CLM_BLOCK, CLM_TRAIN, CLM_EVAL = 1024, 500, 50
+CLM_SQL = ("clm", f"""SELECT pair_id, data_split, {_sql_sections(sql_title("replace(source_lang, '_', ' ')"), sql_title("replace(target_lang, '_', ' ')"),
+    sql_trunc('source_text', (CLM_BLOCK - 100) // 2), sql_trunc('target_text', (CLM_BLOCK - 100) // 2))} AS prompt FROM (
+  SELECT * EXCLUDE (data_split), CASE WHEN pos < cut THEN 'validation' ELSE 'train' END AS data_split FROM (
+    SELECT *, row_number() OVER (ORDER BY pair_id) - 1 AS pos, floor(5 * count(*) OVER () / 100 + 0.5) AS cut FROM pairs)
+  WHERE (pos < cut AND pos < {CLM_EVAL}) OR (pos >= cut AND pos - cut < {CLM_TRAIN}))""")
+
+
+@register("S02_clm_examples", with_views(f"""SELECT e.pair_id, p.data_split, array_to_string({sql_pad(f"([0] || list_slice(e.ids, 1, {CLM_BLOCK - 2}) || [2])", CLM_BLOCK)}, ' ') AS labels
+  FROM enc_clm e JOIN clm p ON p.pair_id = e.pair_id""", "pairs", "vocab",
+    extra=[CLM_SQL, sql_encode("enc_clm", "clm", "pair_id", "prompt", CLM_BLOCK - 2)]))
+def q_clm_examples(spark, sf):
+    """File -> head split -> template -> ids -> caps: csv, 5 % validation, blocks of 1,024, first 500 and 50 rows."""
+    path = scratch_path(spark, "pairs") + ".csv"
+    _in_file_order(_pairs(spark, sf).select("pair_id", *fl.PAIR4), "pair_id").write.options(**CSV_W).csv(path)
+    df = head_split_capped(fl.read_by_extension(spark, path), ["file", "line_no"], 5, CLM_TRAIN, CLM_EVAL)
+    ex = st.sections_examples(df, v.vocab(v.Tables(spark, sf)), CLM_BLOCK, key=("pair_id", "data_split"))
+    return ex.select("pair_id", "data_split", arr_str("labels").alias("labels"))
+
+
 @register("S03_src_text_linebreaks", "SELECT unnest(string_split(text, chr(10))) || chr(10) AS text FROM documents")
 def q_src_text_linebreaks(spark, sf):
     path = scratch_path(spark, "docs-text")
@@ -63,11 +121,12 @@ def q_src_headerless_tsv(spark, sf):
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-@register("S05_src_line_file", "SELECT unnest(string_split(text, chr(10))) AS text FROM documents")
+@register("S05_src_line_file", """SELECT (row_number() OVER (ORDER BY doc_id, i) - 1)::BIGINT AS line_no, text FROM (
+  SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))""")
 def q_src_line_file(spark, sf):
     path = scratch_path(spark, "lines")
-    v.texts(v.Tables(spark, sf)).select("text").write.text(path)
-    return fl.read_line_file(spark, path)
+    _in_file_order(v.Tables(spark, sf)["documents"].select("doc_id", "text"), "doc_id").select("text").write.text(path)
+    return fl.read_line_file(spark, path, across=True).select("line_no", "text")
 
 
 def _aligned(spark, sf):
@@ -152,11 +211,18 @@ def q_src_nested_dir(spark, sf):
     return df.select(F.col("doc_id").cast("bigint"), "text", "label_text", "language", "split")
 
 
-@register("S11_src_gzip_text", "SELECT unnest(string_split(text, chr(10))) AS text FROM documents")
+@register("S11_src_gzip_text", """SELECT doc_id, (unnest(range(len(l))))::BIGINT AS line_no, unnest(l) AS text
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)""")
 def q_src_gzip_text(spark, sf):
+    """Lines with their order; a line ``#doc <id>`` before each document lets the numbers be told per document."""
     path = scratch_path(spark, "gz")
-    v.texts(v.Tables(spark, sf)).select("text").write.option("compression", "gzip").text(path)
-    return fl.read_gzip_lines(spark, path)
+    d = v.Tables(spark, sf)["documents"].select("doc_id", "text").sortWithinPartitions("doc_id")
+    d.select(F.concat(F.lit("#doc "), F.col("doc_id").cast("string"), F.lit("\n"), F.col("text"))).write.option("compression", "gzip").text(path)
+    lines = fl.read_gzip_lines(spark, path)
+    mark = F.when(F.col("text").rlike("^#doc [0-9]+$"), F.struct(F.substring("text", 6, 20).cast("bigint").alias("doc_id"), F.col("line_no").alias("at")))
+    up = F.last(mark, ignorenulls=True).over(Window.partitionBy("file").orderBy("line_no"))
+    return lines.withColumn("m", up).where(F.col("line_no") > F.col("m.at")).select(
+        "m.doc_id", (F.col("line_no") - F.col("m.at") - 1).alias("line_no"), "text")
 
 
 @register("S13_sink_csv_index", with_views("""SELECT (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT AS row_index,

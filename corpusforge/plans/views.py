@@ -13,10 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusforge.functions import text as tx
-from corpusforge.functions.rules import MLM_LENGTH, NLI_LABELS, SENTIMENT_LABELS
+from corpusforge.functions.rules import MLM_LENGTH, NLI_LABELS, SENTIMENT_LABELS, TOKEN_RE
 from corpusforge.operators import pairs as pr
 from corpusforge.operators import tokens as tk
-from corpusforge.operators.index import dense_index, range_bucket
+from corpusforge.operators.index import range_index
 
 # Languages of the driver's documents; pairs are all ordered pairs of them.
 LANGS = ["de", "en", "es", "fr"]
@@ -49,8 +49,8 @@ class Tables:
 
     @functools.cached_property
     def vocab(self) -> DataFrame:
-        """The vocabulary, built once per query and materialized (reused many times)."""
-        return tk.materialize(tk.vocab_build(self["documents"]))
+        """The vocabulary of the documents: built once for these files, then read by every query."""
+        return tk.stored(self["documents"], tk.vocab_build, "vocab", TOKEN_RE)
 
 
 SPREAD_CONF = "corpusforge.spreadPartitions"
@@ -77,10 +77,9 @@ def texts(t: Tables) -> DataFrame:
 
 def wide(t: Tables) -> DataFrame:
     """Rank documents in each (source, lang) by doc_id; pivot on lang."""
-    ranked = dense_index(texts(t), order=["doc_id"], bucket=range_bucket("doc_id"),
-                         partition_by=["source", "lang"], name="row_id")
+    ranked = range_index(t["documents"].select("doc_id", "lang", "source"), order=["doc_id"], partition_by=["source", "lang"], name="row_id")
     return (
-        ranked.groupBy(F.col("source").alias("src"), "row_id")
+        ranked.join(t["documents"].select("doc_id", "text"), "doc_id").groupBy(F.col("source").alias("src"), "row_id")
         .pivot("lang", LANGS)
         .agg(F.first("text"))
     )
@@ -115,9 +114,8 @@ def token_counts(t: Tables) -> DataFrame:
 
 
 def ranked_tokens(t: Tables) -> DataFrame:
-    """Every token of a language with its rank (from 1) by (count desc, token), as a bucketed dense index."""
-    bucket = F.struct((-F.col("n")).alias("c"), F.substring("token", 1, 3).alias("p"))
-    r = dense_index(token_counts(t), order=[F.col("n").desc(), F.col("token")], bucket=bucket, partition_by=["lang"], name="_r")
+    """Every token of a language with its rank (from 1) by (count desc, token)."""
+    r = range_index(token_counts(t), order=[F.col("n").desc(), F.col("token")], partition_by=["lang"], name="_r")
     return r.select("lang", "token", "n", (F.col("_r") + 1).cast("int").alias("lex_rank"))
 
 
@@ -148,8 +146,8 @@ def nli(t: Tables) -> DataFrame:
         "doc_id", "lang", F.col("text").alias("premise"),
         F.try_element_at(s, F.lit(1)).alias("s1"), F.try_element_at(s, F.lit(2)).alias("s2"),
     )
-    ranked = dense_index(base, order=["doc_id"], bucket=range_bucket("doc_id"), partition_by=["lang"],
-                         name="idx", total_name="n")
+    keys = range_index(docs.select("doc_id", "lang"), order=["doc_id"], partition_by=["lang"], name="idx", total_name="n")
+    ranked = base.join(keys.drop("lang"), "doc_id")
     per_lang = ranked.groupBy("lang").agg(F.max("n").alias("n_next"))  # one row per language
     nxt = F.create_map(*[x for kv in NEXT_LANG.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
     lab = (F.col("doc_id") % 3).cast("int")

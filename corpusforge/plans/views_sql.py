@@ -7,6 +7,7 @@
 from __future__ import annotations
 
 import itertools
+import re
 
 from corpusforge.functions.rules import MLM_LENGTH, SENTENCE_RE, TOKEN_RE
 from corpusforge.plans.views import LANG_MAP, LANGS, LEXICON_PIVOT, NEXT_LANG, PIECE_KEY
@@ -122,8 +123,13 @@ def _resolve(names, out: list[str]) -> None:
 def with_views(body: str, *names: str, extra: list[tuple[str, str]] | None = None) -> str:
     order: list[str] = []
     _resolve(names, order)
-    ctes = [f"{n} AS (\n  {VIEWS[n][1]}\n)" for n in order]
-    ctes += [f"{n} AS (\n  {q}\n)" for n, q in (extra or [])]
-    if not ctes:
+    named = [(n, VIEWS[n][1]) for n in order] + list(extra or [])
+    if not named:
         return body
-    return "WITH " + ",\n".join(ctes) + "\n" + body
+    texts = [q for _, q in named] + [body]
+
+    def cte(n: str, q: str) -> str:  # one that is read more than once is worked out once
+        uses = sum(len(re.findall(rf"\b(?:FROM|JOIN|,)\s*{n}\b", t)) for t in texts)
+        return f"{n} AS {'MATERIALIZED ' if uses > 1 else ''}(\n  {q}\n)"
+
+    return "WITH " + ",\n".join(cte(n, q) for n, q in named) + "\n" + body

@@ -8,10 +8,11 @@ and turned into dense line numbers with the bucketed index (D00).
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusforge.functions.rules import (
@@ -22,7 +23,7 @@ from corpusforge.functions.rules import (
     SOURCE_LEXICON,
     SOURCE_WIDE,
 )
-from corpusforge.operators.index import dense_index
+from corpusforge.operators.index import range_index
 
 # pandas' default missing-value words (read_csv): cells holding one of these read as null.
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -90,80 +91,148 @@ def append_metrics(spark: SparkSession, rows: DataFrame, path: str) -> DataFrame
 
 # --- S02, S03, S05, S11: text files ----------------------------------------------------------
 
-def read_by_extension(spark: SparkSession, train_file: str, validation_file: str | None = None,
+def _raw_lines(spark: SparkSession, path, sep: str | None = None) -> DataFrame:
+    """(value, file, size, block, rid): lines with the file block they lie in; ``rid`` rises by 1 from line to line of a block."""
+    r = spark.read if sep is None else spark.read.option("lineSep", sep)
+    return r.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("rid"))
+
+
+def number_lines(lines: DataFrame, per: Sequence[str] = ("file",), name: str = "line_no") -> DataFrame:
+    """Add ``name`` = 0-based line number within ``per`` (``()`` numbers across all files, by path).
+
+    Blocks are counted (one row per file block), their counts summed up in
+    file order, and a line's place in its block added: no line is sorted or
+    shuffled. A compressed file is one block, so its order holds as well."""
+    heads = lines.groupBy(*dict.fromkeys([*per, "file", "block"])).agg(F.count(F.lit(1)).alias("_n"), F.min("rid").alias("_first"))
+    before = Window.partitionBy(*per).orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.select("file", "block", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_off"))
+    return lines.join(heads, ["file", "block"]).withColumn(name, (F.col("rid") + F.col("_off")).cast("bigint")).drop("_off")
+
+
+def _csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, rec, value): the records of CSV files, numbered from 0 (the header); a quoted field may hold line ends.
+
+    Files are read in splits. A line begins a record if an even number of
+    quotes stands before it in its file; quotes, then record starts, are
+    summed per block, so a record may run over block ends."""
+    per, block = Window.partitionBy("file"), ["file", "block"]
+    earlier = per.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*block).orderBy("rid")
+    lines = _raw_lines(spark, path, "\n").withColumn("value", F.regexp_replace("value", "\r$", ""))
+    lines = lines.withColumn("q", F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit(""))))
+    quotes = lines.groupBy(*block).agg(F.sum("q").alias("n")).select(*block, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("qb"))
+    lines = lines.join(quotes, block)
+    before = F.coalesce(F.sum("q").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("qb")
+    lines = lines.withColumn("starts", (before % 2 == 0).cast("int"))
+    starts = lines.groupBy(*block).agg(F.sum("starts").alias("n")).select(*block, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("sb"))
+    lines = lines.join(starts, block).withColumn("rec", F.col("sb") + F.sum("starts").over(inside) - 1)
+    return lines.groupBy("file", "rec").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "rid", "value"))), lambda x: x["value"]), "\n").alias("value"))
+
+
+def _parsed_csv(spark: SparkSession, path: str) -> DataFrame:
+    """CSV records by each file's own header, with (file, line_no) = place among the file's data records."""
+    records = _csv_records(spark, path).where("value <> ''")
+    heads = sorted(records.where("rec = 0").select("file", "value").collect())  # one row per file
+    options = {"escape": '"', "mode": "PERMISSIVE"}
+    frames = []
+    names_of = {h["file"]: next(csv.reader([h["value"]])) for h in heads}
+    for names in dict.fromkeys(tuple(n) for n in names_of.values()):
+        own = [f for f, n in names_of.items() if tuple(n) == names]
+        schema = ", ".join("`" + n.replace("`", "``") + "` string" for n in names)
+        got = records.where(F.col("file").isin(own) & (F.col("rec") > 0))
+        frames.append(got.select(F.from_csv("value", schema, options).alias("_c"), "file", (F.col("rec") - 1).alias("line_no"))
+                      .select("_c.*", "file", "line_no"))
+    if not frames:
+        return spark.createDataFrame([], "file string, line_no bigint")
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), frames)
+
+
+def read_by_extension(spark: SparkSession, train_file: str | None = None, validation_file: str | None = None,
                       required: Sequence[str] = PAIR4) -> DataFrame:
-    """Csv / json / txt chosen by the TRAIN file's suffix, which decides the
-    reader for the validation file too; other suffixes raise; required columns
-    are checked up front and named when missing."""
-    ext = train_file.rstrip("/").rsplit(".", 1)[-1].lower() if "." in train_file.rsplit("/", 1)[-1] else ""
+    """Csv / json / txt chosen by the suffix of the train file, or of the validation
+    file where that is all there is; it decides the reader for both. Other suffixes raise;
+    required columns are checked up front and named when missing. ``file`` and ``line_no``
+    say where a row stood, in every format (D03 cuts the head by them)."""
+    first = train_file or validation_file
+    if not first:
+        raise ValueError("a train or a validation file is needed")
+    ext = first.rstrip("/").rsplit(".", 1)[-1].lower() if "." in first.rsplit("/", 1)[-1] else ""
     if ext not in ("csv", "json", "txt"):
         raise ValueError(f"train file must be csv, json or txt, got '{ext}'")
-    paths = [train_file] + ([validation_file] if validation_file else [])
 
     def load(p):
         if ext == "csv":
-            return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(p)
-        if ext == "json":
-            return spark.read.json(p)
-        return spark.read.text(p).withColumnRenamed("value", "text")
-
-    frames = [load(p).withColumn("data_split", F.lit("train" if i == 0 else "validation")) for i, p in enumerate(paths)]
+            return _parsed_csv(spark, p)
+        lines = number_lines(_raw_lines(spark, p)).select("value", "file", "line_no")
+        if ext == "txt":
+            return lines.withColumnRenamed("value", "text")
+        schema = spark.read.json(p).schema
+        return lines.where(F.trim("value") != "").select(F.from_json("value", schema).alias("_j"), "file", "line_no").select("_j.*", "file", "line_no")
+
+    frames = [load(p).withColumn("data_split", F.lit(name)) for name, p in (("train", train_file), ("validation", validation_file)) if p]
     missing = [c for c in required if c not in frames[0].columns]
     if missing:
         raise ValueError(f"missing columns for the template: {missing}")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def read_text_lines(spark: SparkSession, path: str, keep_linebreaks: bool = True) -> DataFrame:
-    """One row per line; with ``keep_linebreaks`` the newline is part of the text,
-    except on a file's last line when the file does not end with one."""
-    df = spark.read.text(path).select(F.col("value"), F.col("_metadata.file_path").alias("file"),
-                                      F.col("_metadata.file_block_start").alias("block"),
-                                      F.monotonically_increasing_id().alias("rid"))
-    if not keep_linebreaks:
-        return df.select(F.col("value").alias("text"))
-    files = spark.read.text(path).inputFiles()  # listing only, no scan
-    open_end = [_norm_uri(f) for f in files if not _ends_with_newline(spark, f)]
-    if not open_end:
-        return df.select(F.concat("value", F.lit("\n")).alias("text"))
-    df = df.withColumn("file", F.regexp_replace("file", r"^[A-Za-z][A-Za-z0-9+.-]*:/+", "/"))
-    last = (df.where(F.col("file").isin(open_end)).groupBy("file")
-            .agg(F.max(F.struct("block", "rid")).alias("_last")))
-    j = df.join(last, "file", "left")
-    is_last = F.col("_last").isNotNull() & (F.struct("block", "rid") == F.col("_last"))
-    return j.select(F.when(is_last, F.col("value")).otherwise(F.concat("value", F.lit("\n"))).alias("text"))
+#: two characters that are common in text: a file's last character differs from one of them
+TAIL_MARKS = (" ", "e")
 
 
-def _norm_uri(path: str) -> str:
-    """Scheme and authority slashes dropped, so listing and metadata paths compare equal."""
-    import re
-
-    return re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/+", "/", path)
+def _compressed(spark: SparkSession, paths: Sequence[str]) -> list[str]:
+    """Those of ``paths`` that Spark will read through a codec."""
+    jvm = spark.sparkContext._jvm
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(spark.sparkContext._jsc.hadoopConfiguration())
+    return [p for p in paths if codecs.getCodec(jvm.org.apache.hadoop.fs.Path(p)) is not None]
+
+
+def open_ended_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file) of the files whose last line has no line end, found by tasks, whatever the codec.
+
+    A plain file's lines and line ends add up to its length. The length of a
+    compressed one is not known, so it is read again, cut at one common
+    character and at another: if it ends with a line end, so does the last
+    piece of both; if not, one of the two characters is not its last, and that
+    reading's last piece ends with something else. Pieces must fit in memory."""
+    lines = _raw_lines(spark, path, "\n")
+    packed = _compressed(spark, lines.inputFiles())
+    plain = lines.groupBy("file").agg(F.sum(F.octet_length("value") + 1).alias("b"), F.first("size").alias("size"))
+    out = plain.where("b = size + 1").select("file")
+    if packed:
+        tails = [_raw_lines(spark, packed, c).groupBy("file").agg(F.max_by(F.right("value", F.lit(1)), F.struct("block", "rid")).alias("t")) for c in TAIL_MARKS]
+        known = [t.where(F.col("t") == "\n").select("file") for t in tails]
+        names = tails[0].select("file").union(tails[1].select("file")).distinct()
+        ended = known[0].join(known[1], "file")
+        out = out.join(names, "file", "left_anti").union(names.join(ended, "file", "left_anti"))
+    return out
 
 
-def _ends_with_newline(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
-    size = fs.getFileStatus(p).getLen()
-    if size == 0 or path.endswith(".gz"):
-        return True
-    stream = fs.open(p)
-    try:
-        stream.seek(size - 1)
-        return stream.read() in (10, 13)
-    finally:
-        stream.close()
+def read_text_lines(spark: SparkSession, path: str, keep_linebreaks: bool = True) -> DataFrame:
+    """One row per line; with ``keep_linebreaks`` the newline is part of the text,
+    except on a file's last line when the file does not end with one (inside gzip too)."""
+    if not keep_linebreaks:
+        return spark.read.text(path).select(F.col("value").alias("text"))
+    lines = _raw_lines(spark, path, "\n")
+    last = lines.groupBy("file").agg(F.max(F.struct("block", "rid")).alias("_last")).join(open_ended_files(spark, path), "file")
+    j = lines.join(last, "file", "left")
+    is_last = F.coalesce(F.struct("block", "rid") == F.col("_last"), F.lit(False))
+    return j.select(F.when(is_last, F.col("value")).otherwise(F.concat("value", F.lit("\n"))).alias("text"))
 
 
-def read_line_file(spark: SparkSession, path: str) -> DataFrame:
-    """File -> lines; inner blank lines kept as ''; \\r\\n, \\r and \\n all end a line."""
-    return spark.read.text(path).select(F.col("value").alias("text"))
+def read_line_file(spark: SparkSession, path: str, across: bool = False) -> DataFrame:
+    """File -> (file, line_no, text); inner blank lines kept as ''; \\r\\n, \\r and \\n all end a line.
+    ``across`` numbers all files' lines on, by path (a line file written in parts)."""
+    lines = number_lines(_raw_lines(spark, path), per=() if across else ("file",))
+    return lines.select("file", "line_no", F.col("value").alias("text"))
 
 
 def read_gzip_lines(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
-    """Gzip text read directly; one gzip is one task, so spread the lines after."""
-    df = spark.read.text(path).select(F.col("value").alias("text"))
-    n = partitions or spark.sparkContext.defaultParallelism
-    return df.repartition(n)
+    """Gzip text read directly, with line numbers; one gzip is one task, so the lines are spread after."""
+    return read_line_file(spark, path).repartition(partitions or spark.sparkContext.defaultParallelism)
 
 
 # --- S04, S06, S07: the aligned corpus ------------------------------------------------------------
@@ -176,29 +245,27 @@ def read_id_file(spark: SparkSession, path: str, split: str) -> DataFrame:
         "source_lang", "target_lang")
 
 
-ALIGNED_RE = r"/([^/]+)/([^/]+)\.(id|src|trg)(/part-[^/]+)?$"
+ALIGNED_RE = r"/([^/]+)/([^/]+)\.(id|src|trg)(\.gz)?(/part-[^/]+)?$"
 
 
 def _aligned_lines(spark: SparkSession, root: str, layout: str) -> DataFrame:
+    """(subset, split, kind, line_no, value) of all line files, plain or gzip, numbered within (subset, split, kind)."""
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("rid")]
     if layout == "partitioned":
-        raw = spark.read.text(root)  # discovers kind / subset / split columns
-        df = raw.select("value", "kind", "subset", "split",
-                        F.col("_metadata.file_path").alias("file"),
-                        F.col("_metadata.file_block_start").alias("block"),
-                        F.monotonically_increasing_id().alias("rid"))
+        df = spark.read.text(root).select("value", "kind", "subset", "split", *place)  # discovers kind / subset / split columns
     else:
-        raw = spark.read.text([f"{root}/*/*.{k}" for k in ("id", "src", "trg")])
         fp = F.col("_metadata.file_path")
-        df = raw.select("value",
-                        F.regexp_extract(fp, ALIGNED_RE, 3).alias("kind"),
-                        F.regexp_extract(fp, ALIGNED_RE, 1).alias("subset"),
-                        F.regexp_extract(fp, ALIGNED_RE, 2).alias("split"),
-                        fp.alias("file"), F.col("_metadata.file_block_start").alias("block"),
-                        F.monotonically_increasing_id().alias("rid"))
-    # pandas skips blank lines of the .id table; blank text lines hold alignment and stay
-    df = df.where((F.col("kind") != "id") | (F.trim(F.col("value")) != ""))
-    return dense_index(df, order=["file", "block", "rid"], bucket=F.struct("file", "block"),
-                       partition_by=["subset", "split", "kind"], name="line_no")
+        df = spark.read.option("recursiveFileLookup", True).text(f"{root}/*").where(fp.rlike(ALIGNED_RE)).select(
+            "value", F.regexp_extract(fp, ALIGNED_RE, 3).alias("kind"), F.regexp_extract(fp, ALIGNED_RE, 1).alias("subset"),
+            F.regexp_extract(fp, ALIGNED_RE, 2).alias("split"), *place)
+    per = ["subset", "split", "kind"]
+    lines = number_lines(df.where(F.col("kind") != "id"), per)
+    # blank lines of the id table are skipped (blank text lines hold alignment and stay): what is left is
+    # ranked within its file block and the counts of earlier blocks added
+    ids = df.where((F.col("kind") == "id") & (F.trim("value") != ""))
+    ids = ids.withColumn("rid", F.row_number().over(Window.partitionBy(*per, "file", "block").orderBy("rid")))
+    ids = number_lines(ids, per)
+    return lines.unionByName(ids).select(*per, "line_no", "value")
 
 
 def read_aligned(spark: SparkSession, root: str, layout: str = "files") -> tuple[DataFrame, DataFrame]:
@@ -338,11 +405,9 @@ def read_nested_dir(spark: SparkSession, folder: str) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def write_csv_with_index(df: DataFrame, path: str, order: Sequence[str], width: int = 1 << 14) -> None:
+def write_csv_with_index(df: DataFrame, path: str, order: Sequence[str]) -> None:
     """CSV with a header and a leading unnamed, unique 0..n-1 index (decision Q4)."""
-    from corpusforge.operators.index import range_bucket
-
-    idx = dense_index(df, order=list(order), bucket=range_bucket(order[0], width), name="_idx")
+    idx = range_index(df, order=list(order), name="_idx")
     cols = ["_idx"] + [c for c in df.columns]
     idx.select(*cols).withColumnRenamed("_idx", "Unnamed: 0").write.option("header", True).option(
         "escape", '"').csv(path)

@@ -5,7 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from corpusforge.operators import sampling as sm
-from corpusforge.operators.index import dense_index, range_bucket
+from corpusforge.operators.index import dense_index, hash_bucket, range_index
 
 
 def ids(spark, n):
@@ -19,19 +19,49 @@ def test_dense_index_is_a_permutation(spark):
 
 
 def test_dense_index_positional_matches_order(spark):
-    d = dense_index(ids(spark, 3000), order=["k"], bucket=range_bucket("k", 128), name="i")
+    d = range_index(ids(spark, 3000), order=["k"], name="i")
     assert all(r.i == r.k for r in d.collect())
 
 
 def test_dense_index_per_group(spark):
     d = ids(spark, 1000).withColumn("g", F.col("k") % 3)
-    out = dense_index(d, order=["k"], bucket=range_bucket("k", 64), partition_by=["g"], name="i", total_name="n")
+    out = range_index(d, order=["k"], partition_by=["g"], name="i", total_name="n")
     for g in range(3):
         rows = sorted((r.k, r.i, r.n) for r in out.where(F.col("g") == g).collect())
         assert [i for _, i, _ in rows] == list(range(len(rows)))
         assert all(n == len(rows) for _, _, n in rows)
 
 
+def test_index_keeps_null_keys(spark):
+    rows = [(1, None, "b"), (2, "x", "a"), (None, "x", "c"), (None, None, "d"), (2, "y", "e")]
+    df = spark.createDataFrame(rows, "k long, g string, t string")
+    out = range_index(df, order=["k", "t"], name="i", total_name="n").collect()
+    assert [r.t for r in sorted(out, key=lambda r: r.i)] == ["c", "d", "b", "a", "e"] and {r.n for r in out} == {5}
+    per = {(r.g, r.t): (r.i, r.n) for r in range_index(df, order=["k", "t"], partition_by=["g"], name="i", total_name="n").collect()}
+    assert per == {(None, "d"): (0, 2), (None, "b"): (1, 2), ("x", "c"): (0, 2), ("x", "a"): (1, 2), ("y", "e"): (0, 1)}
+    hashed = dense_index(df.withColumn("h", F.md5("t")), order=["h"], bucket=F.when(F.col("k").isNotNull(), hash_bucket("h")), partition_by=["g"], name="i")
+    assert hashed.count() == 5
+
+
+def test_range_index_spreads_a_hot_first_key(spark):
+    """A key with nine rows in ten is numbered by several partitions, and only their counts are summed in order."""
+    n = 60_000
+    df = spark.range(0, n, 1, 8).select(F.when(F.col("id") % 10 > 0, 7).otherwise(F.col("id")).alias("k"), F.col("id").alias("t"))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        placed = df.repartitionByRange("k", "t").withColumn("p", F.spark_partition_id())
+        most = placed.groupBy("p").count().agg(F.max("count")).first()[0]
+        assert most < n / 4
+        out = range_index(df, order=["k", "t"], name="i")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Window" in plan and "row_number" not in plan
+        got = out.orderBy("k", "t").select("i").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert [r.i for r in got] == list(range(n))
+
+
 def test_split_exact_sizes_and_repeatable(spark):
     n = 1999
     a = sm.split_exact_seeded(ids(spark, n), "k", 0.05, 42)

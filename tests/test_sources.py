@@ -67,13 +67,14 @@ def test_aligned_zip_and_status(spark, tmp_path):
 def test_gzip_lines(spark, tmp_path):
     p = str(tmp_path / "gz" / "train.src.gz")
     write(p, "a\n\nb\n")
-    assert [r.text for r in fl.read_gzip_lines(spark, p, 2).collect()].count("") == 1
+    rows = sorted((r.line_no, r.text) for r in fl.read_gzip_lines(spark, p, 2).collect())
+    assert [t for _, t in rows].count("") == 1 and [n for n, _ in rows] == list(range(len(rows)))
 
 
 def test_line_file_drops_one_trailing_empty_line(spark, tmp_path):
     p = str(tmp_path / "f.src")
     write(p, "a\n\nb\n\n")
-    assert [r.text for r in fl.read_line_file(spark, p).collect()] == ["a", "", "b", ""]
+    assert sorted((r.line_no, r.text) for r in fl.read_line_file(spark, p).collect()) == [(0, "a"), (1, ""), (2, "b"), (3, "")]
 
 
 def test_text_linebreaks(spark, tmp_path):
@@ -184,3 +185,80 @@ def test_csv_files_are_read_by_their_own_header(spark, tmp_path):
     (n / "test.csv").write_text("label,text\ny,b\n")
     got = {r.split: (r.language, r.text, r.label) for r in fl.read_nested_dir(spark, str(tmp_path / "nested")).collect()}
     assert got == {"train": ("ban", "a", "x"), "test": ("ban", "b", "y")}
+
+
+@pytest.fixture
+def small_splits(spark):
+    """File splits of about 200 bytes."""
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for k in keep:
+        spark.conf.set(k, "200")
+    yield
+    for k, v in keep.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("name", ["a.txt", "a.txt.gz"])
+@pytest.mark.parametrize("text", ["x\ny", "x\ny\n", "one e", "one ", "e", "e\n", " \n", "x\n\n", "a b\nc e\n\nlast", ""])
+def test_final_line_end_is_kept_as_it_was(spark, tmp_path, name, text):
+    write(str(tmp_path / "d" / name), text)
+    rows = [r.text for r in fl.read_text_lines(spark, str(tmp_path / "d")).collect()]
+    assert "".join(rows) == text
+
+
+def test_final_line_ends_of_many_files(spark, tmp_path, small_splits):
+    texts = {f"f{i}.txt" + (".gz" if i % 2 else ""): "word line\n" * (i * 7) + ("tail" if i % 3 else "") for i in range(1, 9)}
+    for name, text in texts.items():
+        write(str(tmp_path / "d" / name), text)
+    rows = [r.text for r in fl.read_text_lines(spark, str(tmp_path / "d")).collect()]
+    assert sorted(rows) == sorted(x for t in texts.values() for x in t.splitlines(keepends=True))
+
+
+def test_line_numbers_across_splits_and_files(spark, tmp_path, small_splits):
+    for f, n in (("b.txt", 90), ("a.txt", 40)):
+        write(str(tmp_path / "d" / f), "".join(f"{f} line {i}\n" for i in range(n)))
+    own = [(r.file.rsplit("/", 1)[1], r.line_no, r.text) for r in fl.read_line_file(spark, str(tmp_path / "d")).collect()]
+    assert sorted(own) == sorted((f, i, f"{f} line {i}") for f, n in (("b.txt", 90), ("a.txt", 40)) for i in range(n))
+    through = sorted((r.line_no, r.text) for r in fl.read_line_file(spark, str(tmp_path / "d"), across=True).collect())
+    assert through == list(enumerate([f"a.txt line {i}" for i in range(40)] + [f"b.txt line {i}" for i in range(90)]))
+
+
+def test_csv_records_over_split_ends(spark, tmp_path, small_splits):
+    """Quoted fields with line ends, quotes and commas, longer than a split; every file by its own header."""
+    import csv as pycsv
+
+    rows = [(f"t{i}", ("line, one\n" * (i % 30)) + '"q"' * (i % 3), "" if i % 5 == 0 else f"y{i}") for i in range(60)]
+    for name, head in (("p1.csv", ["a", "b", "Unnamed: 0"]), ("p2.csv", ["b", "a", "Unnamed: 0"])):
+        os.makedirs(tmp_path / "d.csv", exist_ok=True)
+        with open(tmp_path / "d.csv" / name, "w", newline="") as f:
+            w = pycsv.writer(f, lineterminator="\r\n" if name == "p1.csv" else "\n")
+            w.writerow(head)
+            w.writerows(rows)
+    df = fl.read_by_extension(spark, str(tmp_path / "d.csv"), required=["a", "b"])
+    got = sorted((r.file.rsplit("/", 1)[1], r.line_no, r.a or "", r.b or "", r["Unnamed: 0"] or "") for r in df.collect())
+    crlf = lambda s: s
+    want = [("p1.csv", i, a, crlf(b), c) for i, (a, b, c) in enumerate(rows)] + [("p2.csv", i, b, a, c) for i, (a, b, c) in enumerate(rows)]
+    assert got == sorted(want)
+
+
+def test_files_of_each_suffix_and_validation_alone(spark, tmp_path):
+    write(str(tmp_path / "t.json"), '{"text": "b"}\n\n{"text": "a"}\n')
+    write(str(tmp_path / "v.txt"), "one\ntwo\n")
+    j = fl.read_by_extension(spark, str(tmp_path / "t.json"), required=["text"]).collect()
+    assert sorted((r.line_no, r.text, r.data_split) for r in j) == [(0, "b", "train"), (2, "a", "train")]
+    v = fl.read_by_extension(spark, validation_file=str(tmp_path / "v.txt"), required=["text"]).collect()
+    assert sorted((r.line_no, r.text, r.data_split) for r in v) == [(0, "one", "validation"), (1, "two", "validation")]
+    with pytest.raises(ValueError, match="needed"):
+        fl.read_by_extension(spark)
+
+
+def test_gzip_trio_is_aligned(spark, tmp_path):
+    root = str(tmp_path / "release")
+    write(f"{root}/eng-jav/train.id.gz", "s\teng\tjav\n\ns\tjav\teng\n")
+    write(f"{root}/eng-jav/train.src.gz", "hello\nworld\n")
+    write(f"{root}/eng-jav/train.trg.gz", "halo\njagad\n")
+    pairs, status = fl.read_aligned(spark, root)
+    assert sorted((r.line_no, r.source_lang, r.source_text, r.target_text) for r in pairs.collect()) == [
+        (0, "eng", "hello", "halo"), (1, "jav", "world", "jagad")]
+    loaded = [r for r in fl.manifest_counts(pairs, status).collect() if r.status == "loaded"]
+    assert [(r.data_source, r.data_split, r.n_rows) for r in loaded] == [("tatoeba-eng-jav", "train", 2)]
