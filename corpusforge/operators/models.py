@@ -7,6 +7,7 @@ aggregation; the classifiers are Spark ML pipelines.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, VectorAssembler
@@ -62,7 +63,7 @@ def fit_masked_token(train: DataFrame, ids: str = "ids") -> dict[str, DataFrame]
 
 
 def predict_masked_token(model: dict[str, DataFrame], positions: DataFrame) -> DataFrame:
-    """Predictions for (l, r) contexts; the unigram fallback is a scalar subquery."""
+    """Predictions for (l, r) contexts (count them first: frequent contexts then are one row); the unigram fallback is a scalar subquery."""
     tri = model["tri"].withColumnRenamed("best_m", "p3")
     bi = model["bi"].withColumnRenamed("best_m", "p2")
     uni = model["uni"].select("best_m").scalar()
@@ -78,9 +79,9 @@ def fit_bigram_lm(train: DataFrame, ids: str = "ids") -> tuple[DataFrame, DataFr
 
 
 def bigram_loss(model: tuple[DataFrame, DataFrame], test: DataFrame, vocab_size: Column, ids: str = "ids") -> DataFrame:
-    """Per-token loss -ln((c_ab + 1) / (c_a + V)) on held-out bigrams."""
+    """Loss -ln((c_ab + 1) / (c_a + V)) of each distinct held-out bigram, and how often it stands there (``cnt``)."""
     cab, ca = model
-    bi = bigrams(test, ids)
+    bi = bigrams(test, ids).groupBy("a", "b").agg(F.count(F.lit(1)).alias("cnt"))
     j = bi.join(cab, ["a", "b"], "left").join(ca, ["a"], "left")
     p = (F.coalesce("c_ab", F.lit(0)) + 1) / (F.coalesce("c_a", F.lit(0)) + vocab_size)
     return j.withColumn("loss", -F.log(p))
@@ -94,11 +95,71 @@ def merge_counts(*tables: DataFrame, keys=("a", "b"), value: str = "count") -> D
     return u.groupBy(*keys).agg(F.sum(value).cast("bigint").alias(value))
 
 
+class CountStore:
+    """Counts by key under a folder, one immutable version per merge.
+
+    A version holds the counts and the names of the phases in them; it is there once its
+    marker is. Merging a phase that the latest version has changes nothing, so a
+    job may be run again after any failure. Readers of an older version are not disturbed.
+    """
+
+    def __init__(self, spark, root: str, keys=("a", "b"), value: str = "count"):
+        self.spark, self.root, self.keys, self.value = spark, root.rstrip("/"), list(keys), value
+
+    def _done(self, version: int):
+        jvm = self.spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(f"{self.root}/v{version}/phases/_SUCCESS")
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+    def version(self) -> int:
+        """The latest complete version; 0 before the first merge."""
+        v = 0
+        while self._done(v + 1):
+            v += 1
+        return v
+
+    def phases(self, version: int | None = None) -> list[str]:
+        v = self.version() if version is None else version
+        return [r["phase"] for r in self.spark.read.parquet(f"{self.root}/v{v}/phases").collect()] if v else []
+
+    def read(self, version: int | None = None) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/v{self.version() if version is None else version}/counts")
+
+    def merge(self, phase: str, counts: DataFrame) -> int:
+        """Add a phase's counts (once); the version that has them."""
+        now = self.version()
+        have = self.phases(now)
+        if phase in have:
+            return now
+        counts = counts.select(*self.keys, F.col(self.value).cast("bigint").alias(self.value))
+        merged = merge_counts(self.read(now), counts, keys=self.keys, value=self.value) if now else merge_counts(counts, keys=self.keys, value=self.value)
+        merged.write.mode("overwrite").parquet(f"{self.root}/v{now + 1}/counts")  # of an unfinished merge
+        names = self.spark.createDataFrame([(p,) for p in [*have, phase]], "phase string").coalesce(1)
+        names.write.mode("overwrite").parquet(f"{self.root}/v{now + 1}/phases")  # last: makes the version whole
+        return now + 1
+
+
 # --- lexicon gloss ---------------------------------------------------------------------------
 
 def lexicon_gloss(docs: DataFrame, lexicon: DataFrame, key: str = "doc_id", lang: str = "lang",
-                  text: str = "text") -> DataFrame:
-    """Word-by-word gloss through the lexicon (target word -> source word) and its coverage."""
+                  text: str = "text", map_bytes: int = 64 << 20) -> DataFrame:
+    """Word-by-word gloss through the lexicon (target word -> source word) and its coverage.
+
+    A lexicon of up to ``MAP_VOCAB_MAX_BYTES`` goes to every task as a map, as the vocabulary does; a larger
+    one is joined per token and the document regrouped. A word that the lexicon has twice for a language must not occur."""
+    from corpusforge.operators import tokens as tk
+
+    sep = F.lit("\x1f")
+    entry = lexicon.where("src_word is not null").select(F.concat(F.col("lang"), sep, F.col("trg_word")).alias("token"), F.col("src_word").alias("id"))
+    sent = tk.sent_table(entry, map_bytes)
+    if sent is not None:
+        rows = docs.select(key, lang, tx.tokens(text).alias("_t"))
+        asked = F.transform("_t", lambda w: F.concat(F.col(lang), sep, w))
+        got = tk._map_lists(rows, [key, lang, "_t"], asked, sent, "token", "id", "", "_g", pa.string())
+        word = F.zip_with("_t", "_g", lambda w, g: F.when(g == "", w).otherwise(g))
+        return got.select(
+            key, lang, F.coalesce(F.array_join(word, " "), F.lit("")).alias("glossed"), F.greatest(F.size("_t"), F.lit(0)).cast("bigint").alias("n_tokens"),
+            F.size(F.filter("_g", lambda g: g != "")).cast("bigint").alias("n_matched"))
     ex = docs.select(key, lang, F.posexplode_outer(tx.tokens(text)).alias("pos", "token"))
     lx = lexicon.select(F.col("lang").alias(lang), F.col("trg_word").alias("token"), "src_word")
     j = ex.join(lx, [lang, "token"], "left")

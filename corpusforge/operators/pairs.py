@@ -52,9 +52,20 @@ def lang_table(spark: SparkSession, mapping: Mapping[str, str]) -> DataFrame:
     return spark.createDataFrame(sorted(mapping.items()), "code string, name string")
 
 
+#: rows of a dictionary up to which it is sent to every task
+DICTIONARY_MAX = 100_000
+
+
+def sent_along(dictionary: DataFrame) -> DataFrame:
+    """The dictionary with a broadcast hint if it has at most ``DICTIONARY_MAX`` rows (counted); beyond that a shuffle join
+    does the lookup. Codes are few and frequent, so a small one must not be joined by a shuffle on them."""
+    few = dictionary.limit(DICTIONARY_MAX + 1).count() <= DICTIONARY_MAX
+    return F.broadcast(dictionary) if few else dictionary
+
+
 def filter_lang_allowlist(df: DataFrame, dictionary: DataFrame, cols=("source_lang", "target_lang")) -> DataFrame:
-    """Keep rows whose codes are all dictionary keys (left-semi joins; Spark sends a small dictionary along)."""
-    keys = dictionary.select(F.col("code")).distinct()
+    """Keep rows whose codes are all dictionary keys (left-semi joins; a dictionary of counted, small size is sent along)."""
+    keys = sent_along(dictionary.select(F.col("code")).distinct())
     for c in cols:
         df = df.join(keys.withColumnRenamed("code", f"_k_{c}"), F.col(c) == F.col(f"_k_{c}"), "left_semi")
     return df
@@ -69,11 +80,11 @@ def dense_row_index(df: DataFrame, order: Sequence[str], name: str = "row_index"
 
 def lookup_lang_name(df: DataFrame, dictionary: DataFrame, cols=("source_lang", "target_lang"),
                      drop_same_name: bool = False) -> DataFrame:
-    """Code -> name on each side, by joins on the dictionary (a small one is sent along).
+    """Code -> name on each side, by joins on the dictionary (sent along if its counted size is small).
 
     Two codes may share one name, so a pair can become same-name after mapping;
     it is kept (decision Q5) unless ``drop_same_name``."""
-    d = dictionary
+    d = sent_along(dictionary)
     for c in cols:
         df = (
             df.join(d.withColumnsRenamed({"code": "_code", "name": "_name"}), F.col(c) == F.col("_code"), "left")

@@ -89,21 +89,27 @@ def stored(df: DataFrame, build: Callable[[DataFrame], DataFrame], name: str, ru
 
 
 def vocab_map(vocab: DataFrame, max_bytes: int = MAP_VOCAB_MAX_BYTES) -> Broadcast | None:
-    """(token, id) of the vocabulary as one Arrow table for every task; None if it has more than ``max_bytes``."""
-    spark = vocab.sparkSession
+    """(token, id) of the vocabulary for every task; None if it has more than ``max_bytes``."""
     known = vocab.__dict__.get("_sent")  # one frame is asked again by every micro-batch
-    if known is not None and known[0] == max_bytes:
-        return known[1]
-    size = vocab.agg((F.sum(F.octet_length("token")) + 16 * F.count(F.lit(1))).alias("b")).first()["b"] or 0
+    if known is None or known[0] != max_bytes:
+        table = vocab.select(F.col("token").cast("string").alias("token"), F.col("id").cast("int").alias("id"))
+        known = vocab._sent = (max_bytes, sent_table(table, max_bytes))
+    return known[1]
+
+
+def sent_table(table: DataFrame, max_bytes: int) -> Broadcast | None:
+    """A table of (token, id) as one Arrow table for every task; None if its texts, with 16 bytes a row, exceed ``max_bytes``."""
+    spark = table.sparkSession
+    texts = [f.name for f in table.schema.fields if f.dataType.simpleString() == "string"]
+    rows = materialize(table)  # summed, then fetched
+    size = rows.agg((sum((F.sum(F.octet_length(c)) for c in texts), F.lit(0)) + 16 * F.count(F.lit(1))).alias("b")).first()["b"] or 0
     if size > max_bytes:
-        vocab._sent = (max_bytes, None)
         return None
-    table = vocab.select(F.col("token").cast("string").alias("token"), F.col("id").cast("int").alias("id")).toArrow()
+    got = rows.toArrow()
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as out:
-        out.write_table(table)
-    vocab._sent = (max_bytes, spark.sparkContext.broadcast(sink.getvalue().to_pybytes()))
-    return vocab._sent[1]
+    with pa.ipc.new_stream(sink, got.schema) as out:
+        out.write_table(got)
+    return spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
 
 
 def _map_lists(df: DataFrame, key: Sequence[str], items: Column, sent: Broadcast, get: str, give: str, missing, out: str, kind: pa.DataType) -> DataFrame:

@@ -12,6 +12,7 @@ from corpusforge.operators import sampling as sm
 from corpusforge.plans import views as v
 from corpusforge.plans.registry import register
 from corpusforge.plans.views_sql import TOK, sq, with_views
+from corpusforge.session import scratch_path
 
 SPLIT_EX_SQL = [
     ("spl", """SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY md5(concat_ws('#', doc_id::VARCHAR, '42')), doc_id) - 1
@@ -46,7 +47,7 @@ FROM (SELECT ev.y, b3.p3, b2.p2, coalesce(b3.p3, b2.p2, (SELECT m FROM uni)) AS
         ("uni", "SELECT m FROM tri WHERE m >= 5 GROUP BY m ORDER BY count(*) DESC, m LIMIT 1"),
         ("ev", """SELECT doc_id, ids[k] AS y, ids[k - 1] AS l, ids[k + 1] AS r
   FROM (SELECT doc_id, ids, unnest(range(2, len(ids))) AS k FROM ex WHERE split = 'test')
-  WHERE ids[k] >= 5 AND substr(md5(concat_ws('#', doc_id::VARCHAR, '0', '0', (k - 1)::VARCHAR)), 1, 8) < '26666666'"""),
+  WHERE ids[k] >= 5 AND substr(md5(concat_ws('#', doc_id::VARCHAR, '0', '0', ((k - 1) // 4)::VARCHAR)), (k - 1) % 4 * 8 + 1, 8) < '26666666'"""),
     ])
 
 
@@ -55,18 +56,16 @@ def q_fit_masked_token(spark, sf):
     ex = split_examples(spark, sf)
     model = md.fit_masked_token(ex.where(F.col("split") == "train"), "ids")
     a = F.col("ids")
-    pos = F.transform(F.sequence(F.lit(1), F.size(a) - 2), lambda i: F.struct(
-        i.alias("i"), F.get(a, i - 1).alias("l"), F.get(a, i).alias("y"), F.get(a, i + 1).alias("r")))
-    test = ex.where(F.col("split") == "test").select("doc_id", F.explode(pos).alias("p")).select("doc_id", "p.*")
-    draw = F.md5(F.concat_ws("#", F.col("doc_id").cast("string"), F.lit("0"), F.lit("0"), F.col("i").cast("string")))
-    test = test.where((F.col("y") >= 5) & (F.substring(draw, 1, 8) < lb.PICK_BELOW))
+    test = ex.where(F.col("split") == "test").withColumn("_d", lb.mlm_draws("ids", "doc_id", F.lit(0), F.lit(0)))
+    picked = F.filter(F.sequence(F.lit(1), F.size(a) - 2), lambda i: (F.get(a, i) >= 5) & (lb.draw_at("_d", i) < lb.PICK_BELOW))
+    pos = F.transform(picked, lambda i: F.struct(F.get(a, i - 1).alias("l"), F.get(a, i).alias("y"), F.get(a, i + 1).alias("r")))
+    test = test.select(F.explode(pos).alias("p")).groupBy("p.l", "p.r", "p.y").agg(F.count(F.lit(1)).alias("cnt"))
     p = md.predict_masked_token(model, test)
-    hit = (F.col("pred") == F.col("y")).cast("int")
+    n = lambda c: F.coalesce(F.sum(F.when(c, F.col("cnt"))), F.lit(0)).cast("bigint")
+    right, total = n(F.col("pred") == F.col("y")), n(F.lit(True))
     return p.agg(
-        F.count(F.lit(1)).alias("n_eval"), F.sum(hit).cast("bigint").alias("n_correct"),
-        F.round(F.avg(hit.cast("double")), 6).alias("accuracy"),
-        F.count("p3").cast("bigint").alias("n_tri"),
-        F.sum(F.when(F.col("p3").isNull() & F.col("p2").isNotNull(), 1).otherwise(0)).cast("bigint").alias("n_bi"),
+        total.alias("n_eval"), right.alias("n_correct"), F.round(F.try_divide(right.cast("double"), total.cast("double")), 6).alias("accuracy"),
+        n(F.col("p3").isNotNull()).alias("n_tri"), n(F.col("p3").isNull() & F.col("p2").isNotNull()).alias("n_bi"),
     )
 
 
@@ -88,8 +87,8 @@ def q_fit_causal_lm(spark, sf):
     model = md.fit_bigram_lm(ex.where(F.col("split") == "train"), "ids")
     vs = v.vocab(v.Tables(spark, sf)).select(F.count(F.lit(1))).scalar()
     loss = md.bigram_loss(model, ex.where(F.col("split") == "test"), vs, "ids")
-    m = F.avg("loss")
-    return loss.agg(F.count(F.lit(1)).alias("n_tokens"), F.round(m, 6).alias("mean_loss"),
+    m = F.sum(F.col("cnt") * F.col("loss")) / F.sum("cnt")
+    return loss.agg(F.sum("cnt").cast("bigint").alias("n_tokens"), F.round(m, 6).alias("mean_loss"),
                     F.round(F.exp(m), 6).alias("perplexity"))
 
 
@@ -98,11 +97,14 @@ def q_fit_causal_lm(spark, sf):
   UNION ALL SELECT a, b, count(*) AS c FROM bi WHERE split = 'test' GROUP BY a, b) GROUP BY a, b""",
     "examples", extra=SPLIT_EX_SQL + BI_SQL[:1]))
 def q_phase2_merge(spark, sf):
+    """Phase 1 is counted and stored; phase 2 is counted later and merged into the stored table. Each merge is done again, as
+    a run that failed after its write would, and changes nothing."""
     ex = split_examples(spark, sf)
     b = md.bigrams(ex, "ids", keep=["split"])
-    p1 = b.where(F.col("split") == "train").groupBy("a", "b").agg(F.count(F.lit(1)).alias("count"))
-    p2 = b.where(F.col("split") == "test").groupBy("a", "b").agg(F.count(F.lit(1)).alias("count"))
-    return md.merge_counts(p1, p2)
+    store = md.CountStore(spark, scratch_path(spark, "counts"))
+    for phase, split in (("phase1", "train"), ("phase2", "test"), ("phase1", "train"), ("phase2", "test")):
+        store.merge(phase, b.where(F.col("split") == split).groupBy("a", "b").agg(F.count(F.lit(1)).alias("count")))
+    return store.read()
 
 
 @register("M05_lexicon_gloss", with_views(f"""SELECT f.doc_id, f.lang,
