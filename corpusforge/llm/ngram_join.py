@@ -275,7 +275,7 @@ def _unit_rows(size: int, percent: int):
 
 
 def _peeled(scratch: Scratch, shared: DataFrame, kinds: DataFrame, rounds: int = PEELS) -> DataFrame:
-    """(path, id1, first) without the sets that share too few of their paths for k with anyone, over and over.
+    """(path, id1, first) without the sets that share too few of their paths for k with anyone, over and over; ``shared`` itself is dropped.
 
     Documents that only have a passage in common share a few of many paths
     and leave here, before they chain families together. Fewer rounds leave
@@ -290,9 +290,12 @@ def _peeled(scratch: Scratch, shared: DataFrame, kinds: DataFrame, rounds: int =
         few = scratch.keep(few, f"few{r}")
         rest = shared.withColumn("k", k).join(few, ["id1", "k"], "left_anti").drop("k")
         rest = scratch.keep(rest, f"rest{r}")
+        scratch.drop(few, shared)
         again = rest.groupBy("path").agg(F.count("*").alias("c"), F.min("id1").alias("lead")).where("c > 1")
         again = scratch.keep(again.select("path", "lead"), f"again{r}")
         shared = scratch.keep(rest.join(again, "path").select("path", "id1", F.col("lead").alias("first")), f"shared{r}")
+        scratch.drop(rest, again)
+    scratch.drop(need)
     return shared
 
 
@@ -322,10 +325,9 @@ def near_duplicate_groups(
     entered = texts.select("text").mapInArrow(_path_rows(size, percent), "path long, id1 long")
     entered = entered.repartition("path").sortWithinPartitions("path", "id1")
     shared = scratch.keep(entered.mapInArrow(_shared_rows, "path long, id1 long, first long"), "shared")
-    scratch.drop()
     shared = _peeled(scratch, shared, kinds)
-    family = components(spark, shared.select(F.col("first").alias("a"), F.col("id1").alias("b")), scratch)
-    family = scratch.keep(family.select(F.col("node").alias("id1"), F.col("root").alias("family")), "family")
+    rooted = components(spark, shared.select(F.col("first").alias("a"), F.col("id1").alias("b")), scratch)
+    family = rooted.select(F.col("node").alias("id1"), F.col("root").alias("family"))
 
     # units: by family, or by path where that sends fewer sets around
     by_path = shared.groupBy("path").agg(F.count("*").alias("c"), F.min("id1").alias("id1")).join(family, "id1")
@@ -335,10 +337,12 @@ def near_duplicate_groups(
     way = size_of.join(by_path, "family").select("family", (F.col("path_rows") < F.col("family_rows")).alias("paths"))
     way = scratch.keep(way, "way")  # a table of its own, so that AQE can split the join's other side
     members = scratch.keep(members.join(way, "family"), "members")
+    scratch.drop(way, rooted)
     groups = members.where("not paths").select(F.lit(0).alias("kind"), F.col("family").alias("grp"), "node", "id1", "n")
     along = shared.select("path", "id1").join(members.where("paths").select("id1", "node", "n"), "id1")
     groups = groups.unionByName(along.select(F.lit(1).alias("kind"), F.col("path").alias("grp"), "node", "id1", "n"))
     groups = scratch.keep(groups, "groups")
+    scratch.drop(members, shared)
     total = groups.groupBy("kind", "grp").agg(F.count("*").alias("c"), F.sum("n").alias("t"))
     blocks = F.ceil(F.greatest(F.col("c") / block_sets, F.col("t") / BLOCK_TOKENS)).cast("int")
     total = scratch.keep(total.where("c > 1").select("kind", "grp", blocks.alias("blocks")), "total")
@@ -357,16 +361,19 @@ def near_duplicate_groups(
 
     # the text of each set's first document goes to every unit its block takes part in (a text is shorter than
     # its names); always by a shuffle, so that the plan is the same at every size
-    scratch.drop()
     place = ["kind", "grp", "i", "j"]
     units = texts.join(units.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id")
     units = units.select(*place, "doc_id", "side", "id1", "text").repartition(*place).sortWithinPartitions(*place)
     links = scratch.keep(units.mapInArrow(_unit_rows(size, percent), "a long, b long"), "links")
-    scratch.drop()
+    scratch.drop(groups, total)
 
     group = components(spark, links, scratch)
+    scratch.drop(links)
+    sets_of = kinds
     kinds = kinds.join(group, "node", "left").select("id1", "id2", "n", "node", F.coalesce("root", "node").alias("root"))
     least = scratch.keep(kinds.groupBy("root").agg(F.min("node").alias("component_id")), "least")
-    kinds = scratch.keep(kinds.join(least, "root").select("id1", "id2", "n", "component_id"), "named")
+    named = scratch.keep(kinds.join(least, "root").select("id1", "id2", "n", "component_id"), "named")
+    scratch.drop(least, group, sets_of)
+    kinds = named
     out = one.join(kinds, ["id1", "id2", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

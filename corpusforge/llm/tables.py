@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +10,10 @@ from pyspark.sql import functions as F
 from corpusforge.session import scratch_path
 
 
+#: Spark's setting that removes a query's shuffle files once the query has ended
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables written by one operator call. ``keep`` cuts lineage; ``drop`` deletes what is no longer read."""
 
@@ -18,17 +21,20 @@ class Scratch:
         self.spark, self.name = spark, name
 
     def keep(self, df: DataFrame, label: str) -> DataFrame:
+        """Write ``df`` and read it back; the shuffle files behind it go with the end of the write, as the table is all that is read."""
         path = scratch_path(self.spark, f"{self.name}-{label}")
-        df.write.parquet(path)
+        before = self.spark.conf.get(CLEAN_SHUFFLES, "false")
+        self.spark.conf.set(CLEAN_SHUFFLES, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEAN_SHUFFLES, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        """Delete tables no later plan reads, and let Spark drop the shuffle files of ended rounds.
-
-        Best effort: without a JVM gateway the files stay until the session's own clean-up.
-        """
+        """Delete tables that no later plan reads. Without a JVM gateway they stay."""
         jvm = getattr(self.spark, "_jvm", None)
         if jvm is None:
             return
@@ -36,8 +42,6 @@ class Scratch:
         for t in tables:
             path = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
             path.getFileSystem(conf).delete(path, True)
-        gc.collect()
-        jvm.System.gc()
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
@@ -57,7 +61,8 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, max_roun
     and nothing is collected.
     """
     live = scratch.keep(edges.where("a <> b").distinct(), "edges0")
-    label, r = None, 0
+    label, r = scratch.keep(live.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0), "label"), 0
+    first = True
     while not live.isEmpty():
         if r >= max_rounds:
             raise RuntimeError("contraction did not end")
@@ -66,16 +71,18 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, max_roun
         near = F.struct(F.xxhash64(F.col("b"), F.lit(r)).alias("h"), F.col("b").alias("v"))
         point = both.groupBy("a").agg(F.min(F.least(own, near)).alias("m")).select("a", F.col("m.v").alias("to"))
         point = scratch.keep(point, f"point{r}")
-        if label is None:
-            label = point.select(F.col("a").alias("node"), F.col("to").alias("root"))
+        if first:
+            after = point.select(F.col("a").alias("node"), F.col("to").alias("root"))
         else:
             step = point.select(F.col("a").alias("root"), "to")
-            label = label.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-            label = scratch.keep(label, f"label{r}")
+            after = label.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+        after, first = scratch.keep(after, f"label{r}"), False
+        scratch.drop(label)
+        label = after
         pa_, pb_ = point.withColumnsRenamed({"to": "a2"}), point.withColumnsRenamed({"a": "b", "to": "b2"})
         rest = live.join(pa_, "a").join(pb_, "b").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b"))
-        live = scratch.keep(rest.where("a <> b").distinct(), f"edges{r + 1}")
-        r += 1
-    if label is None:
-        label = live.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        rest = scratch.keep(rest.where("a <> b").distinct(), f"edges{r + 1}")
+        scratch.drop(live, point)
+        live, r = rest, r + 1
+    scratch.drop(live)
     return label
