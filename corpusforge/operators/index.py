@@ -32,11 +32,6 @@ def hash_bucket(hash_col: str | Column, digits: int = HASH_BUCKET_DIGITS) -> Col
     return F.substring(c, 1, digits)
 
 
-def range_bucket(key: str | Column, width: int = 1 << 14) -> Column:
-    c = F.col(key) if isinstance(key, str) else key
-    return F.floor(c / F.lit(width)).cast("bigint")
-
-
 def dense_index(
     df: DataFrame,
     order: Sequence[str | Column],

@@ -13,15 +13,18 @@ from corpusforge.functions.rules import (
     CHAT_START,
     CLASSIFIER_LENGTH,
     MLM_COPIES,
+    MLM_LENGTH,
     SPECIALS,
 )
+from corpusforge.operators import batches as bt
+from corpusforge.operators import chunk as ch
 from corpusforge.operators import labels as lb
 from corpusforge.operators import pairs as pr
 from corpusforge.operators import templates as tp
 from corpusforge.operators import tokens as tk
 from corpusforge.operators.tokens import padded_vocab_size
 from corpusforge.plans import views as v
-from corpusforge.plans.q_core import arr_str
+from corpusforge.plans.q_core import CHUNK_SQL_CTES, arr_str
 from corpusforge.plans.registry import register
 from corpusforge.plans.views_sql import TOK, sq, with_views
 
@@ -246,6 +249,41 @@ def q_mask_mlm(spark, sf):
     )
 
 
+CHUNK_EX_SQL = CHUNK_SQL_CTES + [
+    ("chunk_texts", "SELECT doc_id || ':' || chunk_no AS chunk_id, text FROM chunks"),
+    sql_encode("enc_chunks", "chunk_texts", "chunk_id", "text", MLM_LENGTH - 2),
+    ("chunk_ex", f"""SELECT chunk_id, copy_id::INTEGER AS copy_id, epoch::INTEGER AS epoch, input_ids,
+  list_transform(input_ids, lambda x, i: substr(d[(i - 1) // 4 + 1], (i - 1) % 4 * 8 + 1, 8)) AS h
+  FROM (SELECT chunk_id, copy_id, epoch, input_ids,
+    list_transform(range((len(input_ids) + 3) // 4), lambda g: md5(concat_ws('#', chunk_id, copy_id::VARCHAR, epoch::VARCHAR, g::VARCHAR))) AS d
+    FROM (SELECT chunk_id, {sql_pad("([0] || ids || [2])", MLM_LENGTH)} AS input_ids FROM enc_chunks), range(2) AS r(copy_id), range(2) AS e(epoch))"""),
+]
+
+
+@register("T18_chunk_examples", with_views("""SELECT chunk_id, copy_id, epoch, len(list_filter(input_ids, lambda x: x <> 1))::BIGINT AS n_ids,
+  list_sum(list_transform(list_zip(input_ids, h), lambda z: CASE
+    WHEN z[1] < 5 OR z[2] >= '228f5c28' THEN z[1]
+    WHEN z[2] < '1eb851eb' THEN 4
+    ELSE (('0x' || z[2])::BIGINT % (vs - 5) + 5)::INTEGER END))::BIGINT AS sum_ids,
+  list_sum(list_transform(list_zip(input_ids, h), lambda z: CASE WHEN z[1] >= 5 AND z[2] < '26666666' THEN z[1] ELSE -100 END))::BIGINT AS sum_labels
+  FROM chunk_ex, (SELECT count(*) AS vs FROM vocab) s""", "vocab", extra=CHUNK_EX_SQL))
+def q_chunk_examples(spark, sf):
+    """Chunks -> ids of 512 -> two copies, two epochs, each with masks of its own."""
+    t = v.Tables(spark, sf)
+    c = ch.chunk_documents(t["documents"], keep=("doc_id",))
+    c = c.select(F.concat_ws(":", "doc_id", "chunk_no").alias("chunk_id"), "text")
+    ids, _ = tk.pad_truncate("ids", MLM_LENGTH)
+    e = tk.encode(c, ["chunk_id"], "text", v.vocab(t), max_tokens=MLM_LENGTH - 2).select("chunk_id", ids.alias("input_ids"))
+    vs = v.vocab(t).select(F.count(F.lit(1))).scalar()
+    e = bt.epoch_expand(pr.duplicate_n(e, 2), 2).withColumns({"copy_id": F.col("copy_id").cast("int"), "epoch": F.col("epoch").cast("int"), "_vs": vs})
+    e = e.withColumn("_draws", lb.mlm_draws("input_ids", "chunk_id", "copy_id", F.col("epoch")))
+    masked, labels = lb.apply_mask("input_ids", "_draws", F.col("_vs"))
+    e = e.select("chunk_id", "copy_id", "epoch", "input_ids", masked.alias("new"), labels.alias("lab"))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return e.select("chunk_id", "copy_id", "epoch", F.size(F.filter("input_ids", lambda x: x != 1)).cast("bigint").alias("n_ids"),
+                    total(F.col("new")).alias("sum_ids"), total(F.col("lab")).alias("sum_labels"))
+
+
 @register("T20_labels_copy", with_views("""SELECT doc_id, array_to_string(input_ids, ' ') AS labels,
   array_to_string(list_transform(input_ids, lambda x: CASE WHEN x = 1 THEN -100 ELSE x END), ' ') AS labels_no_pad
   FROM examples""", "examples"))

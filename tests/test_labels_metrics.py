@@ -99,3 +99,42 @@ def test_pair_encode_reject_boundary(spark):
     assert len(out[0]) == 256 and out[0][1:243] == list(range(5, 247))  # premise cut to 256-4-10
     assert len(out[1]) == 256 and out[1][:3] == [0, 2, 2]  # no room left for the premise
     assert out[2] is None  # hypothesis alone too long: rejected
+
+
+def test_count_store_merges_a_phase_once(spark, tmp_path):
+    from corpusforge.operators import models as md
+
+    df = lambda rows: spark.createDataFrame(rows, "a int, b int, count bigint")
+    store = md.CountStore(spark, str(tmp_path / "counts"))
+    assert store.version() == 0 and store.phases() == []
+    store.merge("one", df([(1, 2, 3), (1, None, 1)]))
+    store.merge("two", df([(1, 2, 4), (2, 2, 1)]))
+    before = store.read(1)
+    for _ in range(2):
+        assert store.merge("one", df([(9, 9, 9)])) == 2 and store.merge("two", df([(9, 9, 9)])) == 2
+    assert {tuple(r) for r in store.read().collect()} == {(1, 2, 7), (1, None, 1), (2, 2, 1)}
+    assert {tuple(r) for r in before.collect()} == {(1, 2, 3), (1, None, 1)} and store.phases() == ["one", "two"]
+    # a merge that died before its marker is no version, and is done again whole
+    df([(5, 5, 5)]).write.parquet(str(tmp_path / "counts" / "v3" / "counts"))
+    assert store.version() == 2 and store.merge("three", df([(2, 2, 1)])) == 3
+    assert {tuple(r) for r in store.read().collect()} == {(1, 2, 7), (1, None, 1), (2, 2, 2)}
+
+
+def test_gloss_by_map_and_by_join_agree(spark):
+    from corpusforge.operators import models as md
+
+    docs = spark.createDataFrame([(1, "de", "ja nein, ja"), (2, "fr", "ja oui"), (3, "de", ""), (4, "de", None)], "doc_id long, lang string, text string")
+    lex = spark.createDataFrame([("de", "ja", "yes"), ("fr", "oui", "yes"), ("de", "nein", "no")], "lang string, trg_word string, src_word string")
+    small, large = (sorted(tuple(r) for r in md.lexicon_gloss(docs, lex, map_bytes=b).collect()) for b in (1 << 20, 0))
+    assert small == large == [(1, "de", "yes no , yes", 4, 3), (2, "fr", "ja yes", 2, 1), (3, "de", "", 0, 0), (4, "de", "", 0, 0)]
+
+
+def test_dictionary_is_sent_along_only_if_small(spark, monkeypatch):
+    from corpusforge.operators import pairs as pr
+
+    p = spark.createDataFrame([("de", "en"), ("de", "xx")], "source_lang string, target_lang string")
+    d = pr.lang_table(spark, {"de": "german", "en": "english"})
+    for most in (100, 1):
+        monkeypatch.setattr(pr, "DICTIONARY_MAX", most)
+        got = pr.lookup_lang_name(pr.filter_lang_allowlist(p, d), d)
+        assert [tuple(r) for r in got.collect()] == [("german", "english")]
