@@ -7,15 +7,18 @@ aggregation; the classifiers are Spark ML pipelines.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, VectorAssembler
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.feature import IDF, CountVectorizerModel, VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusforge.functions import text as tx
-from corpusforge.functions.rules import N_SPECIALS, PAD_ID, TOKEN_RE
+from corpusforge.functions.rules import N_SPECIALS, PAD_ID
 
 
 # --- count models over id arrays ----------------------------------------------------------
@@ -176,15 +179,33 @@ def lexicon_gloss(docs: DataFrame, lexicon: DataFrame, key: str = "doc_id", lang
 
 # --- classifiers -------------------------------------------------------------------------------
 
-def text_classifier(text_col: str = "text", label_col: str = "labels", features: int = 1 << 18,
-                    reg: float = 0.01) -> Pipeline:
-    """Hashed TF-IDF + multinomial logistic regression (L2; the intercept is not penalised)."""
-    tok = RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=TOKEN_RE, gaps=False, toLowercase=False)
-    tf = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=features)
-    idf = IDF(inputCol="_tf", outputCol="_feat")
-    lr = LogisticRegression(featuresCol="_feat", labelCol=label_col, regParam=reg, elasticNetParam=0.0,
-                            family="multinomial", maxIter=50)
-    return Pipeline(stages=[tok, tf, idf, lr])
+MAX_STEPS, STEP_TOL = 500, 1e-9
+
+
+def hashed(tokens: Column, digits: int) -> Column:
+    """Buckets of tokens: the first ``digits`` hex digits of their MD5 (any engine gets the same)."""
+    return F.transform(tokens, lambda t: F.substring(F.md5(t.cast("binary")), 1, digits))
+
+
+def _bucket_counts(column: str, out: str, digits: int, binary: bool = False) -> CountVectorizerModel:
+    """Sparse vector over all ``16 ** digits`` buckets; place j is the bucket whose hex digits are j."""
+    names = [f"{j:0{digits}x}" for j in range(16**digits)]
+    return CountVectorizerModel.from_vocabulary(names, inputCol=column, outputCol=out).setBinary(binary)
+
+
+def _softmax(label_col: str, reg: float) -> LogisticRegression:
+    return LogisticRegression(featuresCol="_feat", labelCol=label_col, regParam=reg, elasticNetParam=0.0, family="multinomial",
+                              maxIter=MAX_STEPS, tol=STEP_TOL)
+
+
+def text_features(df: DataFrame, text: str = "text", digits: int = 4) -> DataFrame:
+    """M01 features: ``_buckets``, the hashed tokens of the whole text; a null text has none."""
+    return df.withColumn("_buckets", F.coalesce(hashed(tx.tokens(text), digits), F.array().cast("array<string>")))
+
+
+def text_classifier(label_col: str = "labels", digits: int = 4, reg: float = 0.01) -> Pipeline:
+    """TF-IDF of ``text_features`` + multinomial logistic regression (L2; the intercept is not penalised)."""
+    return Pipeline(stages=[_bucket_counts("_buckets", "_tf", digits), IDF(inputCol="_tf", outputCol="_feat"), _softmax(label_col, reg)])
 
 
 def pair_features(df: DataFrame, first: str = "premise", second: str = "hypothesis") -> DataFrame:
@@ -201,7 +222,42 @@ def pair_features(df: DataFrame, first: str = "premise", second: str = "hypothes
     })
 
 
-def pair_classifier(label_col: str = "labels", reg: float = 0.01) -> Pipeline:
-    va = VectorAssembler(inputCols=["overlap", "jaccard", "len_ratio"], outputCol="_feat")
-    lr = LogisticRegression(featuresCol="_feat", labelCol=label_col, regParam=reg, family="multinomial", maxIter=50)
-    return Pipeline(stages=[va, lr])
+def pair_buckets(df: DataFrame, first: str = "premise", second: str = "hypothesis", digits: int = 3, out: str = "_buckets") -> DataFrame:
+    """M02 hashed texts: each distinct token crossed with where it stands (first text only, second only, both), hashed.
+
+    Buckets are distinct and sorted. A null text has no tokens. Linear in the
+    two texts: tokens are crossed with the side, not with each other."""
+    none = F.array().cast("array<string>")
+    df = df.withColumns({"_a": F.coalesce(F.array_distinct(tx.tokens(first)), none), "_b": F.coalesce(F.array_distinct(tx.tokens(second)), none)})
+    sides = (("first", F.array_except("_a", "_b")), ("second", F.array_except("_b", "_a")), ("both", F.array_intersect("_a", "_b")))
+    named = lambda side: lambda t: F.concat(F.lit(f"{side}#"), t)
+    crossed = F.concat(*[F.transform(words, named(side)) for side, words in sides])
+    return df.withColumn(out, F.array_sort(F.array_distinct(hashed(crossed, digits)))).drop("_a", "_b")
+
+
+PAIR_NUMBERS = ["overlap", "jaccard", "len_ratio"]
+
+
+def pair_classifier(label_col: str = "labels", digits: int = 3, reg: float = 0.01) -> Pipeline:
+    """Multinomial logistic regression over the three numbers and the hashed texts (``pair_buckets``)."""
+    va = VectorAssembler(inputCols=[*PAIR_NUMBERS, "_hashed"], outputCol="_feat")
+    return Pipeline(stages=[_bucket_counts("_buckets", "_hashed", digits, binary=True), va, _softmax(label_col, reg)])
+
+
+def fitted_moments(model: LogisticRegressionModel, train: DataFrame) -> np.ndarray:
+    """(classes, 1 + features): what the model says the training rows of each class sum to, rows first, then every feature.
+
+    ``train`` holds the columns a prediction adds. Where the stated loss
+    (mean log loss plus reg / 2 times the squared coefficients of standardised
+    features) has gradient 0, it is the sum over the rows of the class:
+    sum of p_c * x + rows * reg * variance * w_c = sum of x over the rows
+    labelled c, and sum of p_c = number of rows labelled c. So equality with
+    those sums, which need no model, certifies that the fit ended at the
+    optimum. One pass of vector sums per class; memory is that of the model."""
+    w, reg = model.coefficientMatrix.toArray(), model.getOrDefault("regParam")
+    prob = vector_to_array(F.col(model.getProbabilityCol()))
+    feat = F.col(model.getFeaturesCol())
+    sums = [x for c in range(model.numClasses) for x in (Summarizer.mean(feat, prob[c]).alias(f"mean{c}"), F.sum(prob[c]).alias(f"rows{c}"))]
+    got = train.select(Summarizer.metrics("variance", "count").summary(feat).alias("all"), *sums).first()
+    pull = got["all"]["count"] * reg * got["all"]["variance"].toArray()
+    return np.stack([np.concatenate([[got[f"rows{c}"]], got[f"mean{c}"].toArray() * got[f"rows{c}"] + pull * w[c]]) for c in range(model.numClasses)])

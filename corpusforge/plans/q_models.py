@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from corpusforge.functions.rules import SENTIMENT_LABELS
@@ -121,15 +122,51 @@ def q_lexicon_gloss(spark, sf):
     return md.lexicon_gloss(docs, v.lexicon(t))
 
 
+def sentiment_rows(spark, sf):
+    s = pr.lookup_label_id(v.sent(v.Tables(spark, sf)), "label_text", SENTIMENT_LABELS)
+    return md.text_features(s.select("doc_id", "split", "labels", "text"))
+
+
 @register("M01_fit_text_classifier")
 def q_fit_text_classifier(spark, sf):
-    s = pr.lookup_label_id(v.sent(v.Tables(spark, sf)), "label_text", SENTIMENT_LABELS)
-    train = s.where(F.col("split") == "train")
-    model = md.text_classifier().fit(train)
+    s = sentiment_rows(spark, sf)
+    model = md.text_classifier().fit(s.where(F.col("split") == "train"))
     out = model.transform(s.where(F.col("split") != "train"))
     return out.select("doc_id", "split", "labels", F.col("prediction").cast("int").alias("prediction"))
 
 
+def moment_rows(spark, moments, names, places):
+    """(labels, feature, total) of fitted moments: counts as whole numbers, others rounded; totals of 0 stay out."""
+    rows = [(c, n, round(float(x), places.get(n, 0)) + 0.0) for c, line in enumerate(moments) for n, x in zip(names, line)]
+    return spark.createDataFrame([r for r in rows if r[2] != 0], "labels int, feature string, total double")
+
+
+@register("M01_fit_certificate", with_views(f"""SELECT y.labels, t.feature, t.total FROM
+  (SELECT y AS labels, 'rows' AS feature, count(*)::DOUBLE AS total FROM tr GROUP BY y
+   UNION ALL
+   SELECT w.y, w.b, count(*)::DOUBLE FROM tw w JOIN
+     (SELECT b FROM tw GROUP BY b HAVING count(DISTINCT doc_id) < (SELECT count(*) FROM tr)) k ON k.b = w.b GROUP BY w.y, w.b) t
+  JOIN (SELECT DISTINCT y AS labels FROM tr) y ON y.labels = t.labels""",
+    "sent", extra=[
+    ("tr", """SELECT doc_id, text, (CASE label_text WHEN 'negative' THEN 0 WHEN 'neutral' THEN 1 WHEN 'positive' THEN 2 END)::INTEGER AS y
+  FROM sent WHERE split = 'train'"""),
+    ("tw", f"""SELECT doc_id, y, substr(md5(w), 1, 4) AS b
+  FROM (SELECT doc_id, y, unnest(regexp_extract_all(text, {sq(TOK)})) AS w FROM tr)""")]))
+def q_fit_text_certificate(spark, sf):
+    """At the fitted coefficients every class has its own rows and its own tokens per bucket (the loss's gradient is 0).
+
+    Buckets found in every row have weight 0 and stay out, as the fit can't see them."""
+    from corpusforge.operators.tokens import materialize
+
+    train = materialize(sentiment_rows(spark, sf).where(F.col("split") == "train"))
+    model = md.text_classifier().fit(train)
+    idf = model.stages[1].idf.toArray()
+    moments = md.fitted_moments(model.stages[-1], model.transform(train))
+    seen = np.concatenate([[True], idf > 0])
+    names = ["rows", *[f"{j:04x}" for j in np.flatnonzero(idf > 0)]]
+    return moment_rows(spark, moments[:, seen] / np.concatenate([[1.0], idf])[seen], names, {})
+
+
 @register("M02_pair_features", with_views(f"""SELECT doc_id, labels, overlap, jaccard, len_ratio FROM (
   SELECT doc_id, labels, len(list_intersect(a, b))::DOUBLE AS overlap,
     round(coalesce(len(list_intersect(a, b))::DOUBLE / nullif(len(list_distinct(a || b)), 0), 0.0), 6) AS jaccard,
@@ -144,12 +181,54 @@ def q_pair_features(spark, sf):
                     F.round("len_ratio", 6).alias("len_ratio"))
 
 
-@register("M02_fit_pair_classifier")
-def q_fit_pair_classifier(spark, sf):
-    n = v.nli(v.Tables(spark, sf))
+PAIR_TOKENS = f"""coalesce(list_distinct(regexp_extract_all(premise, {sq(TOK)})), []) AS a,
+  coalesce(list_distinct(regexp_extract_all(hypothesis, {sq(TOK)})), []) AS b"""
+CROSSED = """list_transform(list_filter(a, lambda x: NOT list_contains(b, x)), lambda x: 'first#' || x)
+  || list_transform(list_filter(b, lambda x: NOT list_contains(a, x)), lambda x: 'second#' || x)
+  || list_transform(list_filter(a, lambda x: list_contains(b, x)), lambda x: 'both#' || x)"""
+
+
+@register("M02_pair_buckets", with_views(f"""SELECT n.doc_id, n.labels, coalesce(k.buckets, '') AS buckets FROM nli n LEFT JOIN (
+  SELECT doc_id, string_agg(k, ' ' ORDER BY k) AS buckets FROM (SELECT DISTINCT doc_id, substr(md5(w), 1, 3) AS k
+    FROM (SELECT doc_id, unnest({CROSSED}) AS w FROM (SELECT doc_id, {PAIR_TOKENS} FROM nli))) GROUP BY doc_id) k ON k.doc_id = n.doc_id""", "nli"))
+def q_pair_buckets(spark, sf):
+    """Hashed texts of a pair: places of the sparse vector that hold 1."""
+    f = md.pair_buckets(v.nli(v.Tables(spark, sf)))
+    return f.select("doc_id", "labels", F.array_join("_buckets", " ").alias("buckets"))
+
+
+def pair_rows(spark, sf):
     from corpusforge.operators.tokens import materialize
 
-    f = materialize(md.pair_features(sm.split_exact_seeded(n, "doc_id", 0.05, 42, out="split")))
+    n = v.nli(v.Tables(spark, sf))
+    f = md.pair_buckets(md.pair_features(sm.split_exact_seeded(n, "doc_id", 0.05, 42, out="split")))
+    return materialize(f.select("doc_id", "labels", "split", *md.PAIR_NUMBERS, "_buckets"))
+
+
+@register("M02_fit_pair_classifier")
+def q_fit_pair_classifier(spark, sf):
+    f = pair_rows(spark, sf)
     model = md.pair_classifier().fit(f.where(F.col("split") == "train"))
     out = model.transform(f.where(F.col("split") == "test"))
     return out.select("doc_id", "labels", F.col("prediction").cast("int").alias("prediction"))
+
+
+@register("M02_fit_certificate", with_views(f"""SELECT labels, 'rows' AS feature, count(*)::DOUBLE AS total FROM tr GROUP BY labels
+  UNION ALL SELECT labels, 'overlap', sum(len(list_intersect(a, b)))::DOUBLE FROM tr GROUP BY labels HAVING sum(len(list_intersect(a, b))) > 0
+  UNION ALL SELECT labels, 'jaccard', round(sum(coalesce(len(list_intersect(a, b))::DOUBLE / nullif(len(list_distinct(a || b)), 0), 0.0)), 2)
+    FROM tr GROUP BY labels HAVING sum(len(list_intersect(a, b))) > 0
+  UNION ALL SELECT labels, 'len_ratio', round(sum(coalesce(nh::DOUBLE / nullif(np, 0), 0.0)), 2) FROM tr GROUP BY labels HAVING sum(nh) > 0
+  UNION ALL SELECT labels, k, count(DISTINCT doc_id)::DOUBLE FROM (
+    SELECT doc_id, labels, substr(md5(w), 1, 3) AS k FROM (SELECT doc_id, labels, unnest({CROSSED}) AS w FROM tr)) GROUP BY labels, k""",
+    "nli", extra=[
+    ("spl", SPLIT_EX_SQL[0][1].replace("FROM documents", "FROM nli")),
+    ("tr", f"""SELECT doc_id, labels, {PAIR_TOKENS},
+  len(regexp_extract_all(premise, {sq(TOK)})) AS np, len(regexp_extract_all(hypothesis, {sq(TOK)})) AS nh
+  FROM nli WHERE doc_id IN (SELECT doc_id FROM spl WHERE split = 'train')""")]))
+def q_fit_pair_certificate(spark, sf):
+    """At the fitted coefficients every class has its own rows, numbers and buckets (the loss's gradient is 0)."""
+    train = pair_rows(spark, sf).where(F.col("split") == "train")
+    model = md.pair_classifier().fit(train)
+    moments = md.fitted_moments(model.stages[-1], model.transform(train))
+    names = ["rows", *md.PAIR_NUMBERS, *[f"{j:03x}" for j in range(moments.shape[1] - 4)]]
+    return moment_rows(spark, moments, names, {"jaccard": 2, "len_ratio": 2})
