@@ -11,9 +11,11 @@ everything works on that histogram.
 
 Rates become whole copies in two steps: cumulative rounding from the largest
 size down keeps the words near the target (the error is below one largest
-document), and a second pass adds or takes one copy each from the smallest
-sizes up until the rest is below the next size. The copies of a (source, size)
-group go to its documents by hash rank, in slices of about 1,000 rows.
+document), and a second pass adds or takes copies from the smallest sizes up
+until the rest is below the next size. Neither leaves the two whole numbers
+around a document's rate: a document of rate 0.7 is taken once or not at all,
+one of rate 2.2 twice or three times. The copies of a (source, size) group go
+to its documents by hash rank, in slices of about 1,000 rows.
 """
 
 from __future__ import annotations
@@ -120,16 +122,17 @@ def mix_sources(
     # copies of each (source, size) group
     plan = null_safe_join(null_safe_join(hist, targets, ["source"]), dual, ["source"], "left")
     rate = F.coalesce(F.least(F.lit(float(ceiling)), F.exp(F.least(F.col("lam") * F.col("size") / F.col("scale"), F.lit(10.0)))), F.lit(float(ceiling)))
-    plan = plan.withColumn("units", F.when(F.col("size") > 0, F.col("n") * F.round(rate * _UNIT).cast("long")).otherwise(0))
+    plan = plan.withColumn("unit", F.when(F.col("size") > 0, F.round(rate * _UNIT).cast("long")).otherwise(0))
+    plan = plan.withColumn("units", F.col("n") * F.col("unit"))
     down = Window.partitionBy("source").orderBy(F.col("size").desc())
     upto = F.sum("units").over(down.rowsBetween(Window.unboundedPreceding, 0))
     plan = plan.withColumn("upto", upto)
     nearest = lambda c: F.floor((c + _UNIT // 2) / _UNIT)
     plan = plan.withColumn("k", nearest(F.col("upto")) - nearest(F.col("upto") - F.col("units")))
-    plan = plan.withColumn("k", F.greatest(F.lit(0), F.least(F.col("k"), F.col("n") * ceiling)))
+    least, most = F.col("n") * F.floor(F.col("unit") / _UNIT), F.col("n") * F.ceil(F.col("unit") / _UNIT)
     rest = F.col("target") - F.sum(F.col("k") * F.col("size")).over(Window.partitionBy("source"))
     plan = plan.withColumn("rest", F.round(rest).cast("long"))
-    room = F.when(F.col("size") == 0, 0).when(F.col("rest") > 0, F.col("n") * ceiling - F.col("k")).otherwise(F.col("k")) * F.col("size")
+    room = F.when(F.col("rest") > 0, most - F.col("k")).otherwise(F.col("k") - least) * F.col("size")
     up = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
     plan = plan.withColumn("room", room)
     left = F.least(F.greatest(F.abs("rest") - F.coalesce(F.sum("room").over(up), F.lit(0)), F.lit(0)), F.col("room"))

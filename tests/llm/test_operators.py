@@ -4,6 +4,7 @@ extra columns with clashing names."""
 from __future__ import annotations
 
 import os
+import math
 import random
 import re
 import sys
@@ -128,6 +129,15 @@ def test_mixing(spark):
     for s in order:
         assert target[s] == pytest.approx(want[s], rel=1e-9)
         assert abs(taken[s] - target[s]) <= max(60, 0.01 * target[s])
+        mine = [r for r in got if r.source == s and r.size]
+        low, high = -10.0, 10.0  # the rate is min(3, exp(lam * size)): lam by halving, by hand
+        for _ in range(200):
+            mid = (low + high) / 2
+            words = sum(r.size * min(3.0, math.exp(min(mid * r.size, 9.0))) for r in mine)
+            low, high = (mid, high) if words < target[s] else (low, mid)
+        for r in mine:
+            rate = min(3.0, math.exp(min(low * r.size, 9.0)))
+            assert math.floor(rate - 1e-5) <= r.copies <= math.ceil(rate + 1e-5)
     assert mixing.mix_sources(spark, df.limit(0)).count() == 0
 
 
@@ -278,6 +288,43 @@ def test_quote_links(spark):
     assert quote_links.link_conversations(spark, df.limit(0)).count() == 0
 
 
+def test_quotes_in_code_and_unmatched(spark):
+    rows = [
+        (1, 0, "user", "how do I import it?"), (1, 1, "user", "so:\n```python\n>>> import os\n```\n> how do I import it?\nlike that"),
+        (1, 2, "user", "> never said\n>> nor this\nstill"), (1, 3, "user", "~~~\n> open to the end"), (1, 4, "user", "> ```\n> quoted fence\nno \x01 mark"),
+    ]
+    got = quote_links.link_conversations(spark, spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {r.turn: (r.linked_by, r.text, r.unmatched) for r in got} == {
+        0: ("first", "how do I import it?", ""), 1: ("quote", "so:\n```python\n>>> import os\n```\nlike that", ""),
+        2: ("previous", "still", "> never said\n>> nor this"), 3: ("previous", "~~~\n> open to the end", ""),
+        4: ("previous", "no  mark", "> ```\n> quoted fence"),
+    }
+
+
+def test_reply_order_against_walking_the_tree(spark):
+    rng = random.Random(5)
+    rows, want = [], {}
+    for conv in [None, *range(6)]:
+        n, step = rng.choice([1, 40, 90]), rng.choice([1, 300])  # 300: turns lie in many slices
+        parent, branch, depth, heirs = {}, {}, {}, set()
+        for i in range(n):
+            t = i * step
+            if conv == 0 and i:
+                said = 0  # all reply to the first
+            else:
+                said = rng.randrange(i) if i and rng.random() < (0.6 if conv != 1 else 0.0) else None
+            rows.append((conv, t, "user", f"word {i} of {conv}" if said is None else f"> word {said} of {conv}\n\nword {i} of {conv}"))
+            parent[t] = (i - 1 if said is None else said) * step if i else None
+            depth[t] = depth[parent[t]] + 1 if i else 0
+            branch[t] = branch[parent[t]] if i and parent[t] not in heirs else t
+            heirs.add(parent[t])
+        place = {t: k for k, t in enumerate(sorted(branch, key=lambda t: (branch[t], t)))}
+        want |= {(conv, t): (parent[t], branch[t], depth[t], place[t]) for t in branch}
+    rng.shuffle(rows)
+    got = quote_links.link_conversations(spark, spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {(r.conv_id, r.turn): (r.reply_to, r.branch, r.depth, r.position) for r in got} == want
+
+
 def test_url_rules(spark):
     urls = [
         None, "", "no scheme", "http://net/", "http://a.NET", "https://x.example.net/en/1?q#f", "https://example.net/en", "ftp://notexample.net/de/",
