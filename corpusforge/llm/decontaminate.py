@@ -12,7 +12,11 @@ largest weight per block, and a (passage, block) pair whose sum of block maxima
 stays below the threshold cannot hold a hit. The sums run over all words of an
 Arrow batch at once. Pairs that remain are scored exactly, and hits at or above
 the threshold are checked: the share of the item's question (all but its last
-sentence) and of its answer (the last sentence) found in the passage.
+sentence) and of its answer (the last sentence) found in the passage. Short
+items and parts are easily met by chance, so they need more: a part of fewer
+words than a run is judged with the words beside it in the item, an item of
+fewer than ``SHORT`` words must stand in the passage in a row, and one of fewer
+than ``ALONE`` words must be all that the document says.
 
 The index is made by Spark and used in shards of a bounded number of items, one
 pass over the texts per shard, so a larger benchmark never means a larger
@@ -38,6 +42,7 @@ SHARD_ITEMS = 4096
 SHARD_WORDS = 1 << 20
 BLOCKS = 64
 GRAM = 3
+SHORT, ALONE = 8, 5  # words
 
 
 def _words(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -120,11 +125,8 @@ class Shard:
         return np.where(self.terms[at] == names, at, -1)
 
 
-def _share(part: np.ndarray, passage: np.ndarray) -> float:
-    """Share of the distinct word runs of an item's part found in a passage."""
-    if len(part) == 0:
-        return 1.0
-    n = min(GRAM, len(part))
+def _share(part: np.ndarray, passage: np.ndarray, n: int = GRAM) -> float:
+    """Share of the distinct runs of ``n`` words of an item's part found in a passage."""
 
     def runs(x: np.ndarray) -> np.ndarray:
         if len(x) < n:
@@ -136,7 +138,20 @@ def _share(part: np.ndarray, passage: np.ndarray) -> float:
         return np.unique(h)
 
     mine = runs(part)
-    return float(np.isin(mine, runs(passage), assume_unique=True).mean())
+    return float(np.isin(mine, runs(passage), assume_unique=True).mean()) if len(mine) else 0.0
+
+
+def overlaps(question: np.ndarray, answer: np.ndarray, passage: np.ndarray, whole: bool) -> tuple[float, float]:
+    """Shares of an item's question and answer in a passage; ``whole``: the passage is all of its document.
+
+    An item without a question has no evidence but its answer: both shares are the answer's."""
+    item = np.concatenate([question, answer])
+    if len(item) < SHORT:
+        alike = len(item) > 0 and (np.array_equal(item, passage) if len(item) < ALONE else _share(item, passage, len(item)) == 1.0)
+        found = float(alike and (whole or len(item) >= ALONE))
+        return found, found
+    a = _share(answer if len(answer) >= GRAM else item[-GRAM:], passage)
+    return (_share(question if len(question) >= GRAM else item[:GRAM], passage) if len(question) else a), a
 
 
 def search(shard: Shard, names: np.ndarray, row: np.ndarray, threshold: float) -> Iterator[tuple[int, int, int, float, float, float]]:
@@ -169,9 +184,10 @@ def search(shard: Shard, names: np.ndarray, row: np.ndarray, threshold: float) -
         scores = np.bincount(shard.post_item[at], weights=shard.post_weight[at], minlength=len(shard.item_ids))
         for item in np.flatnonzero(scores >= threshold):
             passage = names[begin[w] : end]
+            whole = begin[w] == first[begin[w]] and (end == len(row) or row[end] != row[begin[w]])
             yield (
                 int(row[begin[w]]), int(begin[w] - first[begin[w]]), int(item), float(scores[item]),
-                _share(shard.question[item], passage), _share(shard.answer[item], passage),
+                *overlaps(shard.question[item], shard.answer[item], passage, bool(whole)),
             )
 
 
@@ -185,9 +201,9 @@ def contaminated(
 
     One row per pair, of its best passage. A pair counts if the BM25 share is
     at least ``threshold`` and the passage holds at least ``question`` and
-    ``answer`` of the item's two parts (shares of their 3-word runs; an item
-    of one sentence is all answer). Null and empty texts, on either side, match
-    nothing. Repeated documents or items count once per id; an item with a
+    ``answer`` of the item's two parts (shares of their 3-word runs, see
+    ``overlaps`` for short ones; an item of one sentence is all answer). Null
+    and empty texts, on either side, match nothing. Repeated documents or items count once per id; an item with a
     null id is reported with a null item_id.
     """
     scratch = Scratch(spark, "bench")

@@ -356,6 +356,20 @@ def test_quality_counts_and_verdicts(spark):
     assert quality.judge_quality(spark, df.limit(0)).count() == 0
 
 
+def test_short_items_need_more(spark):
+    rng = random.Random(8)
+    items = [(1, "Yes"), (2, "He said yes"), (3, "The old mill burned down twice."), (4, "What is the capital city of old France now? Paris"), (5, prose(rng, 12) + ".")]
+    say = [
+        (10, "He said yes to the plan"), (11, "yes!"), (12, "He said yes, he said yes"), (13, "he said YES"), (14, prose(rng, 40) + " the old mill burned down twice " + prose(rng, 9)),
+        (15, "The old mill burned twice and fell down"), (16, "what is the capital city of old france now I asked in the capital Paris"),
+        (17, prose(rng, 70) + " what is the capital city of old france now Paris " + prose(rng, 50)), (18, items[4][1] + " " + prose(rng, 30)), (None, items[4][1]), (18, items[4][1] + " " + prose(rng, 30)),
+        (19, " ".join(items[4][1].split()[:6])),
+    ]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contaminated(spark, spark.createDataFrame(say, "doc_id long, text string"), bench)
+    assert sorted(((r.doc_id, r.item_id) for r in got.collect()), key=str) == sorted([(11, 1), (13, 2), (14, 3), (17, 4), (18, 5), (None, 5)], key=str)
+
+
 def test_decontaminate(spark):
     rng = random.Random(7)
     items = [(i, ". ".join(prose(rng, 12) for _ in range(3)) + ".") for i in range(30)] + [(30, None), (31, ""), (3, "Yes")]
