@@ -24,13 +24,15 @@ def q_split_exact(spark, sf):
     return sm.split_exact_seeded(d, "doc_id", 0.05, 42)
 
 
-@register("D02_split_unseeded", """SELECT s.data_split, CASE s.data_split WHEN 'test' THEN t ELSE n - t END AS n_rows, 1::BIGINT AS n_seeds
-  FROM (SELECT count(*) AS n, ceil(0.05 * count(*))::BIGINT AS t FROM documents), (VALUES ('train'), ('test')) AS s(data_split)""")
+@register("D02_split_unseeded", """SELECT doc_id, count(*) AS n_places, 1::BIGINT AS n_splits,
+  (SELECT ceil(0.05 * count(*))::BIGINT FROM documents) AS n_test, 1::BIGINT AS n_seeds FROM documents GROUP BY doc_id""")
 def q_split_unseeded(spark, sf):
-    """Which rows fall where differs from run to run; the sizes and the one recorded seed do not."""
+    """Which rows fall where differs from run to run; that each falls into one split, the sizes and the one recorded seed do not."""
     d = v.Tables(spark, sf)["documents"].select("doc_id")
     s = sm.split_unseeded(d, "doc_id", 0.05)
-    return s.groupBy("data_split").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("split_seed").alias("n_seeds"))
+    places = s.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_places"), F.countDistinct("data_split").alias("n_splits"))
+    sizes = s.agg(F.count_if(F.col("data_split") == "test").alias("n_test"), F.countDistinct("split_seed").alias("n_seeds"))
+    return places.join(F.broadcast(sizes))
 
 
 @register("D03_split_head_percent", """SELECT doc_id,
