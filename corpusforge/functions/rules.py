@@ -40,6 +40,21 @@ SOURCE_WIDE = "nusax-mt"
 SOURCE_LEXICON = "nusax-lexicon"
 LEXICON_PIVOT_COLUMN = "indonesian"
 
+# Language codes of the aligned corpus and their names; pairs with other codes are left out.
+ALIGNED_LANGS = {
+    "ban": "balinese",
+    "ind": "indonesian",
+    "bjn": "banjarese",
+    "min": "minangkabau",
+    "jav": "javanese",
+    "sun": "sundanese",
+    "max_Latn": "north maluku malay",
+    "zlm_Latn": "malaysian malay",
+    "zsm_Latn": "malaysian malay",
+    "msa_Latn": "indonesian malay",
+    "eng": "english",
+}
+
 # Label dictionaries.
 SENTIMENT_LABELS = {"negative": 0, "neutral": 1, "positive": 2}
 NLI_LABELS = {"entailment": 0, "neutral": 1, "contradiction": 2}

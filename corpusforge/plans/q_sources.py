@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from corpusforge.functions.rules import ALIGNED_SPLITS, ALIGNED_SUBSETS, LEXICON_PIVOT_COLUMN
+from corpusforge.functions.rules import ALIGNED_LANGS, ALIGNED_SPLITS, ALIGNED_SUBSETS, LEXICON_PIVOT_COLUMN
 from corpusforge.operators import metrics as mt
 from corpusforge.operators.index import range_index
 from corpusforge.operators.sampling import head_split_capped
@@ -17,6 +17,7 @@ from corpusforge.plans.q_text import _sql_sections, sql_encode, sql_pad, sql_tit
 from corpusforge.plans.registry import register
 from corpusforge.plans.views_sql import sq, with_views
 from corpusforge.session import scratch_path
+from corpusforge.sources import corpus as cp
 from corpusforge.sources import files as fl
 from corpusforge.streaming import stream as st
 
@@ -180,12 +181,46 @@ def q_src_wide_csv_dir(spark, sf):
   FROM lexicon""", "lexicon"))
 def q_src_lexicon_dir(spark, sf):
     root = scratch_path(spark, "lexicon")
-    lx = v.lexicon(v.Tables(spark, sf))
+    _write_lexicons(v.lexicon(v.Tables(spark, sf)), root)
+    return fl.read_lexicon_dir(spark, root, split="train")
+
+
+def _write_lexicons(lx, root):
     for lang in [x for x in v.LANGS if x != v.LEXICON_PIVOT]:
         lx.where(F.col("lang") == lang).select(F.col("src_word").alias(LEXICON_PIVOT_COLUMN),
                                                F.col("trg_word").alias(lang)).write.options(**CSV_W).csv(
             f"{root}/{lang}.csv")
-    return fl.read_lexicon_dir(spark, root, split="train")
+
+
+#: stand-in codes of the test languages: one code the dictionary lacks, two codes of one name
+CODES = {"de": "ban", "en": "eng", "es": "zlm_Latn", "fr": "zsm_Latn"}
+UNKNOWN_CODE = "zlm"
+
+
+def _sql_code(c):
+    return f"CASE WHEN {c} = 'de' AND row_id % 3 = 0 THEN '{UNKNOWN_CODE}' ELSE CASE {c} " + " ".join(f"WHEN '{k}' THEN '{x}'" for k, x in CODES.items()) + " END END"
+
+
+@register("S06_corpus_build", with_views(f"""SELECT a.name AS source_lang, b.name AS target_lang, source_text, target_text, data_split, 'tatoeba-' || src AS data_source
+  FROM (SELECT src, data_split, {_sql_code('source_lang')} AS s, {_sql_code('target_lang')} AS t,
+    regexp_replace(coalesce(source_text, ''), '[\r\n]', ' ', 'g') AS source_text, regexp_replace(coalesce(target_text, ''), '[\r\n]', ' ', 'g') AS target_text FROM pairs)
+  JOIN names a ON a.code = s JOIN names b ON b.code = t WHERE source_text <> '' AND target_text <> '' AND s <> t
+  UNION ALL SELECT source_lang, target_lang, source_text, target_text, data_split, 'nusax-mt' FROM pairs
+  UNION ALL SELECT '{LEXICON_PIVOT_COLUMN}', lang, src_word, trg_word, 'train', 'nusax-lexicon' FROM lexicon""", "pairs", "lexicon",
+    extra=[("names", "SELECT * FROM (VALUES " + ", ".join(f"({sq(k)}, {sq(n)})" for k, n in ALIGNED_LANGS.items()) + ") AS t(code, name)")]))
+def q_corpus_build(spark, sf):
+    """Aligned lines, wide CSV and lexicon files -> filters, dictionary, ordered pairs -> one stored table."""
+    t = v.Tables(spark, sf)
+    aligned, wide, lexicon = (scratch_path(spark, f"build-{x}") for x in ("aligned", "wide", "lexicon"))
+    named = F.create_map(*[F.lit(x) for kv in CODES.items() for x in kv])
+    code = lambda c: F.when((F.col(c) == "de") & (F.col("row_id") % 3 == 0), UNKNOWN_CODE).otherwise(named[F.col(c)])
+    p = v.pairs(t).withColumns({"source_lang": code("source_lang"), "target_lang": code("target_lang"), "subset": F.col("src"), "split": F.col("data_split")})
+    fl.write_aligned(p, aligned, order="pair_id")
+    w = v.wide(t).withColumn("_split", v.split_of(v.hash_digit("src", "row_id")))
+    for split in ("train", "dev", "test"):
+        w.where(F.col("_split") == split).select(F.col("row_id").alias("Unnamed: 0"), *v.LANGS).write.options(**CSV_W).csv(f"{wide}/{split}.csv")
+    _write_lexicons(v.lexicon(t), lexicon)
+    return cp.build_pair_corpus(spark, scratch_path(spark, "build-out"), aligned, wide, lexicon, layout="partitioned")[0]
 
 
 @register("S10_src_nested_dir", with_views(
