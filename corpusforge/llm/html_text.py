@@ -2,15 +2,20 @@
 
 Markup is stripped into lines, one per block of the page, without what stands in
 a menu, header, footer, sidebar, notice, advert, form, script, style or comment
-section. A line weighs its characters outside links. Weights, clipped so that a
+section. Elements say so themselves, or words of class, id or role do; such words
+(and form) are only evidence: an element that holds the page's only article or
+main, or on a page without one nearly all the text, keeps its text. A line weighs
+its characters outside links, in a list of references all of them, and an eighth
+where it stands beside an article or main that has text. Weights, clipped so that a
 long line cannot raise the bar for others, are summed over a sliding window of
 lines, on every page alike. The text surges where the sum first reaches a share
 of the page's largest, and at any line without links that no linked line
-follows (what is left below the bar is the label of a list of links); it dives
-where the sum falls to nothing, which is a list of links or the end. All lines
-between a surge and its dive are kept. article and main elements choose no
-lines; inside them, fewer linked lines than a window before a surge belong to
-it (a linked title), and links are text where the page has no other.
+follows, unless it stands beside the article (what is left below the bar is the
+label of a list of links). It dives where the sum falls to nothing, which is a
+list of links or the end; at the edge of the article it must surge again. All lines
+between a surge and its dive are kept. In the article, fewer linked lines than a
+window before a surge belong to it (a linked title), and links are text where the
+page has no other.
 """
 
 from __future__ import annotations
@@ -18,6 +23,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,11 +33,12 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 WINDOW = 3
 SURGE = 0.15  # share of the largest window sum
 CLIP = 40  # characters of a line that count in a sum
+BESIDE = 8  # a line beside the article weighs this part of its characters
 
 # fixed values: element names of the HTML standard
 RAW = ("script", "style", "template", "noscript", "svg", "math", "iframe", "object", "canvas", "textarea", "select", "title")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("nav header footer aside form button dialog menu fieldset head".split())
+DROPPED = frozenset("nav header footer aside button dialog menu fieldset head".split())
 BLOCKS = frozenset(
     "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th "
     "blockquote pre hr address figure details summary center nav header footer aside form fieldset dialog menu head".split()
@@ -45,6 +52,10 @@ MARKS = frozenset(
     "comments disqus reply replies responses reader search skip copyright legal disclaimer tags complementary contentinfo "
     "alert alertdialog".split()
 )
+#: of these, words that stand on no wrapper of a whole page, however much text it holds
+SURE = frozenset("ad ads advert advertisement adverts cookie cookies consent gdpr comment comments disqus nav navbar navigation menu newsletter pagination".split())
+#: words that mark a list of references, whose links are text
+REFERENCES = frozenset("references reference reflist footnotes footnote endnotes bibliography citations works sources".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -52,44 +63,58 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s
 _PARTS = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 
 
-def _marked(attributes: str, in_article: bool) -> bool:
-    """Whether class, id or role name boilerplate; the header of an article is part of it."""
-    if not attributes:
-        return False
-    if _HIDDEN.search(attributes):
-        return True
-    for m in _NAMED.finditer(attributes):
-        words = {w.lower() for w in _PARTS.split(m[1] or m[2] or m[3] or "")}
-        if words & MARKS and not (in_article and "header" in words):
-            return True
-    return False
+class Line(NamedTuple):
+    """One block of a page: its text, its characters outside links, whether it stands in an article or main, the innermost marked element around it."""
 
+    text: str
+    weight: int
+    inside: bool
+    mark: int
 
-def page_lines(html: str) -> list[tuple[str, int, bool]]:
-    """(text, weight, in the named article) of each block of a page, in order."""
-    lines: list[tuple[str, int, bool]] = []
+
+class Page(NamedTuple):
+    lines: list[Line]
+    around: list[int]  # by marked element, the next marked one around it; element 0 is the page
+    sure: set[int]  # marked elements that can't wrap a page
+    articles: list[tuple[int, bool]]  # the innermost marked element around each article or main, and is it marked itself
+
+
+def _words(attributes: str) -> set[str]:
+    """The words of class, id and role."""
+    return {w.lower() for m in _NAMED.finditer(attributes) for w in _PARTS.split(m[1] or m[2] or m[3] or "")}
+
+
+def page_lines(html: str) -> Page:
+    """The blocks of a page in order, with what is marked as boilerplate around them."""
+    page = Page([], [0], set(), [])
     buffer: list[str] = []
     linked = 0
     said = False  # a letter or digit outside links
-    stack: list[tuple[str, bool]] = []  # open elements and whether each one is boilerplate
-    dropped = article = links = 0
+    stack: list[tuple[str, bool, int, bool]] = []  # open elements: name, is it dropped, number of its mark (0: none), is it a list of references
+    inmost = dropped = article = links = references = 0
 
     def flush() -> None:
         nonlocal linked, said
         text = " ".join(unescape("".join(buffer)).split())
         if text:
             # marks between links are no text
-            lines.append((text, max(len(text) - linked, 0) if said or not linked else 0, article > 0))
+            own = max(len(text) - linked, 0) if said or not linked else 0
+            page.lines.append(Line(text, len(text) if references else own, article > 0, inmost))
         buffer.clear()
         linked, said = 0, False
 
     def close(name: str) -> None:
-        nonlocal dropped, article, links
+        nonlocal inmost, dropped, article, links, references
         while stack:
-            top, gone = stack.pop()
+            top, gone, mark, cited = stack.pop()
+            if mark:
+                flush()
             dropped -= gone
+            references -= cited
             article -= top in ("article", "main")
             links -= top == "a"
+            if mark:
+                inmost = page.around[mark]
             if top == name:
                 break
 
@@ -120,49 +145,113 @@ def page_lines(html: str) -> list[tuple[str, int, bool]]:
         if name in BLOCKS:
             flush()
         if closing:
-            if any(n == name for n, _ in stack):
+            if any(x[0] == name for x in stack):
                 close(name)
         elif name not in VOID:
-            if name in BLOCKS and any(n in CLOSED_BY_BLOCK for n, _ in stack[-8:]) and name not in ("html", "body"):
+            if name in BLOCKS and any(x[0] in CLOSED_BY_BLOCK for x in stack[-8:]) and name not in ("html", "body"):
                 # a block inside an open paragraph ends the paragraph and what is open in it
-                while any(n == "p" for n, _ in stack[-8:]):
+                while any(x[0] == "p" for x in stack[-8:]):
                     close("p")
-            header_of_article = name == "header" and article > 0
-            gone = (name in DROPPED and not header_of_article) or (name not in ("html", "body", "article", "main") and _marked(attributes, article > 0))
-            stack.append((name, gone))
+            words = _words(attributes) if attributes else set()
+            header_of_article = article > 0 and (name == "header" or "header" in words)
+            gone = (name in DROPPED and not header_of_article) or bool(attributes and _HIDDEN.search(attributes) and name not in ("html", "body"))
+            marked = bool(words & MARKS) and not header_of_article and name not in ("html", "body")
+            gone = gone or (marked and name not in BLOCKS)  # a part of a line wraps no page
+            mark = 0
+            if not gone and (name == "form" or (marked and name not in ("article", "main"))):
+                mark = len(page.around)
+                page.around.append(inmost)
+                inmost = mark
+                if name == "form" or words & SURE:
+                    page.sure.add(mark)
+            # the numbered notes of an article and what calls itself references
+            cited = bool(words & REFERENCES) or (name == "ol" and article > 0)
+            if name in ("article", "main") and not dropped:
+                page.articles.append((inmost, marked))
+            stack.append((name, gone, mark, cited))
             dropped += gone
+            references += cited
             article += name in ("article", "main")
             links += name == "a"
     flush()
-    return lines
+    return page
+
+
+def kept_lines(page: Page, share: float) -> list[Line]:
+    """Lines outside elements that their words mark as boilerplate.
+
+    A marked element is none if the page has articles and each stands in it, or
+    if the page has no article and the text found outside marked elements, from
+    the outermost inwards, is less than ``share`` of the text in this one (words
+    of SURE excepted). Linear in lines and elements, however deep.
+    """
+    around, n = page.around, len(page.around)
+    if n == 1:
+        return page.lines
+    sure, open_ = [False] * n, [True] * n
+    for k in range(1, n):
+        sure[k] = k in page.sure or sure[around[k]]
+    held = [0] * n
+    if page.articles:
+        # articles that are not marked themselves count, if any stands elsewhere than among comments and the like
+        counted = [k for k, marked in page.articles if not marked]
+        if all(sure[k] for k in counted):
+            counted = [k for k, _ in page.articles]
+        for k in counted:
+            held[k] += 1
+    else:
+        for x in page.lines:
+            held[x.mark] += x.weight
+    own = held.copy()
+    for k in range(n - 1, 0, -1):
+        held[around[k]] += held[k]
+    outside = own[0]
+    for k in range(1, n):
+        wraps = held[k] == held[0] if page.articles else not sure[k] and outside < share * held[k]
+        open_[k] = open_[around[k]] and wraps
+        if open_[k]:
+            outside += own[k]
+    return [x for x in page.lines if open_[x.mark]]
 
 
 def main_text(html: str | None, window: int = WINDOW, surge: float = SURGE) -> str:
     """Main text of one page, blocks joined by a line feed; empty if there is none."""
-    lines = page_lines(html or "")
-    weights = [w for _, w, _ in lines]
+    lines = kept_lines(page_lines(html or ""), surge)
+    weights: list[float] = [x.weight for x in lines]
     if not any(weights):
-        weights = [len(text) if inside else 0 for text, _, inside in lines]
+        weights = [len(x.text) if x.inside else 0 for x in lines]
+    if any(w and x.inside for w, x in zip(weights, lines)):
+        beside = [not x.inside for x in lines]
+        weights = [w / BESIDE if far else w for w, far in zip(weights, beside)]
+    else:
+        beside = [False] * len(lines)
     sums = [sum(min(w, CLIP) for w in weights[i : i + window]) for i in range(len(weights))]
     least = max(1.0, surge * max(sums, default=0))
     kept, title, reading = [], [], False
-    for i, ((text, _, inside), weight, block) in enumerate(zip(lines, weights, sums)):
-        if reading:
+    for i, (line, weight, block) in enumerate(zip(lines, weights, sums)):
+        if reading and beside[i] == beside[i - 1]:
             reading = block > 0  # dive
         elif weight:
-            alone = weight == len(text) and (i + 1 == len(lines) or weights[i + 1] > 0)
-            reading = block >= least or alone  # surge
+            alone = not beside[i] and weight == len(line.text) and (i + 1 == len(lines) or weights[i + 1] > 0)
+            reading = _here(weights, beside, i, window) >= least or alone  # surge
             if reading and len(title) < window:
                 kept += title
+        else:
+            reading = False
         if reading:
-            kept.append(text)
-        if reading or weight or not inside:
+            kept.append(line.text)
+        if reading or weight or not line.inside:
             title = []
         elif len(title) < window:
-            title.append(text)
+            title.append(line.text)
     return "\n".join(kept)
 
 
+def _here(weights: list[float], beside: list[bool], i: int, window: int) -> float:
+    """The window sum at a line over lines of its own side of the article's edge."""
+    return sum(min(weights[k], CLIP) for k in range(i, min(i + window, len(weights))) if beside[k] == beside[i])
+
+
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """``pages`` with text and n_chars (code points) of the whole html.
 

@@ -180,6 +180,48 @@ def test_html_text_is_chosen_by_window_sums_beside_article_elements():
     assert html_text.main_text("<article><p><a href=x>all of it linked</a></p></article>") == "all of it linked"
 
 
+@pytest.mark.parametrize("name", ["has-sidebar", "content-sidebar-wrap", "reader-content", "legal-text", "site-search-results"])
+@pytest.mark.parametrize("tag", ["article", "main", "section"])
+def test_html_text_class_words_on_a_wrapper(name, tag):
+    text = ["Title", "Words of the story " * 20, "a short one"]
+    side = '<div class="sidebar"><p>' + "Latest and most read " * 9 + "</p></div>"
+    want = "\n".join(x.strip() for x in text)
+    assert html_text.main_text(f'<div class="{name}"><{tag}>{_page(*text)}</{tag}>{side}</div>') == want
+    assert html_text.main_text(f'<{tag}>{_page(*text)}</{tag}><div class="{name}">{_page("Aside", "Words beside the story " * 20)}</div>') == want
+
+
+def test_html_text_marks_evidence_and_edges():
+    comments = '<ol class="comment-list">' + "".join(f"<li><article><p>{'I think so ' * 30}{i}</p></article></li>" for i in range(4)) + "</ol>"
+    # more comment than article, with and without marks on the article itself
+    assert html_text.main_text(f"<article><p>Short news.</p></article>{comments}") == "Short news."
+    assert html_text.main_text(f'<article class="post comments-open"><p>Short news.</p></article>{comments}') == "Short news."
+    assert html_text.main_text(f'<div class="has-sidebar"><article><p>Short news.</p></article>{comments}</div>') == "Short news."
+    assert html_text.main_text(f"<div><p>{'Long news ' * 40}</p></div>{comments.replace('article', 'div')}") == ("Long news " * 40).strip()
+    # a form around the page, a form in it
+    form = "<form><p>Your name and address</p><input></form>"
+    assert html_text.main_text(f"<form id=f><main><p>Short news.</p></main></form>{form}") == "Short news."
+    assert html_text.main_text(f"{form}{form}") == ""
+    assert html_text.main_text("<div class=widget>" * 20_000 + "<p>deep text") == "deep text"
+    assert html_text.main_text(f"<article><p>Short news.</p>{form}<p>more</p></article>") == "Short news.\nmore"
+    # marked parts of a line, marked blocks closed out of order
+    assert html_text.main_text('<article><p>one <span class="ad">buy</span> two</p></article>') == "one two"
+    assert html_text.main_text('<article><p>one</p><span><div class="ad">buy</span><p>two</p></article>') == "one\ntwo"
+
+
+def test_html_text_references_and_unmarked_lines_beside_the_article():
+    story = _page("Title", "Words of the story " * 20)
+    want = "Title\n" + ("Words of the story " * 20).strip()
+    notes = "".join(f"<li><a href=x>Source {i}</a></li>" for i in range(5))
+    listed = want + "".join(f"\nSource {i}" for i in range(5))
+    assert html_text.main_text(f"<article>{story}<ol>{notes}</ol></article>") == listed
+    assert html_text.main_text(f'<article>{story}<ul class="references">{notes}</ul></article>') == listed
+    assert html_text.main_text(f"<article>{story}</article><ul>{notes}</ul>") == want
+    before, after = "<div><p>Fri 3 Dec. All prices in USD.</p></div>", "<div><p>Call us on 555-1234</p></div>"
+    assert html_text.main_text(f"{before}<article>{story}</article>{after}") == want
+    # a long text beside a teaser is text all the same
+    assert html_text.main_text(f"<div>{story}</div><article><p>Read this too</p></article>") == want + "\nRead this too"
+
+
 @pytest.mark.parametrize("tag", ["div", "main"])
 def test_html_text_beside_one_very_long_block(tag):
     lines = [f"{i} " + "short one " * 30 for i in range(6)]
