@@ -1,15 +1,16 @@
 """Operator 8: quality rules as weak supervision, in DataFrame operations only.
 
-Each rule votes good (1), bad (0) or abstains (-1). Nobody knows how reliable
-the rules are; expectation-maximisation estimates, for good and for bad
-documents, how often each rule votes which way, and the share of good ones. Most
-rules look for one defect and abstain where they see none. Defects exclude each
-other more than independent rules would, so the rates stay in bounds: no rule
-votes against more than a few good documents, and none is so frequent among bad
-ones that a document must have that very defect to be bad. Votes are counted by pattern first, so the
-iterations run over at most 3**rules rows and only the model's few numbers come
-to the driver. A document is kept if its posterior probability of being good is
-at least one half and the fixed base rule has not failed it.
+Each rule votes good (1), bad (0) or abstains (-1), the last where its measure
+lies between its two limits or can't be taken. Nobody knows how reliable the rules
+are; expectation-maximisation estimates, for good and for bad documents, how often
+each rule votes which way, and the share of good ones. No rate is bounded: a prior
+of PRIOR of the rows (and one row more) at the starting rates keeps them off 0 and
+1 and good the class that rules seldom vote against, also where a defect is rare.
+So a vote against can be outweighed by votes for, and weak votes can add up. Votes
+are counted by pattern first, so the iterations run over at most 3**rules rows and
+only the model's few numbers come to the driver. A document is kept if its
+posterior probability of being good is at least one half and the fixed base rule
+has not failed it.
 """
 
 from __future__ import annotations
@@ -24,10 +25,11 @@ SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 WINDOW = 3
-ROUNDS = 25
+ROUNDS = 100  # at most; EM ends when no rate moves by 1e-6
+PRIOR = 0.005  # share of the rows that the prior counts as
 FLOOR = 0.01  # the estimated share of good rows stays this far from 0 and 1
 
-RULES = ("long_enough", "word_length", "few_symbols", "few_copied_lines", "few_repeats", "few_capitals", "line_ends")
+RULES = ("long_enough", "word_length", "few_symbols", "mostly_letters", "few_copied_lines", "few_repeats", "few_capitals", "line_ends")
 
 
 def _covered(starts: Column) -> Column:
@@ -77,20 +79,21 @@ def _vote(value: Column, good: Column, bad: Column) -> Column:
 
 
 def votes(c: DataFrame) -> DataFrame:
-    """``c`` with one column per rule. Without words only ``long_enough`` votes."""
+    """``c`` with one column per rule. Without words only ``long_enough`` votes; rules about lines need five of them to vote against."""
     share = lambda a, b: F.try_divide(F.col(a), F.col(b))
-    mean, symbols, copied = share("word_chars", "n_words"), share("n_symbols", "n_words"), share("n_dup_lines", "n_lines")
-    repeats, upper, ended = share("n_repeat_words", "n_words"), share("n_upper", "n_letters"), share("n_ended", "n_lines")
-    n = F.col("n_words")
-    never = F.lit(False)
+    mean, symbols, letters = share("word_chars", "n_words"), share("n_symbols", "n_words"), share("n_letters", "word_chars")
+    copied, ended = share("n_dup_lines", "n_lines"), share("n_ended", "n_lines")
+    repeats, upper = share("n_repeat_words", "n_words"), share("n_upper", "n_letters")
+    n, lines = F.col("n_words"), F.col("n_lines") >= 5
     rules = {
         "long_enough": _vote(n, n >= 2 * MIN_WORDS, n < MIN_WORDS),
-        "word_length": _vote(mean, never, (mean < 2) | (mean > 15)),
-        "few_symbols": _vote(symbols, never, symbols > 0.1),
-        "few_copied_lines": _vote(copied, never, (copied > 0.5) & (F.col("n_dup_lines") >= 3)),
-        "few_repeats": _vote(repeats, never, repeats > 0.5),
-        "few_capitals": _vote(upper, never, upper > 0.5),
-        "line_ends": _vote(ended, ended > 0.6, (ended < 0.1) & (F.col("n_lines") >= 5)),
+        "word_length": _vote(mean, mean.between(4, 8), (mean < 3) | (mean > 10)),
+        "few_symbols": _vote(symbols, symbols <= 0.02, symbols > 0.1),
+        "mostly_letters": _vote(letters, letters >= 0.9, letters < 0.75),
+        "few_copied_lines": _vote(copied, copied <= 0.1, (copied > 0.3) & lines),
+        "few_repeats": _vote(repeats, repeats <= 0.2, repeats > 0.5),
+        "few_capitals": _vote(upper, upper <= 0.2, upper > 0.5),
+        "line_ends": _vote(ended, ended > 0.6, (ended < 0.1) & lines),
     }
     return c.withColumns(rules)
 
@@ -105,24 +108,14 @@ def posterior(model: dict) -> Column:
     return 1 / (1 + F.exp(-odds))
 
 
-#: where EM starts, so that good stays the class that rules seldom vote against
-START = ({1: 0.5, 0: 0.002, -1: 0.498}, {1: 0.35, 0: 0.3, -1: 0.35})
-#: rules that also vote for a document; the others only vote against
-TWO_SIDED = ("long_enough", "line_ends")
-FALSE_ALARMS = {True: 0.05, False: 0.002}  # most votes against among good documents, two-sided or not
-HITS = (0.1, 0.5)  # least and most votes against among bad documents
-
-
-def _bounded(rates: dict, low: float, high: float) -> dict:
-    """Rates with that of voting against moved into bounds, the others sharing the rest in proportion."""
-    against = min(max(rates[0], low), high)
-    rest = (1 - against) / (rates[1] + rates[-1])
-    return {1: rates[1] * rest, 0: against, -1: rates[-1] * rest}
+#: where EM starts and what its prior rows vote, for good and for bad documents
+START = ({1: 0.85, 0: 0.03, -1: 0.12}, {1: 0.4, 0: 0.35, -1: 0.25})
+GOOD = 0.8  # the share of good rows at the start
 
 
 def fit_votes(patterns: DataFrame) -> dict:
     """EM over (rules..., n): the share of good rows and, per rule and class, how often it votes 1, 0 or abstains."""
-    model = {"good": 0.8} | {r: START for r in RULES}
+    model = {"good": GOOD} | {r: START for r in RULES}
     for _ in range(ROUNDS):
         p = patterns.withColumn("p", posterior(model))
         weight = {"g": F.col("n") * F.col("p"), "b": F.col("n") * (1 - F.col("p"))}
@@ -133,10 +126,9 @@ def fit_votes(patterns: DataFrame) -> dict:
             break
         new = {"good": min(max(s["good"] / s["n"], FLOOR), 1 - FLOOR)}
         for r in RULES:
-            # one imagined row of the starting rates keeps every rate above 0
-            got = [{v: (s[f"{r}{v}{c}"] or 0.0) + start[v] for v in (1, 0, -1)} for c, start in zip("gb", START)]
-            good, bad = ({v: x / sum(g.values()) for v, x in g.items()} for g in got)
-            new[r] = _bounded(good, 0.0001, FALSE_ALARMS[r in TWO_SIDED]), _bounded(bad, *HITS)
+            prior = 1 + PRIOR * s["n"]
+            got = [{v: (s[f"{r}{v}{c}"] or 0.0) + prior * start[v] for v in (1, 0, -1)} for c, start in zip("gb", START)]
+            new[r] = tuple({v: x / sum(g.values()) for v, x in g.items()} for g in got)
         moved = max(abs(new["good"] - model["good"]), *(abs(new[r][k][v] - model[r][k][v]) for r in RULES for k in (0, 1) for v in (1, 0)))
         model = new
         if moved < 1e-6:

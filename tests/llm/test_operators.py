@@ -6,6 +6,7 @@ from __future__ import annotations
 import os
 import math
 import random
+from collections import Counter
 import re
 import sys
 import textwrap
@@ -398,6 +399,30 @@ def test_quality_counts_and_verdicts(spark):
     assert quality.judge_quality(spark, df.limit(0)).count() == 0
 
 
+def test_quality_em_recovers_known_rates(spark):
+    rng = random.Random(8)
+    truth = {r: ({1: 0.9 - 0.05 * k, 0: 0.02 + 0.01 * k}, {1: 0.3, 0: 0.65 - 0.04 * k}) for k, r in enumerate(quality.RULES)}
+    for rates in truth.values():
+        for side in rates:
+            side[-1] = 1 - side[1] - side[0]
+    drawn, n = [], 20_000
+    for i in range(n):
+        bad = i >= 0.7 * n
+        drawn.append((bad, tuple(rng.choices((1, 0, -1), [truth[r][bad][v] for v in (1, 0, -1)])[0] for r in quality.RULES)))
+    counts = Counter(v for _, v in drawn)
+    table = spark.createDataFrame([(*v, c) for v, c in counts.items()], ", ".join(f"{r} int" for r in quality.RULES) + ", n long")
+    model = quality.fit_votes(table.coalesce(1))
+    assert abs(model["good"] - 0.7) < 0.02
+    for r, rates in truth.items():
+        for k in (0, 1):
+            assert all(abs(model[r][k][v] - rates[k][v]) < 0.04 for v in (1, 0, -1)), (r, model[r])
+    judged = {tuple(x[: len(quality.RULES)]): x.p for x in table.withColumn("p", quality.posterior(model)).collect()}
+    right = sum((judged[v] >= 0.5) != bad for bad, v in drawn)
+    # one vote against is not enough: some patterns with one are kept, and fewer documents would be judged right by asking for none
+    assert any(p >= 0.5 and v.count(0) == 1 for v, p in judged.items())
+    assert right > 0.95 * n > sum((0 not in v) != bad for bad, v in drawn)
+
+
 def test_short_items_need_more(spark):
     rng = random.Random(8)
     items = [(1, "Yes"), (2, "He said yes"), (3, "The old mill burned down twice."), (4, "What is the capital city of old France now? Paris"), (5, prose(rng, 12) + ".")]
