@@ -1,5 +1,6 @@
 """T18, T20, T21 labels and A02-A06 metrics: edge cases from the reference's guards."""
 
+import hashlib
 import math
 
 from pyspark.sql import functions as F
@@ -138,3 +139,15 @@ def test_dictionary_is_sent_along_only_if_small(spark, monkeypatch):
         monkeypatch.setattr(pr, "DICTIONARY_MAX", most)
         got = pr.lookup_lang_name(pr.filter_lang_allowlist(p, d), d)
         assert [tuple(r) for r in got.collect()] == [("german", "english")]
+
+
+def test_every_masked_position_has_a_digest_of_its_own(spark):
+    ids = [0, *range(5, 60), 2, 1]
+    df = spark.createDataFrame([(7, ids)], "k long, ids array<int>").withColumn("d", lb.position_draws("ids", "k", F.lit(2), F.lit(0)))
+    m, y = lb.apply_position_mask("ids", "d", 1000)
+    r = df.select("d", m.alias("m"), y.alias("y")).first()
+    for i, x in enumerate(ids):
+        h = hashlib.md5(f"7#2#0#{i}".encode()).hexdigest()
+        picked = x >= 5 and h[:8] < "26666666"
+        new = x if not picked or h[8:16] >= "e6666666" else 4 if h[8:16] < "cccccccc" else int(h[16:24], 16) % 995 + 5
+        assert (r.d[i], r.y[i], r.m[i]) == (h if x >= 5 else None, x if picked else IGNORE_INDEX, new)
