@@ -262,3 +262,23 @@ def test_gzip_trio_is_aligned(spark, tmp_path):
         (0, "eng", "hello", "halo"), (1, "jav", "world", "jagad")]
     loaded = [r for r in fl.manifest_counts(pairs, status).collect() if r.status == "loaded"]
     assert [(r.data_source, r.data_split, r.n_rows) for r in loaded] == [("tatoeba-eng-jav", "train", 2)]
+
+
+def test_csv_records_are_made_without_a_shuffle_of_lines(spark, tmp_path):
+    """Lines stay where they are read: only records cut by a block's end are brought together."""
+    rows = ["id,text"] + [f'{i},"line {i}\n""quoted"" {i}\n\nend"' for i in range(400)]
+    (tmp_path / "a.csv").write_text("\n".join(rows) + "\n")
+    (tmp_path / "b.csv").write_text("id,text\n1,open\n2,\"never closed\nlast")
+    whole = fl._csv_records(spark, str(tmp_path))
+    assert "Exchange hashpartitioning" not in whole._jdf.queryExecution().toString()
+    want = sorted((r.file, r.rec, r.value) for r in whole.collect())
+    assert [x[2] for x in want[:2]] == ["id,text", '0,"line 0\n""quoted"" 0\n\nend"'] and len(want) == 404
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("37b", "700b"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            assert sorted((r.file, r.rec, r.value) for r in fl._csv_records(spark, str(tmp_path)).collect()) == want
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
