@@ -151,3 +151,25 @@ def test_every_masked_position_has_a_digest_of_its_own(spark):
         picked = x >= 5 and h[:8] < "26666666"
         new = x if not picked or h[8:16] >= "e6666666" else 4 if h[8:16] < "cccccccc" else int(h[16:24], 16) % 995 + 5
         assert (r.d[i], r.y[i], r.m[i]) == (h if x >= 5 else None, x if picked else IGNORE_INDEX, new)
+
+
+def test_draws_of_any_length_and_key_equal_hashlib(spark):
+    """Long messages, numbers of several widths, pads, empty lists and null keys; a whole batch is drawn at once, with no expression a position."""
+    keys = ["k", "é" * 30, None, "x" * 60, "5"]
+    rows = [(k, [0, *range(5, 5 + 230 * j), 2, 1]) for j, k in enumerate(keys)] + [("none", [])]
+    df = spark.createDataFrame(rows, "k string, ids array<int>")
+    d = df.withColumn("d", lb.position_draws("ids", "k", F.lit(3), F.lit(1)))
+    assert "transform(" not in d._jdf.queryExecution().toString()
+    m, y = lb.apply_position_mask("ids", "d", 1000)
+    at_once = lb.apply_position_mask("ids", lb.position_draws("ids", "k", F.lit(3), F.lit(1)), 1000)
+    both = d.select(m.alias("m"), y.alias("y"), at_once[0].alias("m1"), at_once[1].alias("y1"))
+    assert both.where("m <=> m1 and y <=> y1").count() == len(rows)
+    got = d.select("k", "ids", "d", m.alias("m"), y.alias("y")).select("*", lb.mask_totals("m", "y").alias("t")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        want = [hashlib.md5("#".join([*([] if r.k is None else [r.k]), "3", "1", str(i)]).encode()).hexdigest() if x >= 5 else None for i, x in enumerate(r.ids)]
+        assert r.d == want
+        picked = [h is not None and h[:8] < "26666666" for h in want]
+        assert r.y == [x if p else IGNORE_INDEX for x, p in zip(r.ids, picked)]
+        assert r.m == [x if not p or h[8:16] >= "e6666666" else 4 if h[8:16] < "cccccccc" else int(h[16:24], 16) % 995 + 5 for x, p, h in zip(r.ids, picked, want)]
+        assert tuple(r.t) == (sum(picked), sum(p and x == 4 for p, x in zip(picked, r.m)), sum(r.m), sum(r.y))
