@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,16 @@ EDGE = 64  # shingles on one edge of the trie
 BLOCK_SETS = 256  # sets in one block
 BLOCK_TOKENS = 1 << 20  # shingles in one block, about
 PEELS = 3
+WAVE_SHARE = 2  # texts sent to units at a time: one such part of all distinct sets
+WAVE_TOKENS = 1 << 26  # shingles that are always sent at once
+
+
+def _waves(sent: int, whole: int) -> int:
+    """Number of waves in which ``sent`` shingles go to their units, ``whole`` being those of all distinct sets.
+
+    A family of c sets sends each of its texts c / ``BLOCK_SETS`` times. All at once that would fill the
+    disk with the square of c; a wave's shuffle files go before the next begins."""
+    return max(1, -(-sent * WAVE_SHARE // max(whole, WAVE_SHARE * WAVE_TOKENS)))
 
 
 def _most(n: int, percent: int) -> int:
@@ -345,7 +356,10 @@ def near_duplicate_groups(
     scratch.drop(members, shared)
     total = groups.groupBy("kind", "grp").agg(F.count("*").alias("c"), F.sum("n").alias("t"))
     blocks = F.ceil(F.greatest(F.col("c") / block_sets, F.col("t") / BLOCK_TOKENS)).cast("int")
-    total = scratch.keep(total.where("c > 1").select("kind", "grp", blocks.alias("blocks")), "total")
+    total = scratch.keep(total.where("c > 1").select("kind", "grp", "t", blocks.alias("blocks")), "total")
+    sent = total.agg(F.sum(F.col("t") * F.col("blocks"))).first()[0] or 0
+    waves = _waves(sent, kinds.agg(F.sum("n")).first()[0] or 0)
+    totals, total = total, total.drop("t")
     units = groups.join(total, ["kind", "grp"])
     units = units.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     units = units.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -362,13 +376,17 @@ def near_duplicate_groups(
     # the text of each set's first document goes to every unit its block takes part in (a text is shorter than
     # its names); always by a shuffle, so that the plan is the same at every size
     place = ["kind", "grp", "i", "j"]
-    units = texts.join(units.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id")
-    units = units.select(*place, "doc_id", "side", "id1", "text").repartition(*place).sortWithinPartitions(*place)
-    links = scratch.keep(units.mapInArrow(_unit_rows(size, percent), "a long, b long"), "links")
-    scratch.drop(groups, total)
+    parts = []
+    for w in range(waves):  # a unit is in one wave, whole
+        own = units.where(F.pmod(F.xxhash64(*place), F.lit(waves)) == w)
+        own = texts.join(own.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id")
+        own = own.select(*place, "doc_id", "side", "id1", "text").repartition(*place).sortWithinPartitions(*place)
+        parts.append(scratch.keep(own.mapInArrow(_unit_rows(size, percent), "a long, b long"), f"links{w}"))
+    links = reduce(DataFrame.unionByName, parts)
+    scratch.drop(groups, totals)
 
     group = components(spark, links, scratch)
-    scratch.drop(links)
+    scratch.drop(*parts)
     sets_of = kinds
     kinds = kinds.join(group, "node", "left").select("id1", "id2", "n", "node", F.coalesce("root", "node").alias("root"))
     least = scratch.keep(kinds.groupBy("root").agg(F.min("node").alias("component_id")), "least")
