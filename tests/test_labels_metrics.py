@@ -164,7 +164,9 @@ def test_draws_of_any_length_and_key_equal_hashlib(spark):
     at_once = lb.apply_position_mask("ids", lb.position_draws("ids", "k", F.lit(3), F.lit(1)), 1000)
     both = d.select(m.alias("m"), y.alias("y"), at_once[0].alias("m1"), at_once[1].alias("y1"))
     assert both.where("m <=> m1 and y <=> y1").count() == len(rows)
-    got = d.select("k", "ids", "d", m.alias("m"), y.alias("y")).select("*", lb.mask_totals("m", "y").alias("t")).collect()
+    got = lb.mask_totals(d.select("k", "ids", "d", m.alias("m"), y.alias("y")), ["k", "ids", "d", "m", "y"], "m", "y").collect()
+    table = lb.apply_position_mask("ids", lb.position_draws("ids", "k", F.lit(3), F.lit(1)), 1000, rows=df, keep=["k"])
+    assert sorted(table.collect(), key=str) == sorted(d.select("k", m.alias("new"), y.alias("lab")).collect(), key=str)
     assert len(got) == len(rows)
     for r in got:
         want = [hashlib.md5("#".join([*([] if r.k is None else [r.k]), "3", "1", str(i)]).encode()).hexdigest() if x >= 5 else None for i, x in enumerate(r.ids)]
@@ -172,4 +174,4 @@ def test_draws_of_any_length_and_key_equal_hashlib(spark):
         picked = [h is not None and h[:8] < "26666666" for h in want]
         assert r.y == [x if p else IGNORE_INDEX for x, p in zip(r.ids, picked)]
         assert r.m == [x if not p or h[8:16] >= "e6666666" else 4 if h[8:16] < "cccccccc" else int(h[16:24], 16) % 995 + 5 for x, p, h in zip(r.ids, picked, want)]
-        assert tuple(r.t) == (sum(picked), sum(p and x == 4 for p, x in zip(picked, r.m)), sum(r.m), sum(r.y))
+        assert tuple(r[5:]) == (sum(picked), sum(p and x == 4 for p, x in zip(picked, r.m)), sum(r.m), sum(r.y))
