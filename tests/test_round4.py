@@ -16,7 +16,7 @@ from corpusforge.plans import q_sources as qso
 from corpusforge.plans import q_streaming as qs
 from corpusforge.plans import q_text as qt
 from corpusforge.plans import views as v
-from corpusforge.session import CLEAN_SHUFFLES, checkpoint_dir
+from corpusforge.session import CLEAN_SHUFFLES
 from corpusforge.sources import files as fl
 
 SF = "/root/testdata/sf0.001"
@@ -84,12 +84,15 @@ def test_json_drops_are_packed_and_leave_no_shuffle(spark, tmp_path, monkeypatch
     assert seen == ["true"] and spark.conf.get(CLEAN_SHUFFLES, "false") == "false"
 
 
-def test_corpus_build_keeps_its_result_alone(spark):
+def test_corpus_build_keeps_its_result_alone(spark, monkeypatch):
     """Tables and files that only the build reads are gone when it is done, and aligned lines are kept nowhere."""
-    old = set(os.listdir(checkpoint_dir(spark)))
+    at, dropped = {}, []
+    make, drop = qso.scratch_path, qso.drop_scratch
+    monkeypatch.setattr(qso, "scratch_path", lambda s, name: at.setdefault(name, make(s, name)))
+    monkeypatch.setattr(qso, "drop_scratch", lambda s, *paths: dropped.extend(paths) or drop(s, *paths))
     out = qso.q_corpus_build(spark, SF)
-    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(checkpoint_dir(spark))) - old}
-    assert "build-out" in left and not left & {"build-aligned", "build-wide", "build-lexicon"}
+    assert {at["build-aligned"], at["build-wide"], at["build-lexicon"]} <= set(dropped) and at["build-out"] not in dropped
+    assert not any(os.listdir(at[x]) for x in ("build-aligned", "build-wide", "build-lexicon") if os.path.isdir(at[x]))
     assert out.count() > 0
 
 
